@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .lz_fingerprint import lz_fingerprints
+from .pii import cue_forms, pii_spans
 from .repetition import repetition
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,5 +39,49 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, cove
   NOT base_failed AND NOT long AND 100 * covered_words <= 40 * n_words AS kept FROM f
 """
 
-QUERIES = {"op1_suffix_array_repetition": op1}
-ORACLES = {"op1_suffix_array_repetition": OP1_SQL}
+
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans(documents(spark, sf_dir))
+
+
+def _found(kind: str, rank: int, pattern: str, value: str, check: str) -> str:
+    """SQL for the matches of a pattern in turn: the texts between them give their positions.
+
+    value: the part of match m that is the span, at its end; check: what must hold for it, as v.
+    """
+    return f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, e - length(v) AS s, e, v FROM (
+  SELECT doc_id, {value} AS v, list_sum(list_transform(gaps[:i], lambda x: length(x))) + list_sum(list_transform(ms[:i], lambda x: length(x))) AS e
+  FROM (SELECT doc_id, gaps, ms, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m
+    FROM (SELECT doc_id, regexp_extract_all(text, '(?s)(.*?)({pattern})', 1) AS gaps, regexp_extract_all(text, '(?s)(.*?)({pattern})', 2) AS ms FROM d))) WHERE {check}"""
+
+
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr({_DIGITS}, -i, 1)::INT ELSE (substr({_DIGITS}, -i, 1)::INT * 2) // 10 + (substr({_DIGITS}, -i, 1)::INT * 2) % 10 END)) % 10 = 0"
+_CUES = "|".join(cue_forms())
+_SECRET = rf"\b(?:{_CUES})[\x22\x27]?[ \t]*[:=][ \t]*[\x22\x27]?[A-Za-z0-9_+/.=-]{{8,}}"
+_VALUE = r"regexp_extract(m, '^[A-Za-z_]+[\x22\x27]?[ \t]*[:=][ \t]*[\x22\x27]?([A-Za-z0-9_+/.=-]{8,})$', 1)"
+_MOD97 = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(regexp_replace(substr(v, 5) || substr(v, 1, 4), '(.)', '\\1,', 'g'), ',')[:length(v)], lambda c: (CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)::BIGINT)), lambda a, b: (a * (CASE WHEN b > 9 THEN 100 ELSE 10 END) + b) % 97) = 1"
+OP3_SQL = "WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), f AS (" + " UNION ALL ".join(
+    [
+        _found("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "m", "true"),
+        _found("ip", 1, r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "m", "list_bool_and(list_transform(string_split(v, '.'), lambda p: coalesce(try_cast(p AS HUGEINT) <= 255, false)))"),
+        _found("card", 2, r"[0-9](?:[\x20-]?[0-9])+", "m", f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}"),
+        _found("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", "m", f"length({_DIGITS}) BETWEEN 10 AND 15"),
+        _found("url", 4, r"[A-Za-z][A-Za-z0-9+.-]*://[^\x00-\x20/@\x22\x27<>]+@[A-Za-z0-9.-]+", "m", "true"),
+        _found("secret", 5, _SECRET, _VALUE, "regexp_matches(v, '[0-9]')"),
+        _found("secret", 5, r"\bAKIA[0-9A-Z]{16}\b", "m", "true"),
+        _found("account", 6, r"\bIBAN[ \t]*[:=]?[ \t]*[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", r"regexp_extract(m, '([A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})$', 1)", _MOD97),
+    ]
+) + """),
+g AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_email, count(*) FILTER (rank = 1) AS n_ip, count(*) FILTER (rank = 2) AS n_card, count(*) FILTER (rank = 3) AS n_phone,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) FILTER (rank < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) AS spans FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+
+
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprints(documents(spark, sf_dir))
+
+
+QUERIES = {"op1_suffix_array_repetition": op1, "op3_anchor_pii": op3, "op6_lz_fingerprint": op6}
+ORACLES = {"op1_suffix_array_repetition": OP1_SQL, "op3_anchor_pii": OP3_SQL}
