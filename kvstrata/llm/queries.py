@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .lz_fingerprint import lz_fingerprints
 from .pii import cue_forms, pii_spans
 from .repetition import repetition
+from .simhash_dedup import near_duplicates
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -83,5 +84,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprints(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_suffix_array_repetition": op1, "op3_anchor_pii": op3, "op6_lz_fingerprint": op6}
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), shingle=3, limit=3)
+
+
+QUERIES = {"op1_suffix_array_repetition": op1, "op3_anchor_pii": op3, "op6_lz_fingerprint": op6, "op7_gray_simhash": op7}
 ORACLES = {"op1_suffix_array_repetition": OP1_SQL, "op3_anchor_pii": OP3_SQL}
