@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .lz_fingerprint import lz_fingerprints
+from .packing import pack
 from .pii import cue_forms, pii_spans
 from .repetition import repetition
 from .simhash_dedup import near_duplicates
@@ -88,5 +90,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=3, limit=3)
 
 
-QUERIES = {"op1_suffix_array_repetition": op1, "op3_anchor_pii": op3, "op6_lz_fingerprint": op6, "op7_gray_simhash": op7}
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+
+
+QUERIES = {"op1_suffix_array_repetition": op1, "op3_anchor_pii": op3, "op6_lz_fingerprint": op6, "op7_gray_simhash": op7, "op10_bin_completion_packing": op10}
 ORACLES = {"op1_suffix_array_repetition": OP1_SQL, "op3_anchor_pii": OP3_SQL}
