@@ -10,6 +10,7 @@ from .packing import pack
 from .pii import cue_forms, pii_spans
 from .repetition import repetition
 from .simhash_dedup import near_duplicates
+from .substring_dedup import deduplicate
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -90,9 +91,24 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=3, limit=3)
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate(documents(spark, sf_dir), window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP9_SQL = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + 34), ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY g) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM rep),
+words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
-QUERIES = {"op1_suffix_array_repetition": op1, "op3_anchor_pii": op3, "op6_lz_fingerprint": op6, "op7_gray_simhash": op7, "op10_bin_completion_packing": op10}
-ORACLES = {"op1_suffix_array_repetition": OP1_SQL, "op3_anchor_pii": OP3_SQL}
+QUERIES = {"op1_suffix_array_repetition": op1, "op3_anchor_pii": op3, "op6_lz_fingerprint": op6, "op7_gray_simhash": op7, "op9_sketch_substring_dedup": op9, "op10_bin_completion_packing": op10}
+ORACLES = {"op1_suffix_array_repetition": OP1_SQL, "op3_anchor_pii": OP3_SQL, "op9_sketch_substring_dedup": OP9_SQL}
