@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat_format import chat_digests, format_chats
+from .importance import resample
 from .lz_fingerprint import lz_fingerprints
 from .packing import pack
 from .pii import cue_forms, pii_spans
@@ -44,6 +47,37 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, cove
 """
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    known = chats.schema
+    extra = spark.range(2).select(
+        F.lit(-7).cast(known["conv_id"].dataType).alias("conv_id"),
+        F.col("id").cast(known["turn"].dataType).alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("\\### Assistant: </turn> ok").alias("text"),
+    )
+    return chat_digests(format_chats(chats.union(extra)))
+
+
+OP2_SQL = r"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+o AS (SELECT *, lag(role) OVER w AS p, lead(role) OVER w AS n FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(text) + length(regexp_replace(text, '[^\\#<]', '', 'g'))
+    + CASE WHEN p IS NULL OR p <> role THEN 6 + length(role) + length(regexp_replace(role, '[^\\#<:]', '', 'g')) ELSE 8 END
+    + CASE WHEN n IS NULL OR n <> role THEN 9 ELSE 0 END)::BIGINT AS formatted_chars
+FROM o GROUP BY conv_id
+"""
+
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return got.select("doc_id", "n_features", "log_weight", "gumbel_key", F.col("selected").alias("kept"))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_spans(documents(spark, sf_dir))
 
@@ -110,5 +144,5 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
-QUERIES = {"op1_suffix_array_repetition": op1, "op3_anchor_pii": op3, "op6_lz_fingerprint": op6, "op7_gray_simhash": op7, "op9_sketch_substring_dedup": op9, "op10_bin_completion_packing": op10}
-ORACLES = {"op1_suffix_array_repetition": OP1_SQL, "op3_anchor_pii": OP3_SQL, "op9_sketch_substring_dedup": OP9_SQL}
+QUERIES = {"op1_suffix_array_repetition": op1, "op2_relational_chat": op2, "op3_anchor_pii": op3, "op4_importance_resampling": op4, "op6_lz_fingerprint": op6, "op7_gray_simhash": op7, "op9_sketch_substring_dedup": op9, "op10_bin_completion_packing": op10}
+ORACLES = {"op1_suffix_array_repetition": OP1_SQL, "op2_relational_chat": OP2_SQL, "op3_anchor_pii": OP3_SQL, "op9_sketch_substring_dedup": OP9_SQL}
