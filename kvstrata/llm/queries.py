@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .chat_format import chat_digests, format_chats
 from .importance import resample
 from .lz_fingerprint import lz_fingerprints
+from .merge_dropout import round_trips
 from .packing import pack
 from .pii import cue_forms, pii_spans
 from .repetition import repetition
@@ -117,6 +118,10 @@ SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coa
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trips(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), rate=0.1, seed=42, variants=4)
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprints(documents(spark, sf_dir))
 
@@ -144,5 +149,5 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
-QUERIES = {"op1_suffix_array_repetition": op1, "op2_relational_chat": op2, "op3_anchor_pii": op3, "op4_importance_resampling": op4, "op6_lz_fingerprint": op6, "op7_gray_simhash": op7, "op9_sketch_substring_dedup": op9, "op10_bin_completion_packing": op10}
+QUERIES = {"op1_suffix_array_repetition": op1, "op2_relational_chat": op2, "op3_anchor_pii": op3, "op4_importance_resampling": op4, "op5_merge_dropout": op5, "op6_lz_fingerprint": op6, "op7_gray_simhash": op7, "op9_sketch_substring_dedup": op9, "op10_bin_completion_packing": op10}
 ORACLES = {"op1_suffix_array_repetition": OP1_SQL, "op2_relational_chat": OP2_SQL, "op3_anchor_pii": OP3_SQL, "op9_sketch_substring_dedup": OP9_SQL}
