@@ -12,6 +12,7 @@ from .lz_fingerprint import lz_fingerprints
 from .merge_dropout import round_trips
 from .packing import pack
 from .pii import cue_forms, pii_spans
+from .pseudo_likelihood import pseudo_likelihood
 from .repetition import repetition
 from .simhash_dedup import near_duplicates
 from .substring_dedup import deduplicate
@@ -130,6 +131,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=3, limit=3)
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(documents(spark, sf_dir), rounds=2, stride=24)
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(documents(spark, sf_dir), window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -149,5 +154,5 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
-QUERIES = {"op1_suffix_array_repetition": op1, "op2_relational_chat": op2, "op3_anchor_pii": op3, "op4_importance_resampling": op4, "op5_merge_dropout": op5, "op6_lz_fingerprint": op6, "op7_gray_simhash": op7, "op9_sketch_substring_dedup": op9, "op10_bin_completion_packing": op10}
+QUERIES = {"op1_suffix_array_repetition": op1, "op2_relational_chat": op2, "op3_anchor_pii": op3, "op4_importance_resampling": op4, "op5_merge_dropout": op5, "op6_lz_fingerprint": op6, "op7_gray_simhash": op7, "op8_masked_pseudo_likelihood": op8, "op9_sketch_substring_dedup": op9, "op10_bin_completion_packing": op10}
 ORACLES = {"op1_suffix_array_repetition": OP1_SQL, "op2_relational_chat": OP2_SQL, "op3_anchor_pii": OP3_SQL, "op9_sketch_substring_dedup": OP9_SQL}
