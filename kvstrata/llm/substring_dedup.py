@@ -332,6 +332,24 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     return joined.mapInArrow(run, f"doc_id {C.id_type(df, id_col)}, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
 
 
+def deduplicated_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, cell_bits: int = CELL_BITS) -> DataFrame:
+    """The same rows and columns; texts that lose words become their kept words joined by a space."""
+    _, marked = repeated_marks(df, id_col, text_col, window, cell_bits)
+    marked = marked.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("marks").alias("__marks"))
+    own = F.xxhash64(C.col(id_col), F.coalesce(C.col(text_col), F.lit("")))
+    joined = df.join(marked, C.col(id_col).eqNullSafe(F.col("__id")) & (own == F.col("__key")), "left").drop("__id", "__key")
+    where = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            old, marks = batch.column(where), batch.column(batch.num_columns - 1)
+            new = [t if m is None or t is None else _kept(t.encode(), m, window)[3].decode() for t, m in zip(old.to_pylist(), marks.to_pylist())]
+            columns = [pa.array(new, old.type) if i == where else batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return joined.mapInArrow(run, df.schema)
+
+
 def _kept(text: bytes, blobs: list[bytes] | None, window: int) -> tuple[int, int, str, bytes]:
     words = text.split()
     kept = words
