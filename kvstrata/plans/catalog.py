@@ -1,20 +1,486 @@
-"""Named queries over the driver's tables, each with the SQL it must agree with."""
+"""Named queries over the driver's tables, each with the SQL it must agree with.
+
+Roles: events is a mutation log (key user_id, order ts and event_id, click plays the tombstone);
+orders is a map of single versions; lineitem holds up to 13 runs (the place of a row among those of
+its order, R plays the tombstone); events by time is also a page trace.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import generators, keys, statistics
+from ..operators import bloom, compaction, index, lru, reads, views, workload, writes
+from ..session import globally_ranked
+
+QUERIES = {}
+ORACLES = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def live_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events")
-    newest = rows.groupBy("user_id").agg(F.max_by(F.struct("event_id", "value", "event_type"), F.struct("ts", "event_id")).alias("r"))
-    return newest.filter("r.event_type <> 'click'").select("user_id", "r.event_id", "r.value")
+def _events(spark, d) -> DataFrame:
+    return table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "value")
+
+
+def _orders(spark, d) -> DataFrame:
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("value"), "o_custkey")
+
+
+def _runs(spark, d) -> DataFrame:
+    """lineitem as mutations; an order has a few rows, so the window's groups are small."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    run = F.row_number().over(w) - 1
+    return rows.select(F.col("l_orderkey").alias("key"), F.col("l_quantity").alias("value"), (F.col("l_returnflag") == "R").alias("tombstone"), run.alias("run"), F.col("l_partkey").alias("seq"))
+
+
+RUNS = "r AS (SELECT l_orderkey AS key, l_quantity AS value, l_returnflag = 'R' AS tombstone, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1)::INT AS run FROM lineitem)"
+NEWEST = "n AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY run DESC) = 1)"
+
+# Views
+
+
+@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) r FROM events) WHERE r = 1 AND event_type <> 'click'")
+def kv_live_view(spark, d):
+    return views.live(_events(spark, d), "user_id", ("ts", "event_id"), F.col("event_type") == "click").select("user_id", "event_id", "value")
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def kv_newest_with_ts(spark, d):
+    return views.newest(_events(spark, d), "user_id", ("ts", "event_id")).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT user_id, event_id, event_type = 'click' AS tombstone, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) > 1 AS stale FROM events")
+def kv_all_versions_flags(spark, d):
+    rows = _events(spark, d).withColumn("tombstone", F.col("event_type") == "click").select("user_id", "ts", "event_id", "tombstone")
+    return views.all_versions(rows, "user_id", ("ts", "event_id")).select("user_id", "event_id", "tombstone", "stale")
+
+
+@query(f"WITH {RUNS} SELECT key, run, tombstone, run < max(run) OVER (PARTITION BY key) AS stale, run = 0 AS tail FROM r")
+def kv_sorted_view(spark, d):
+    return index.sorted_view(_runs(spark, d)).select("key", "run", "tombstone", "stale", "tail")
+
+
+# Merges
+
+
+@query(f"WITH {RUNS} SELECT key, run, value, run < max(run) OVER (PARTITION BY key) AS repeated FROM r")
+def kv_merge_runs(spark, d):
+    rows = _runs(spark, d).withColumnRenamed("run", "rank").select("key", "rank", "value")
+    return views.all_versions(rows, "key", ("rank",)).select("key", F.col("rank").alias("run"), "value", F.col("stale").alias("repeated"))
+
+
+@query(f"WITH {RUNS}, {NEWEST} SELECT key, run, value, tombstone FROM n")
+def kv_merge_unique(spark, d):
+    return views.newest(_runs(spark, d)).select("key", "run", "value", "tombstone")
+
+
+@query(f"WITH {RUNS}, {NEWEST} SELECT key, run, value FROM n WHERE run >= 3")
+def kv_partial_merge(spark, d):
+    return views.partial_merge(_runs(spark, d), 3).select("key", "run", "value")
+
+
+@query(f"WITH {RUNS}, {NEWEST} SELECT key, value FROM n WHERE NOT tombstone")
+def kv_incremental_merge(spark, d):
+    rows = _runs(spark, d)
+    old = views.newest(rows.filter("run < 4"))
+    return views.incremental(old, rows.filter("run >= 4")).filter("not tombstone").select("key", "value")
+
+
+@query(f"WITH {RUNS}, {NEWEST} SELECT key, value FROM n WHERE NOT tombstone")
+def kv_live_tiers(spark, d):
+    rows = _runs(spark, d)
+    store, immutable, memory = (views.newest(rows.filter(c)).drop("run", "seq") for c in ("run < 2", "run between 2 and 3", "run > 3"))
+    return views.tiers(store, immutable, memory).select("key", "value")
+
+
+@query(f"WITH {RUNS}, e AS (SELECT run, min(key) AS first_key, max(key) AS last_key FROM r GROUP BY run) SELECT run, first_key, last_key, coalesce(first_key <= lag(last_key) OVER (ORDER BY run), false) AS overlaps FROM e")
+def kv_run_overlap(spark, d):
+    return views.run_overlap(_runs(spark, d))
+
+
+# Point reads
+
+
+@query("SELECT c_custkey AS user_id, coalesce(event_id, -1) AS event_id, coalesce(value, -1.0) AS value FROM customer LEFT JOIN (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) e ON c_custkey = user_id AND event_type <> 'click'")
+def kv_batch_get(spark, d):
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    return reads.batch_get(asked, kv_live_view(spark, d), "user_id").fillna(-1)
+
+
+LIVE = "SELECT user_id FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE event_type <> 'click'"
+
+
+@query(f"SELECT c_custkey AS user_id FROM customer WHERE c_custkey IN ({LIVE})")
+def kv_batch_probe(spark, d):
+    return reads.batch_probe(table(spark, d, "customer").select(F.col("c_custkey").alias("user_id")), kv_live_view(spark, d), "user_id")
+
+
+@query(f"SELECT c_custkey AS user_id FROM customer WHERE c_custkey NOT IN ({LIVE})")
+def kv_batch_miss(spark, d):
+    return reads.batch_miss(table(spark, d, "customer").select(F.col("c_custkey").alias("user_id")), kv_live_view(spark, d), "user_id")
+
+
+@query("SELECT o_orderkey AS key, o_totalprice AS value FROM orders WHERE o_orderkey = 100")
+def kv_get(spark, d):
+    return reads.get(_orders(spark, d), 100).select("key", "value")
+
+
+@query("SELECT c_custkey AS key, CASE WHEN o_orderkey IS NULL THEN -1.0 ELSE o_totalprice END AS result FROM customer LEFT JOIN orders ON o_orderkey = c_custkey")
+def kv_read_in_place(spark, d):
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("key"))
+    return reads.read_in_place(asked, _orders(spark, d), F.coalesce("value", F.lit(-1.0))).select("key", "result")
+
+
+@query("SELECT min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM orders")
+def kv_first_last(spark, d):
+    return reads.first_last(_orders(spark, d))
+
+
+# Range reads
+
+
+@query("SELECT o_orderkey AS key, o_totalprice AS value FROM orders WHERE o_orderkey >= 777 ORDER BY 1 LIMIT 1")
+def kv_seek_ge(spark, d):
+    return reads.seek(_orders(spark, d), 777).select("key", "value")
+
+
+@query("SELECT o_orderkey AS key, o_totalprice AS value FROM orders WHERE o_orderkey <= 777 ORDER BY 1 DESC LIMIT 3")
+def kv_seek_le(spark, d):
+    return reads.seek_at_most(_orders(spark, d), 777, 3).select("key", "value")
+
+
+@query("SELECT o_orderkey AS key, o_totalprice AS value FROM orders WHERE o_orderkey >= 500 ORDER BY 1 LIMIT 50")
+def kv_scan_n(spark, d):
+    return reads.seek(_orders(spark, d), 500, 50).select("key", "value")
+
+
+@query("SELECT o_orderkey AS key, o_totalprice AS value FROM orders WHERE o_orderkey >= 500 ORDER BY 1 LIMIT 5 OFFSET 20")
+def kv_skip_n(spark, d):
+    return reads.seek(_orders(spark, d), 500, 5, 20).select("key", "value")
+
+
+@query("SELECT o_orderkey AS key, o_totalprice AS value FROM orders WHERE o_orderkey >= greatest(900, 300) ORDER BY 1 LIMIT 4")
+def kv_seek_near(spark, d):
+    return reads.seek_near(_orders(spark, d), 900, 300, 4).select("key", "value")
+
+
+@query("SELECT o_orderkey AS key, o_totalprice AS value FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 400")
+def kv_scan_range(spark, d):
+    return reads.scan(_orders(spark, d), 100, 400).select("key", "value")
+
+
+OPS = "ops AS (SELECT c_custkey AS op_id, c_custkey * 7 + 3 AS key, c_custkey % 3 AS skip, c_custkey % 6 AS n FROM customer)"
+
+
+@query(
+    f"WITH {OPS}, k AS (SELECT o_orderkey AS key, o_totalprice AS value, row_number() OVER (ORDER BY o_orderkey) AS rank FROM orders), "
+    "s AS (SELECT ops.*, j.rank AS r FROM ops ASOF JOIN k j ON ops.key <= j.key) "
+    "SELECT op_id, (k.rank - r - skip)::INT AS step, k.key, k.value FROM s JOIN k ON k.rank >= r + skip AND k.rank < r + skip + n"
+)
+def kv_batch_range_scan(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("op_id"))
+    ops = c.select("op_id", (F.col("op_id") * 7 + 3).alias("key"), (F.col("op_id") % 3).alias("skip"), (F.col("op_id") % 6).alias("n"))
+    return reads.batch_range(ops, _orders(spark, d).select("key", "value"))
+
+
+@query("WITH a AS (SELECT n_nationkey * 1000 AS anchor, n_nationkey AS part_id FROM nation) SELECT o_orderkey AS key, part_id, anchor FROM orders ASOF LEFT JOIN a ON o_orderkey >= anchor")
+def kv_anchor_lookup(spark, d):
+    anchors = table(spark, d, "nation").select((F.col("n_nationkey") * 1000).alias("anchor"), F.col("n_nationkey").alias("part_id"))
+    return reads.locate(_orders(spark, d).select("key"), anchors).select("key", "part_id", F.col("anchor").cast("int").alias("anchor"))
+
+
+# Writes
+
+
+@query("SELECT o_orderkey AS key, CASE WHEN o_orderkey % 10 = 0 THEN 0.5 ELSE o_totalprice END AS value FROM orders UNION ALL SELECT -1, 0.5")
+def kv_put_overwrite(spark, d):
+    rows = _orders(spark, d).select("key", "value", F.lit(False).alias("tombstone"), F.lit(0).alias("run"), F.lit(0).cast("long").alias("seq"))
+    new = rows.filter("key % 10 = 0").select("key").union(spark.range(1).select(F.lit(-1).cast("long"))).select("key", F.lit(0.5).alias("value"), F.lit(1).cast("long").alias("seq"))
+    put = new.select("key", "value", F.lit(False).alias("tombstone"), F.lit(1).alias("run"), "seq")
+    return views.live(rows.unionByName(put)).select("key", "value")
+
+
+@query("SELECT o_orderkey AS key, o_totalprice AS value FROM orders WHERE o_orderkey % 3 <> 1")
+def kv_delete(spark, d):
+    rows = _orders(spark, d).select("key", "value", F.lit(False).alias("tombstone"), F.lit(0).alias("run"), F.lit(0).cast("long").alias("seq"))
+    gone = rows.filter("key % 3 = 1").select("key", F.lit(None).cast("double").alias("value"), F.lit(True).alias("tombstone"), F.lit(1).alias("run"), F.lit(1).cast("long").alias("seq"))
+    return views.live(rows.unionByName(gone)).select("key", "value")
+
+
+@query("SELECT o_orderkey AS key, o_totalprice AS value FROM orders WHERE NOT (o_orderkey >= 200 AND o_orderkey < 1200)")
+def kv_delete_range(spark, d):
+    return writes.delete_range(_orders(spark, d), 200, 1200)[0].select("key", "value")
+
+
+@query("SELECT o_orderkey AS key, (coalesce(sum(l_quantity), 0) + o_custkey)::DOUBLE AS value FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey")
+def kv_rmw_sum(spark, d):
+    view = _orders(spark, d).select("key", F.col("o_custkey").cast("double").alias("value"))
+    updates = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_quantity").alias("argument"), F.col("l_partkey").alias("seq"))
+    return writes.add_up(updates.join(view.select("key"), "key", "left_semi"), view, 1).select("key", "value")
+
+
+@query(
+    f"WITH {RUNS} SELECT key, arg_max(value, run) AS value FROM r LEFT JOIN orders ON o_orderkey = key WHERE NOT tombstone AND value > 10 GROUP BY key, o_custkey HAVING arg_max(value, run) IS DISTINCT FROM o_custkey"
+)
+def kv_rmw_sequence(spark, d):
+    """Updates in order; those of 10 or less, and tombstones, leave the value as it is."""
+    view = _orders(spark, d).select("key", F.col("o_custkey").cast("double").alias("value"))
+    updates = _runs(spark, d).select("key", F.col("run").cast("long").alias("seq"), F.when(~F.col("tombstone") & (F.col("value") > 10), F.col("value")).alias("argument"))
+    return writes.read_modify_write(updates, view, lambda old, a: F.when(a.isNotNull(), a), 1).select("key", "value")
+
+
+@query("SELECT o_orderkey AS key, CASE WHEN c_custkey IS NOT NULL THEN 1.0 ELSE o_totalprice END AS value FROM orders LEFT JOIN customer ON c_custkey = o_orderkey")
+def kv_write_in_place(spark, d):
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("key"))
+    return writes.write_in_place(_orders(spark, d).select("key", "value"), asked, F.lit(1.0))
+
+
+@query(
+    "WITH o AS (SELECT o_orderkey AS key, o_totalprice AS value FROM orders), fresh AS (SELECT * FROM o WHERE key % 2 = 0), rejected AS (SELECT key, -1.0 AS value FROM o WHERE key % 3 = 0) "
+    "SELECT * FROM fresh UNION ALL SELECT * FROM rejected WHERE key NOT IN (SELECT key FROM fresh)"
+)
+def kv_reinsert_rejected(spark, d):
+    o = _orders(spark, d).select("key", "value")
+    return writes.reinsert(o.filter("key % 3 = 0").withColumn("value", F.lit(-1.0)), o.filter("key % 2 = 0"))
+
+
+@query("SELECT id, least(id // 333, 2)::INT AS worker FROM range(1000) t(id)")
+def kv_bulk_ranges(spark, d):
+    return writes.bulk(spark, 1000, 3)
+
+
+@query(
+    "WITH l AS (SELECT user_id AS key, event_id AS seq, event_id % 2 AS epoch, value, event_id % 997 <> 996 AS ok FROM events), "
+    "b AS (SELECT epoch, min(seq) AS bad FROM l WHERE NOT ok GROUP BY epoch), v AS (SELECT l.* FROM l LEFT JOIN b USING (epoch) WHERE bad IS NULL OR seq < bad) "
+    "SELECT key, epoch, seq, value FROM v QUALIFY row_number() OVER (PARTITION BY key ORDER BY epoch DESC, seq DESC) = 1"
+)
+def kv_wal_replay_prefix(spark, d):
+    log = _events(spark, d).select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("event_id") % 2).alias("epoch"), "value", (F.col("event_id") % 997 != 996).alias("checksum_ok"))
+    return writes.replay(log).select("key", "epoch", "seq", "value")
+
+
+# Index statistics
+
+
+@query(
+    f"WITH {RUNS}, f AS (SELECT *, run < max(run) OVER (PARTITION BY key) AS stale FROM r), s AS (SELECT run, count(*) AS n_kv, count(*) FILTER (NOT stale) AS valid_kv, count(*) FILTER (stale) AS stale_kv, "
+    "count(*) FILTER (NOT stale AND tombstone) AS valid_ts, count(*) FILTER (stale AND tombstone) AS stale_ts FROM f GROUP BY run) "
+    "SELECT run, " + ", ".join(f"(sum({c}) OVER (ORDER BY run DESC))::BIGINT AS {c}" for c in ("n_kv", "valid_kv", "stale_kv", "valid_ts", "stale_ts")) + " FROM s"
+)
+def kv_suffix_stats(spark, d):
+    rows = _runs(spark, d).withColumn("key", F.col("key").cast("string")).withColumn("value", F.col("value").cast("string"))
+    return index.suffix_statistics(rows).select("run", "n_kv", "valid_kv", "stale_kv", "valid_ts", "stale_ts")
+
+
+@query(f"WITH {RUNS}, {NEWEST}, c AS (SELECT run, count(*) AS n FROM n GROUP BY run), a AS (SELECT DISTINCT run FROM r) SELECT a.run, (sum(coalesce(n, 0)) OVER (ORDER BY a.run DESC))::BIGINT AS uniqx FROM a LEFT JOIN c USING (run)")
+def kv_uniqx(spark, d):
+    return index.newest_per_suffix(_runs(spark, d))
+
+
+@query("WITH k AS (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 32 AS s FROM orders), c AS (SELECT s, count(*) AS n_keys FROM k GROUP BY s) SELECT n_keys, count(*) AS n_segments FROM c GROUP BY n_keys")
+def kv_segment_histogram(spark, d):
+    return index.segment_histogram(globally_ranked(_orders(spark, d).select("key"), "key"))
+
+
+_LCP = "coalesce(list_max(list_transform(range(0, least(length(previous), length(key)) + 1), lambda i: CASE WHEN left(previous, i) = left(key, i) THEN i ELSE 0 END)), 0)"
+
+
+@query(f"WITH k AS (SELECT url AS key, lag(url) OVER (ORDER BY url) AS previous FROM pages) SELECT key, CASE WHEN previous IS NULL THEN '' ELSE left(key, least({_LCP} + 1, length(key))::INT) END AS anchor FROM k")
+def kv_truncated_anchors(spark, d):
+    urls = table(spark, d, "pages").select(F.col("url").alias("key"))
+    return index.anchors(urls).select("key", "anchor")
+
+
+@query(f"WITH k AS (SELECT url AS key, lag(url) OVER (ORDER BY url) AS previous FROM pages) SELECT key, {_LCP}::INT AS lcp, substr(key, {_LCP}::INT + 1) AS suffix FROM k")
+def kv_compressed_keys(spark, d):
+    urls = table(spark, d, "pages").select(F.col("url").alias("key"))
+    return index.compressed_keys(urls).select("key", "lcp", "suffix")
+
+
+@query(f"WITH {RUNS}, p AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY key) - 1 AS idx FROM r) SELECT key, run, idx, tombstone FROM p QUALIFY row_number() OVER (PARTITION BY key ORDER BY run DESC) = 1")
+def kv_full_index(spark, d):
+    return index.full_index(_runs(spark, d))
+
+
+@query("SELECT (o_orderkey // 1000)::INT AS part_id, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM orders GROUP BY 1")
+def kv_key_range(spark, d):
+    return index.key_range(_orders(spark, d).withColumn("part_id", F.floor(F.col("key") / 1000).cast("int")))
+
+
+@query()
+def kv_bit_segments(spark, d):
+    """Segments of page urls, and the bits each needs to tell its keys apart."""
+    rows = table(spark, d, "pages").select(F.col("url").cast("binary").alias("key"))
+    return index.discriminating_bits(index.bit_segments(rows))
+
+
+@query()
+def kv_slot_segments(spark, d):
+    rows = _runs(spark, d).select("key")
+    return index.slot_segments(rows).groupBy("pid", "segment").agg(F.count("*").alias("n_keys"))
+
+
+@query()
+def kv_bloom_quality(spark, d):
+    rows = _runs(spark, d).filter("run < 6").select("key", "run")
+    filters = bloom.build(rows, ["run"])
+    return bloom.quality(bloom.test(_orders(spark, d).select("key"), filters, ["run"]), rows, ["run"])
+
+
+# Compaction
+
+_PARTS = (
+    "WITH s0 AS (SELECT (l_orderkey // 4000)::INT AS part_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1)::INT AS run FROM lineitem), "
+    "s1 AS (SELECT part_id, run, count(*) AS n_kv FROM s0 WHERE run < 7 GROUP BY part_id, run), t AS (SELECT part_id, sum(n_kv) AS totkv, max(run) + 1 AS r FROM s1 GROUP BY part_id), "
+    "s2 AS (SELECT part_id, run, n_kv FROM s1 UNION ALL SELECT part_id, r, 0 FROM t), "
+    "f1 AS (SELECT s2.part_id, s2.run, t.r, totkv, totkv * 40 AS totsz, (totkv // 3) AS newnr, (totkv // 3) * 50 AS newsz, "
+    "sum(n_kv) OVER (PARTITION BY s2.part_id ORDER BY run DESC) AS accu, coalesce(sum(n_kv) OVER (PARTITION BY s2.part_id ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s2 JOIN t USING (part_id)), "
+    "f2 AS (SELECT *, newsz + CASE WHEN run = 0 THEN totkv ELSE accu END * (totsz // totkv) AS wx FROM f1), f3 AS (SELECT *, wx / (3840.0 * 20400)::DOUBLE + run AS nrun1 FROM f2), "
+    "f4 AS (SELECT *, (8 * ceil(CASE WHEN run = 0 THEN least(nrun1, 8.0) ELSE nrun1 END) + 16) * ((newnr + CASE WHEN run = 0 THEN totkv ELSE below + accu END) // 32) + newnr + CASE WHEN run = 0 THEN totkv ELSE below + accu END AS wy FROM f3), "
+    "f5 AS (SELECT *, (wx + wy) / newsz::DOUBLE AS wa, max(CASE WHEN run = r THEN nrun1 END) OVER (PARTITION BY part_id) AS last FROM f4), "
+    "f6 AS (SELECT *, (wa + nrun1 * 0.75) / (last - nrun1 + CASE WHEN run = 0 AND last > 8 THEN nrun1 - 2 ELSE 0 END + CASE WHEN run = r THEN 1 ELSE 0 END + 4.0) AS score FROM f5) "
+)
+
+
+def _part_stats(spark, d) -> DataFrame:
+    s = _runs(spark, d).filter("run < 7").groupBy(F.floor(F.col("key") / 4000).cast("int").alias("part_id"), "run").agg(F.count("*").alias("n_kv"))
+    t = s.groupBy("part_id").agg(F.sum("n_kv").alias("totkv"), (F.max("run") + 1).alias("r"))
+    rows = s.unionByName(t.select("part_id", F.col("r").alias("run"), F.lit(0).cast("long").alias("n_kv"))).join(t.drop("r"), "part_id")
+    new = F.floor(F.col("totkv") / 3)
+    return rows.select("part_id", "run", "n_kv", F.col("totkv").alias("valid"), "totkv", (F.col("totkv") * 40).alias("totsz"), new.alias("newnr"), (new * 50).alias("newsz"))
+
+
+@query(_PARTS + "SELECT part_id, run, round(score, 6) AS score FROM f6")
+def kv_compaction_scores(spark, d):
+    return compaction.scores(_part_stats(spark, d)).select("part_id", "run", F.round("score", 6).alias("score"))
+
+
+@query(_PARTS + "SELECT part_id, run AS bestrun, CASE WHEN run = 0 THEN 'major' WHEN run < r THEN 'partial' ELSE 'minor' END AS kind FROM f6 WHERE run = 0 OR (run < 8 AND nrun1 < 14) QUALIFY row_number() OVER (PARTITION BY part_id ORDER BY score, run) = 1")
+def kv_compaction_plan(spark, d):
+    stats = _part_stats(spark, d)
+    best = compaction.best_runs(compaction.scores(stats))
+    parts = stats.groupBy("part_id").agg(F.max("run").alias("n_runs"), F.max("valid").alias("valid"), F.max("newnr").alias("newnr"), F.max("newsz").alias("newsz"), F.max("totsz").alias("totsz"))
+    return compaction.plan(parts.withColumn("overlap", F.lit(True)).withColumn("is_last", F.lit(False)), best).select("part_id", "bestrun", "kind")
+
+
+@query(
+    "WITH p AS (SELECT n_nationkey AS part_id, n_nationkey * 1000000 AS newsz, (n_nationkey % 7) * 0.02 AS ratio FROM nation), "
+    "o AS (SELECT *, max(CASE WHEN newsz > 4096 * 5000 OR s > 30000000 OR ratio > 0.1 THEN 1 ELSE 0 END) OVER (ORDER BY ratio, part_id) AS stop FROM (SELECT *, sum(newsz) OVER (ORDER BY ratio, part_id) AS s FROM p)) "
+    "SELECT part_id, CASE WHEN stop = 1 THEN 'minor' ELSE 'reject' END AS kind FROM o"
+)
+def kv_reject_partitions(spark, d):
+    n = table(spark, d, "nation")
+    planned = n.select(F.col("n_nationkey").alias("part_id"), F.lit("minor").alias("kind"), F.lit(1).alias("bestrun"), (F.col("n_nationkey") * 1_000_000).cast("long").alias("newsz"), ((F.col("n_nationkey") % 7) * 0.02).alias("ratio"))
+    return compaction.reject_small(planned, 30_000_000).select("part_id", "kind")
+
+
+@query(f"WITH {RUNS}, {NEWEST} SELECT key, value FROM n WHERE NOT tombstone")
+def kv_compacted_major(spark, d):
+    rows = _runs(spark, d)
+    return compaction.major(rows.filter("run < 5"), rows.filter("run >= 5")).select("key", "value")
+
+
+@query(f"WITH {RUNS}, {NEWEST} SELECT key, value FROM n WHERE NOT tombstone")
+def kv_compacted_partial(spark, d):
+    rows = _runs(spark, d)
+    return views.live(compaction.partial(rows.filter("run < 5"), rows.filter("run >= 5"), 2)).select("key", "value")
+
+
+@query(f"WITH {RUNS}, {NEWEST} SELECT key, value FROM n WHERE NOT tombstone")
+def kv_compacted_minor(spark, d):
+    rows = _runs(spark, d)
+    return views.live(compaction.minor(rows.filter("run < 5"), rows.filter("run >= 5"))).select("key", "value")
+
+
+# Keys and generators
+
+
+@query("SELECT o_orderkey AS id, lpad(lower(hex(o_orderkey)), 16, '0') AS key16, '!!!!' || lpad(lower(hex(o_orderkey)), 16, '0') AS key20 FROM orders")
+def kv_hex_keys(spark, d):
+    return _orders(spark, d).select(F.col("key").alias("id"), keys.hex_key("key").alias("key16"), keys.hex_key("key", 20).alias("key20"))
+
+
+@query("SELECT o_orderkey AS id, o_orderkey AS back FROM orders")
+def kv_u64_round_trip(spark, d):
+    return _orders(spark, d).select(F.col("key").alias("id"), keys.u64_value(keys.u64_key("key")).cast("long").alias("back"))
+
+
+@query("SELECT id, (7 + id % 50)::BIGINT AS incs, (56 - id % 50)::BIGINT AS decs, (7 + (id * 13) % 50)::BIGINT AS skips FROM range(1000) t(id)")
+def kv_sequences(spark, d):
+    r = spark.range(1000)
+    return r.select("id", generators.ascending("id", 7, 56).alias("incs"), generators.descending("id", 7, 56).alias("decs"), generators.skipping("id", 7, 56, 13).alias("skips"))
+
+
+@query(f"SELECT id, ((id * {keys.coprime_stride(5000)} + 17) % 5000)::BIGINT AS number FROM range(5000) t(id)")
+def kv_shuffle_permutation(spark, d):
+    return spark.range(5000).select("id", generators.shuffled("id", 0, 4999, 17).alias("number"))
+
+
+@query()
+def kv_distributions(spark, d):
+    """Moments of every random generator over 20,000 draws."""
+    specs = {"uniform": "uniform 0 999", "zipfian": "zipfian 0 999", "xzipfian": "xzipfian 0 999", "unizipf": "unizipf 0 999 10", "zipfuni": "zipfuni 0 999 10", "expo": "expo 95 1000", "geo": "geo 0.01"}
+    rows = spark.range(20_000)
+    cells = [F.struct(F.lit(n).alias("kind"), generators.parse(s)("id", 42).alias("number")) for n, s in specs.items()]
+    long = rows.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    return long.groupBy("kind").agg(F.min("number").alias("least"), F.max("number").alias("most"), F.round(F.avg("number"), 3).alias("mean"), F.countDistinct("number").alias("n_distinct"))
+
+
+# Workloads and traces
+
+_DRAW = "(o_orderkey * 40503 + 12345) % 65536"
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS mix, op, count(*) AS n FROM (SELECT CASE WHEN {_DRAW} < {m.get * 65536 // 100} THEN 'get' WHEN {_DRAW} < {(m.get + m.scan) * 65536 // 100} THEN 'scan' WHEN {_DRAW} < {(m.get + m.scan + m.set) * 65536 // 100} THEN 'set' ELSE 'update' END AS op FROM orders) GROUP BY op"
+        for n, m in workload.MIXES.items()
+    )
+)
+def kv_ycsb_mix(spark, d):
+    draw = (F.col("key") * 40503 + 12345) % 65536
+    cells = [F.struct(F.lit(n).alias("mix"), workload.chosen_op(draw, m).alias("op")) for n, m in workload.MIXES.items()]
+    return _orders(spark, d).select(F.explode(F.array(*cells)).alias("c")).groupBy("c.mix", "c.op").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type AS op, count(*) AS attempted, count(*) FILTER (value > 50)::BIGINT AS succeeded FROM events GROUP BY 1")
+def kv_op_counts(spark, d):
+    return workload.op_counts(_events(spark, d).select(F.col("event_type").alias("op"), (F.col("value") > 50).alias("ok")))
+
+
+_TRACE = "t AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS i, user_id AS page FROM events), p AS (SELECT *, coalesce(lag(i) OVER (PARTITION BY page ORDER BY i), 0) AS prev FROM t)"
+_CAPACITIES = [1, 2, 4, 8, 16, 32, 64, 100, 128]
+
+
+@query(
+    f"WITH {_TRACE}, d AS (SELECT a.i, count(b.i) AS dist FROM p a LEFT JOIN p b ON b.i > a.prev AND b.i < a.i AND b.prev <= a.prev WHERE a.prev > 0 GROUP BY a.i), c AS (SELECT unnest({_CAPACITIES})::BIGINT AS cap) "
+    "SELECT cap, ((SELECT count(*) FROM t) - (SELECT count(*) FROM d WHERE dist < cap))::BIGINT AS miss_count, (SELECT count(*) FROM d WHERE dist < cap)::BIGINT AS hit_count, (SELECT count(*) FROM t)::BIGINT AS tot_access FROM c"
+)
+def kv_lru_hits(spark, d):
+    trace = _events(spark, d).select(F.struct("ts", "event_id").alias("seq"), F.col("user_id").alias("page"))
+    return lru.sweep(lru.reuse_distances(trace), _CAPACITIES)
 
 
-QUERIES = {"kv_live_view": live_view}
-ORACLES = {"kv_live_view": "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) r FROM events) WHERE r = 1 AND event_type <> 'click'"}
+@query(
+    "WITH v AS (SELECT event_type AS series, event_id, value, row_number() OVER w AS n, avg(value) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS a, min(value) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS lo, "
+    "max(value) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS hi, lag(value, 1) OVER w AS v1, lag(value, 2) OVER w AS v2 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)) "
+    "SELECT series, event_id, lo AS recent_min, hi AS recent_max, coalesce(abs(v1 - value) < value * 0.004 AND abs(v2 - value) < value * 0.004, false) OR (n >= 7 AND hi - lo < a * 0.05) OR n >= 14 AS converged FROM v"
+)
+def kv_convergence(spark, d):
+    rows = _events(spark, d).select(F.col("event_type").alias("series"), "event_id", "value")
+    return statistics.converged(rows, "series", "event_id", "value").select("series", "event_id", "recent_min", "recent_max", "converged")
