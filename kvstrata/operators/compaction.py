@@ -16,7 +16,7 @@ from . import views
 
 @dataclass(frozen=True)
 class Config:
-    # The reference defaults of the cost model.
+    # Defaults of the cost model.
     max_pages: int = 20_400
     pages_accept: int = 5_000
     major_trigger: int = 8

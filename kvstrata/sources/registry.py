@@ -49,11 +49,11 @@ def _same(rows: DataFrame) -> DataFrame:
     return rows
 
 
-# The names that maps are known by, grouped by what they show.
-LIVE = ("remixdb", "discodb", "dummy", "full", "mssty_ts", "mbty_ts", "mbtf", "msstv_ts", "wormhole", "whsafe", "whunsafe", "skiplist", "skipsafe", "bptree")
-NEWEST = ("mssty", "mbty", "msstv")
-VERSIONS = ("sst", "bt", "msstx", "mbtx")
-FLAGGED = ("mssty_dup", "mbty_dup")
+#: A store or memory table; a stack of runs or a partitioned version, live, newest or flagged; plain runs.
+LIVE = ("store", "memory", "stack_live", "version_live", "index_live")
+NEWEST = ("stack_newest", "version_newest", "index_newest")
+VERSIONS = ("run", "stack")
+FLAGGED = ("stack_versions",)
 
 MAPS: dict[str, Callable[[DataFrame], DataFrame]] = {
     **{n: views.live for n in LIVE},

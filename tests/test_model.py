@@ -224,8 +224,8 @@ def test_loaders(spark, tmp_path):
 def test_maps_by_name(spark):
     rows = spark.createDataFrame([(_key(1), bytearray(b"a"), False, 0, 0), (_key(1), None, True, 1, 0), (_key(2), bytearray(b"b"), False, 0, 0)], MUTATIONS)
     count = lambda n: registry.open_map(n, rows).view.count()
-    assert (count("remixdb"), count("mssty"), count("mssty_dup"), count("sst")) == (1, 2, 3, 3)
-    m = registry.open_map("wormhole", rows)
+    assert (count("store"), count("stack_newest"), count("stack_versions"), count("run")) == (1, 2, 3, 3)
+    m = registry.open_map("memory", rows)
     assert not m.probe(b"k0001") and m.probe(b"k0002")
     kept, n = m.delete_range(b"k0002")
     assert n == 1 and kept.view.isEmpty()
