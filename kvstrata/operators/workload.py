@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import generators, keys
+from . import reads
 
 # Operation codes and the mixes of the six standard workloads, in per cent.
 OP_CODES = {"s": "set", "d": "del", "g": "get", "p": "probe", "n": "seeknext", "k": "seekskip"}
@@ -97,3 +98,30 @@ def bench_keys(spark: SparkSession, n: int, klen: int = 16, distribution: str =
     """(id, key): n generated keys as hex text."""
     draw = generators.parse(f"{distribution} 0 {n - 1}")
     return spark.range(n).select(draw(F.col("id")).alias("id")).withColumn("key", keys.hex_key("id", klen))
+
+
+def execute(ops: DataFrame, view: DataFrame) -> DataFrame:
+    """(op_id, op, ok) of every operation against one snapshot.
+
+    ops: op_id, op, key, n. Reads succeed if they find a row: gets and probes by a join, "seeknext"
+    and "scan" in the n rows from their key on, "seekskip" in the row after skipping n. Writes are
+    blind and succeed.
+    """
+    point = ops.filter(F.col("op").isin("get", "probe"))
+    there = view.select("key", F.lit(True).alias("__hit"))
+    points = point.join(there, "key", "left").select("op_id", "op", F.coalesce("__hit", F.lit(False)).alias("ok"))
+    ranged = ops.filter(F.col("op").isin("seeknext", "seekskip", "scan"))
+    skips = F.col("op") == "seekskip"
+    asked = ranged.select("op_id", "key", F.when(skips, F.col("n")).otherwise(0).alias("skip"), F.when(skips, 1).otherwise(F.greatest("n", F.lit(1))).alias("n"))
+    found = reads.batch_range(asked, view.select("key")).groupBy("op_id").agg(F.lit(True).alias("__hit"))
+    ranges = ranged.join(found, "op_id", "left").select("op_id", "op", F.coalesce("__hit", F.lit(False)).alias("ok"))
+    writes = ops.filter(F.col("op").isin("set", "del", "update")).select("op_id", "op", F.lit(True).alias("ok"))
+    return points.union(ranges).union(writes)
+
+
+def apply_writes(ops: DataFrame, run: int, value_bytes: int) -> DataFrame:
+    """The mutations of a pass: sets and updates write value_bytes bytes, dels a tombstone."""
+    gone = F.col("op") == "del"
+    value = F.when(~gone, F.repeat(F.lit("v"), value_bytes).cast("binary"))
+    written = ops.filter(F.col("op").isin("set", "update", "del"))
+    return written.select("key", value.alias("value"), gone.alias("tombstone"), F.lit(run).alias("run"), F.col("op_id").alias("seq"))

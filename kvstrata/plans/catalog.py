@@ -463,6 +463,19 @@ def kv_op_counts(spark, d):
     return workload.op_counts(_events(spark, d).select(F.col("event_type").alias("op"), (F.col("value") > 50).alias("ok")))
 
 
+@query(
+    "WITH ops AS (SELECT c_custkey AS op_id, ['get', 'probe', 'seeknext', 'seekskip', 'set', 'del'][c_custkey % 6 + 1] AS op, c_custkey * 11 AS key, c_custkey % 4 + 1 AS n FROM customer), "
+    "k AS (SELECT o_orderkey AS key, row_number() OVER (ORDER BY o_orderkey) AS rank FROM orders), t AS (SELECT count(*) AS total FROM orders), "
+    "s AS (SELECT ops.*, coalesce(j.rank, total + 1) AS r, total, e.key IS NOT NULL AS there FROM ops ASOF LEFT JOIN k j ON ops.key <= j.key CROSS JOIN t LEFT JOIN k e ON e.key = ops.key) "
+    "SELECT op, count(*) AS attempted, count(*) FILTER (CASE WHEN op IN ('get', 'probe') THEN there WHEN op = 'seeknext' THEN r <= total WHEN op = 'seekskip' THEN r + n <= total ELSE true END)::BIGINT AS succeeded FROM s GROUP BY op"
+)
+def kv_executed_ops(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("op_id"))
+    op = F.element_at(F.array(*map(F.lit, ("get", "probe", "seeknext", "seekskip", "set", "del"))), (F.col("op_id") % 6 + 1).cast("int"))
+    ops = c.select("op_id", op.alias("op"), (F.col("op_id") * 11).alias("key"), (F.col("op_id") % 4 + 1).alias("n"))
+    return workload.op_counts(workload.execute(ops, _orders(spark, d)))
+
+
 _TRACE = "t AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS i, user_id AS page FROM events), p AS (SELECT *, coalesce(lag(i) OVER (PARTITION BY page ORDER BY i), 0) AS prev FROM t)"
 _CAPACITIES = [1, 2, 4, 8, 16, 32, 64, 100, 128]
 
