@@ -19,9 +19,10 @@ SLOTS, SEGMENT_KEYS, SEGMENT_BITS = 32, 64, 32
 
 def sorted_view(rows: DataFrame) -> DataFrame:
     """Every version with stale, tombstone and tail (the oldest version of its key)."""
-    flagged = views.all_versions(rows)
-    low = rows.groupBy(F.col("key").alias("__k")).agg(F.min(F.struct("run", "seq")).alias("__low"))
-    return flagged.join(low, F.col("key").eqNullSafe(F.col("__k"))).withColumn("tail", F.struct("run", "seq") == F.col("__low")).drop("__k", "__low")
+    own = F.struct("run", "seq")
+    ends = rows.groupBy(F.col("key").alias("__k")).agg(F.max(own).alias("__top"), F.min(own).alias("__low"))
+    joined = rows.join(ends, F.col("key").eqNullSafe(F.col("__k")))
+    return joined.withColumn("stale", own < F.col("__top")).withColumn("tail", own == F.col("__low")).drop("__k", "__top", "__low")
 
 
 def _assigned(rows: DataFrame, close) -> DataFrame:

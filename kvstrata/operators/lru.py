@@ -55,10 +55,15 @@ def reuse_distances(trace: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     trace: (seq, page); seq orders the accesses and needn't be dense.
     """
-    placed = globally_ranked(trace.select("seq", "page"), "seq").select((F.col("rank") + 1).alias("place"), "page")
-    prev = F.coalesce(F.lag("place").over(Window.partitionBy("page").orderBy("place")), F.lit(0))
     at = lambda c: F.floor((F.col(c) - 1) / chunk).cast("long")
-    rows = materialise(placed.withColumn("prev", prev).withColumn("c", at("place")).withColumn("pc", F.when(F.col("prev") > 0, at("prev")).otherwise(F.lit(-1))))
+    placed = globally_ranked(trace.select("seq", "page"), "seq").select((F.col("rank") + 1).alias("place"), "page").withColumn("c", at("place"))
+    # The access before, in the same chunk or else the page's last one in an earlier chunk: a hot page has one row a chunk.
+    last = placed.groupBy("page", "c").agg(F.max("place").alias("last"))
+    carried = last.select("page", "c", F.lag("last").over(Window.partitionBy("page").orderBy("c")).alias("carried"))
+    local = F.lag("place").over(Window.partitionBy("page", "c").orderBy("place"))
+    linked = placed.withColumn("local", local).join(carried, ["page", "c"])
+    linked = linked.select("place", "page", "c", F.coalesce("local", "carried", F.lit(0)).alias("prev"))
+    rows = materialise(linked.withColumn("pc", F.when(F.col("prev") > 0, at("prev")).otherwise(F.lit(-1))))
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place")

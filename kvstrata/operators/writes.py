@@ -41,7 +41,8 @@ def read_modify_write(updates: DataFrame, view: DataFrame, combine, run: int) ->
     """New versions from combine(old value, argument), where old is null for an absent key.
 
     updates: (key, seq, argument). Updates of one key apply in seq order, each to the result of the
-    one before. A null result leaves the key as it is.
+    one before, so they meet in one row; where combine is a sum, add_up doesn't gather them. A null
+    result leaves the key as it is.
     """
     per_key = updates.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("seq", "argument"))).alias("todo"))
     joined = per_key.join(view.select("key", F.col("value").alias("__old")), "key", "left")
