@@ -10,11 +10,11 @@ broadcast, have a fixed size (ROWS * 2**CELL_BITS / 8 bytes) whatever the corpus
 lets more windows through to pass 2; it never loses one.
 
 Pass 2 groups exactly. Windows whose minimizer is estimated repeated are hashed to 128 bits and
-sent to the shard of their hash. A window met twice among the hashes that a task holds is known to be repeated: it is
+sent to the shard of their minimizer. A window met twice among the hashes that a task holds is known to be repeated: it is
 marked at once and sent a single time, without a return address, so a passage that fills a third
 of the corpus costs a shard one entry for each of those. Shards answer the addresses of repeated windows.
 
-Pass 3 joins the marks to the texts by document and removes the covered words.
+Pass 3 deals the texts to buckets, where their marks wait, and removes the covered words.
 """
 
 from __future__ import annotations
@@ -39,8 +39,10 @@ CELL_BITS = 27
 SHARD_BITS = 20
 #: Window hashes that a task holds before it sends them.
 HELD_ENTRIES = 1_000_000
-#: Shards of window hashes for each shuffle partition; one shard at a time is held in memory.
+#: Shards of window hashes, and buckets of documents, for each shuffle partition. A task holds one
+#: shard's hashes or one bucket's marks at a time.
 SHARDS_PER_PARTITION = 4
+BUCKETS_PER_PARTITION = 2
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _U = np.uint64
@@ -170,18 +172,95 @@ def estimated_repeated(h: np.ndarray, bitmaps: list[np.ndarray], bits: int) -> n
     return out
 
 
-_ENTRY = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i4"), ("at", "<i4")])
+#: A window hash of 128 bits, its document's place in a list of keys, its start, and where it is sent.
+_ENTRY = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i4"), ("at", "<i4"), ("shard", "<i4")])
+_SENT = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i4"), ("at", "<i4")])
+#: Starts first..last of windows to remove from the document with this key.
+_MARK = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("first", "<i4"), ("last", "<i4")])
 
 
-def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows are told apart by id and text; equal rows share their marks, which are equal too."""
-    rows = C.id_text(df, id_col, text_col)
-    return rows.withColumn("key", F.xxhash64("doc_id", "text"))
+def _key_columns(id_col: str, text_col: str) -> list:
+    """128 bits that tell rows apart by id and text; equal rows share their marks, which are equal too."""
+    doc_id, text = C.col(id_col), F.coalesce(C.col(text_col), F.lit(""))
+    return [F.xxhash64(doc_id, text).alias("__k1"), F.xxhash64(F.lit(1), text, doc_id).alias("__k2")]
 
 
-def marks(docs: DataFrame, window: int, bitmaps, bits: int, shards: int) -> DataFrame:
-    """(doc_id, key, at): at holds starts of repeated windows as 32-bit numbers."""
-    kind = C.id_type(docs, "doc_id")
+def _together(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All entries in hash order, the keys they refer to, and which equal the one before."""
+    base = np.cumsum([0, *(len(h[1]) for h in held)])
+    entry = np.concatenate([h[0] for h in held])
+    entry["doc"] += np.repeat(base[:-1], [len(h[0]) for h in held]).astype("<i4")
+    entry = entry[np.lexsort((entry["b"], entry["a"]))]
+    same = (entry["a"][1:] == entry["a"][:-1]) & (entry["b"][1:] == entry["b"][:-1])
+    return entry, np.concatenate([h[1] for h in held]), same
+
+
+def _mark_rows(entry: np.ndarray, keys: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
+    """The entries' starts as runs of neighbours, packed by the bucket of their document."""
+    doc, at = entry["doc"].astype(np.int64), entry["at"].astype(np.int64)
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > 1)
+    begin = np.flatnonzero(new)
+    out = np.empty(len(begin), _MARK)
+    out["k1"], out["k2"] = keys[doc[begin]].T
+    out["first"], out["last"] = at[begin], at[np.append(begin[1:], len(at)) - 1]
+    return _packed(out, out["k1"] % buckets)
+
+
+def _packed(rows: np.ndarray, to: np.ndarray) -> tuple[list[int], list[bytes]]:
+    order = np.argsort(to, kind="stable")
+    rows, to = rows[order], to[order]
+    edges = np.flatnonzero(np.diff(to, prepend=-1, append=-1)).tolist()
+    return to[edges[:-1]].tolist(), [rows[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+
+
+def _batch(to: list[int], blobs: list[bytes], keys: list[bytes] | None = None, mark: bool = False) -> pa.RecordBatch:
+    n = len(to)
+    return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([mark] * n), pa.array(keys or [None] * n, pa.binary()), pa.array(blobs, pa.binary())], names=["to", "mark", "keys", "entries"])
+
+
+def _sent(held: list, shards: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    if not held:
+        return
+    entry, keys, same = _together(held)
+    first, alone = np.concatenate([[True], ~same]), np.concatenate([~same, [True]])
+    alone &= first
+    if not alone.all():
+        yield _batch(*_mark_rows(entry[~alone], keys, buckets), mark=True)
+    send = entry[first]
+    send["at"][~alone[first]] = -1  # known already: it counts, but wants no answer
+    send = send[np.argsort(send["shard"], kind="stable")]
+    edges = np.flatnonzero(np.diff(send["shard"], prepend=-1, append=-1)).tolist()
+    blobs, owners = [], []
+    for a, b in zip(edges, edges[1:]):
+        part = np.empty(b - a, _SENT)
+        for name in ("a", "b", "at"):
+            part[name] = send[name][a:b]
+        used, part["doc"] = np.unique(send["doc"][a:b], return_inverse=True)
+        owners.append(keys[used].tobytes())
+        blobs.append(part.tobytes())
+    yield _batch(send["shard"][edges[:-1]].tolist(), blobs, owners)
+
+
+def _matched(held: list, buckets: int) -> Iterator[pa.RecordBatch]:
+    if not held:
+        return
+    entry, keys, same = _together(held)
+    again = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    hit = entry[again & (entry["at"] >= 0)]  # an entry without an address was answered where it came from
+    if len(hit):
+        to, blobs = _mark_rows(hit, keys, buckets)
+        yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(blobs, pa.binary())], names=["__bucket", "__marks"])
+
+
+def marks(docs: DataFrame, window: int, bitmaps, bits: int, shards: int, buckets: int) -> DataFrame:
+    """(__bucket, __marks): the marks of all documents of a bucket, packed, in any number of rows.
+
+    docs: text and the key columns. A window goes to the shard of its minimizer, so neighbours
+    mostly go together.
+    """
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = bitmaps.value
@@ -189,127 +268,105 @@ def marks(docs: DataFrame, window: int, bitmaps, bits: int, shards: int) -> Data
         for batch in C.slices(batches):
             w = Windows(batch.column("text"), window)
             least, _ = w.minimizers()
-            starts = w.starts[estimated_repeated(least, maps, bits)]
+            likely = estimated_repeated(least, maps, bits)
+            starts = w.starts[likely]
             if not len(starts):
                 continue
             entry = np.empty(len(starts), _ENTRY)
             entry["a"], entry["b"] = (w.rolled(i, window)[starts] for i in (0, 1))
+            entry["shard"] = (least[likely] >> _U(20)) % _U(shards)
             doc = np.searchsorted(w.at, starts, "right") - 1
             entry["at"] = starts - w.at[doc]
             used, entry["doc"] = np.unique(doc, return_inverse=True)
-            used = pa.array(used)
-            held.append((entry, batch.column("doc_id").take(used), batch.column("key").take(used)))
+            keys = np.stack([batch.column(c).to_numpy()[used] for c in ("__k1", "__k2")], axis=1)
+            held.append((entry, keys))
             size += len(entry)
             if size > HELD_ENTRIES:
-                yield from _sent(held, shards)
+                yield from _sent(held, shards, buckets)
                 held, size = [], 0
-        yield from _sent(held, shards)
+        yield from _sent(held, shards, buckets)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
-            for i, shard in enumerate(batch.column("shard").to_pylist()):
-                if shard == -1:  # marks already known pass through
-                    yield _passed(batch, i)
+            known = batch.filter(batch.column("mark"))
+            if known.num_rows:
+                yield pa.RecordBatch.from_arrays([known.column("to"), known.column("entries")], names=["__bucket", "__marks"])
+            for shard, keys, blob in zip(*(batch.column(c).to_pylist() for c in ("to", "keys", "entries"))):
+                if keys is None:
                     continue
                 if shard != at:
-                    yield from _matched(held)
+                    yield from _matched(held, buckets)
                     at, held = shard, []
-                held.append((np.frombuffer(batch.column("entries")[i].as_py(), _ENTRY), batch.column("ids")[i].values, batch.column("keys")[i].values))
-        yield from _matched(held)
+                held.append((np.frombuffer(blob, _SENT), np.frombuffer(keys, np.int64).reshape(-1, 2)))
+        yield from _matched(held, buckets)
 
-    schema = f"shard int, ids array<{kind}>, keys array<bigint>, entries binary"
-    sent = docs.mapInArrow(look, schema)
-    n = C.parts(docs.sparkSession)
-    # Known marks (shard -1) are dealt anywhere, the rest by shard.
-    to = F.when(F.col("shard") >= 0, F.col("shard")).otherwise(F.xxhash64("keys"))
-    dealt = sent.repartition(n, to).sortWithinPartitions("shard")
-    return dealt.mapInArrow(match, f"doc_id {kind}, key bigint, at binary")
+    sent = docs.select("text", "__k1", "__k2").mapInArrow(look, "to int, mark boolean, keys binary, entries binary")
+    dealt = sent.repartition(C.parts(docs.sparkSession), "mark", "to").sortWithinPartitions("mark", "to")
+    return dealt.mapInArrow(match, "__bucket int, __marks binary")
 
 
-def _together(held: list) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]:
-    """All entries in hash order, the ids and keys they refer to, and which equal the one before."""
-    base = np.cumsum([0, *(len(h[1]) for h in held)])
-    entry = np.concatenate([h[0] for h in held])
-    entry["doc"] += np.repeat(base[:-1], [len(h[0]) for h in held]).astype("<i4")
-    entry = entry[np.lexsort((entry["b"], entry["a"]))]
-    same = (entry["a"][1:] == entry["a"][:-1]) & (entry["b"][1:] == entry["b"][:-1])
-    return entry, pa.concat_arrays([h[1] for h in held]), pa.concat_arrays([h[2] for h in held]), same
-
-
-def _by_document(entry: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    entry = entry[np.argsort(entry["doc"], kind="stable")]
-    edges = np.flatnonzero(np.diff(entry["doc"], prepend=-1, append=-1))
-    return entry["doc"][edges[:-1]], [runs(entry["at"][a:b]) for a, b in zip(edges.tolist(), edges[1:].tolist())]
-
-
-def _sent(held: list, shards: int) -> Iterator[pa.RecordBatch]:
-    if not held:
-        return
-    entry, ids, keys, same = _together(held)
-    names = ["shard", "ids", "keys", "entries"]
-    first, alone = np.concatenate([[True], ~same]), np.concatenate([~same, [True]])
-    alone &= first
-    if not alone.all():
-        docs, blobs = _by_document(entry[~alone])
-        each, docs = pa.array(np.arange(len(docs) + 1), pa.int32()), pa.array(docs)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), -1), pa.int32()), pa.ListArray.from_arrays(each, ids.take(docs)), pa.ListArray.from_arrays(each, keys.take(docs)), pa.array(blobs, pa.binary())], names=names)
-    send = entry[first]
-    send["at"][~alone[first]] = -1  # known already: it counts, but wants no answer
-    shard = (send["a"] >> _U(40)) % _U(shards)
-    order = np.argsort(shard, kind="stable")
-    send, shard = send[order], shard[order].astype(np.int64)
-    edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
-    blobs, owners = [], []
-    for a, b in zip(edges.tolist(), edges[1:].tolist()):
-        part = send[a:b]
-        used, part["doc"] = np.unique(part["doc"], return_inverse=True)
-        owners.append(used)
-        blobs.append(part.tobytes())
-    offsets, flat = pa.array(np.cumsum([0, *map(len, owners)]), pa.int32()), pa.array(np.concatenate(owners))
-    yield pa.RecordBatch.from_arrays([pa.array(shard[edges[:-1]], pa.int32()), pa.ListArray.from_arrays(offsets, ids.take(flat)), pa.ListArray.from_arrays(offsets, keys.take(flat)), pa.array(blobs, pa.binary())], names=names)
-
-
-def runs(at: np.ndarray) -> bytes:
-    """Starts as (first, last) of their runs of neighbours."""
-    at = np.unique(at)
-    new = np.flatnonzero(np.diff(at, prepend=-2) > 1)
-    last = np.append(new[1:], len(at)) - 1
-    return np.stack([at[new], at[last]], axis=1).astype("<i4").tobytes()
+def keep_mask(n: int, marked: np.ndarray, window: int) -> np.ndarray:
+    """Which of n words no marked window covers."""
+    depth = np.zeros(n + 1, np.int64)
+    np.add.at(depth, marked["first"], 1)
+    np.add.at(depth, marked["last"] + window, -1)
+    return np.cumsum(depth[:n]) <= 0
 
 
-def _passed(batch: pa.RecordBatch, i: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([batch.column("ids")[i].values, batch.column("keys")[i].values, batch.column("entries").slice(i, 1)], names=["doc_id", "key", "at"])
+class _Marks:
+    """The marks of one bucket, by document key."""
 
+    def __init__(self):
+        self.bucket, self.blobs, self.table, self.where = None, [], None, None
 
-def _matched(held: list) -> Iterator[pa.RecordBatch]:
-    if not held:
-        return
-    entry, ids, keys, same = _together(held)
-    again = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    hit = entry[again & (entry["at"] >= 0)]  # an entry without an address was answered where it came from
-    if len(hit):
-        docs, blobs = _by_document(hit)
-        docs = pa.array(docs)
-        yield pa.RecordBatch.from_arrays([ids.take(docs), keys.take(docs), pa.array(blobs, pa.binary())], names=["doc_id", "key", "at"])
+    def at(self, bucket: int) -> None:
+        if bucket != self.bucket:
+            self.bucket, self.blobs, self.table, self.where = bucket, [], None, None
 
+    def of(self, k1: int, k2: int) -> np.ndarray | None:
+        if self.where is None:
+            table = np.frombuffer(b"".join(self.blobs), _MARK)
+            table = table[np.lexsort((table["k2"], table["k1"]))]
+            new = np.ones(len(table), bool)
+            new[1:] = (table["k1"][1:] != table["k1"][:-1]) | (table["k2"][1:] != table["k2"][:-1])
+            begin = np.flatnonzero(new)
+            ends = np.append(begin[1:], len(table)).tolist()
+            self.table, self.where = table, {(int(table["k1"][a]), int(table["k2"][a])): (a, b) for a, b in zip(begin.tolist(), ends)}
+        found = self.where.get((k1, k2))
+        return None if found is None else self.table[found[0] : found[1]]
 
-def keep_mask(n: int, blobs: list[bytes], window: int) -> np.ndarray:
-    depth = np.zeros(n + 1, np.int64)
-    for blob in blobs:
-        pairs = np.frombuffer(blob, "<i4").reshape(-1, 2)
-        np.add.at(depth, pairs[:, 0], 1)
-        np.add.at(depth, pairs[:, 1] + window, -1)
-    return np.cumsum(depth[:n]) <= 0
 
+def marked_rows(df: DataFrame, id_col: str, text_col: str, window: int, bits: int) -> DataFrame:
+    """The rows with __k1, __k2, __bucket and __marks, each bucket's marks before its rows.
 
-def repeated_marks(df: DataFrame, id_col: str, text_col: str, window: int, bits: int) -> tuple[DataFrame, DataFrame]:
-    """The keyed rows, and per key all marks."""
-    docs = _keyed(df, id_col, text_col)
-    sc = df.sparkSession.sparkContext
-    bitmaps = sc.broadcast(sketch(docs, window, bits))
-    found = marks(docs, window, bitmaps, bits, C.parts(df.sparkSession) * SHARDS_PER_PARTITION)
-    return docs, found.groupBy("doc_id", "key").agg(F.collect_list("at").alias("marks"))
+    Rows of marks have __marks and nothing else; a bucket's rows share a partition.
+    """
+    spark = df.sparkSession
+    n = C.parts(spark)
+    rows = df.select("*", *_key_columns(id_col, text_col))
+    docs = rows.select(F.coalesce(C.col(text_col), F.lit("")).alias("text"), "__k1", "__k2")
+    bitmaps = spark.sparkContext.broadcast(sketch(docs, window, bits))
+    found = marks(docs, window, bitmaps, bits, n * SHARDS_PER_PARTITION, n * BUCKETS_PER_PARTITION)
+    rows = rows.withColumn("__bucket", F.pmod("__k1", F.lit(n * BUCKETS_PER_PARTITION)).cast("int")).withColumn("__marks", F.lit(None).cast("binary"))
+    both = rows.unionByName(found, allowMissingColumns=True)
+    return both.repartition(n, "__bucket").sortWithinPartitions("__bucket", F.col("__marks").isNull())
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """The rows of each batch that aren't marks, and the marks of each or None."""
+    state = _Marks()
+    for batch in batches:
+        mine, found = [], []
+        for i, (bucket, blob, k1, k2) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("__bucket", "__marks", "__k1", "__k2")))):
+            state.at(bucket)
+            if blob is not None:
+                state.blobs.append(blob)
+            else:
+                mine.append(i)
+                found.append(state.of(k1, k2))
+        if mine:
+            yield batch.take(pa.array(mine)), found
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, cell_bits: int = CELL_BITS) -> DataFrame:
@@ -320,41 +377,35 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     are handled whole; equal rows are places of their own, so their windows repeat; a null id is an
     id like others; an empty table gives no rows; other columns are ignored.
     """
-    docs, marked = repeated_marks(df, id_col, text_col, window, cell_bits)
-    joined = docs.join(marked.withColumnsRenamed({"doc_id": "d", "key": "k"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left").select("doc_id", "text", "marks")
+    rows = marked_rows(C.id_text(df, id_col, text_col), "doc_id", "text", window, cell_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.slices(batches):
-            rows = [_kept(t, m, window) for t, m in zip(C.plain(batch.column("text")).cast(pa.binary()).to_pylist(), batch.column("marks").to_pylist())]
-            columns = list(zip(*rows))
+        for batch, found in _met(batches):
+            texts = C.plain(batch.column("text")).cast(pa.binary()).to_pylist()
+            columns = list(zip(*(_kept(t, m, window) for t, m in zip(texts, found))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2]), pa.array(columns[3], pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return joined.mapInArrow(run, f"doc_id {C.id_type(df, id_col)}, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    return rows.mapInArrow(run, f"doc_id {C.id_type(df, id_col)}, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
 
 
 def deduplicated_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, cell_bits: int = CELL_BITS) -> DataFrame:
     """The same rows and columns; texts that lose words become their kept words joined by a space."""
-    _, marked = repeated_marks(df, id_col, text_col, window, cell_bits)
-    marked = marked.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("marks").alias("__marks"))
-    own = F.xxhash64(C.col(id_col), F.coalesce(C.col(text_col), F.lit("")))
-    joined = df.join(marked, C.col(id_col).eqNullSafe(F.col("__id")) & (own == F.col("__key")), "left").drop("__id", "__key")
-    where = df.columns.index(text_col)
+    where, n = df.columns.index(text_col), len(df.columns)
+    rows = marked_rows(df, id_col, text_col, window, cell_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            old, marks = batch.column(where), batch.column(batch.num_columns - 1)
-            new = [t if m is None or t is None else _kept(t.encode(), m, window)[3].decode() for t, m in zip(old.to_pylist(), marks.to_pylist())]
-            columns = [pa.array(new, old.type) if i == where else batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+        for batch, found in _met(batches):
+            old = batch.column(where)
+            new = [t if m is None or t is None else _kept(t.encode(), m, window)[3].decode() for t, m in zip(old.to_pylist(), found)]
+            yield pa.RecordBatch.from_arrays([pa.array(new, old.type) if i == where else batch.column(i) for i in range(n)], names=batch.schema.names[:n])
 
-    return joined.mapInArrow(run, df.schema)
+    return rows.mapInArrow(run, df.schema)
 
 
-def _kept(text: bytes, blobs: list[bytes] | None, window: int) -> tuple[int, int, str, bytes]:
+def _kept(text: bytes, marked: np.ndarray | None, window: int) -> tuple[int, int, str, bytes]:
     words = text.split()
     kept = words
-    if blobs:
-        mask = keep_mask(len(words), blobs, window)
-        kept = [w for w, k in zip(words, mask.tolist()) if k]
+    if marked is not None:
+        kept = [w for w, k in zip(words, keep_mask(len(words), marked, window).tolist()) if k]
     whole = b" ".join(kept)
     return len(words), len(words) - len(kept), hashlib.sha256(whole).hexdigest(), whole
