@@ -209,7 +209,8 @@ def pseudo_likelihood(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("stride must be positive and rounds not negative")
     rows = C.id_text(df, id_col, text_col)
     sc = df.sparkSession.sparkContext
-    frequent = word_counts(rows).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()  # VOCABULARY rows at most
+    # Cut first: a collected limit would send every partition's candidates to the driver.
+    frequent = C.cut(word_counts(rows).orderBy(F.desc("n"), "word").limit(VOCABULARY)).orderBy(F.desc("n"), "word").collect()
     vocabulary = sc.broadcast({r["word"]: i for i, r in enumerate(frequent)})
     shared = sc.broadcast(train(rows, vocabulary, rounds, stride, rate))
 
