@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,49 +36,49 @@ Filling = tuple[int, ...]
 
 
 def completions(room: int, left: dict[int, int], sizes: list[int], steps: int, most: int) -> list[Filling]:
-    """Undominated fillings of `room` with the pieces left, least waste first; sizes is ascending."""
+    """Undominated fillings of `room` with the pieces left, least waste first; sizes is ascending.
+
+    A step takes a length with all its copies, so the depth is the number of different lengths in
+    a filling: below 64 for sequences of 2048.
+    """
     found: dict[Filling, int] = {}
     budget = steps
 
-    def go(room: int, high: int, chosen: list[int]) -> bool:
-        """True once the room is filled without waste."""
+    def go(room: int, high: int, chosen: Filling) -> bool:
+        """Fill with lengths below place `high`; True once the room is filled without waste."""
         nonlocal budget
         budget -= 1
-        end = bisect_right(sizes, min(room, high))
-        placed = False
-        if room and room <= high and left.get(room, 0) > chosen.count(room):
+        end = bisect_right(sizes, room, 0, high)
+        if end and sizes[end - 1] == room and left[room]:
             found[(*chosen, room)] = 0
             return True
+        placed = False
         for i in range(end - 1, -1, -1):
             size = sizes[i]
-            if left[size] <= chosen.count(size):
-                continue
-            placed = True
-            chosen.append(size)
-            full = go(room - size, size, chosen)
-            chosen.pop()
-            if full or budget <= 0:
-                return full
+            for k in range(min(left[size], room // size), 0, -1):
+                placed = True
+                full = go(room - k * size, i, chosen + (size,) * k)
+                if full or budget <= 0:
+                    return full
         if not placed:
-            found.setdefault(tuple(chosen), room)
+            found.setdefault(chosen, room)
             return room == 0
         return False
 
-    go(room, room, [])
-    if not found:
-        return [()]
+    go(room, len(sizes), ())
 
     def dominated(filling: Filling, waste: int) -> bool:
-        for size in set(filling):
+        used = Counter(filling)
+        for size in used:
             i = bisect_right(sizes, size + waste) - 1
             while i >= 0 and sizes[i] > size:
-                if left[sizes[i]] > filling.count(sizes[i]):
+                if left[sizes[i]] > used[sizes[i]]:
                     return True
                 i -= 1
         return False
 
     ranked = sorted(found.items(), key=lambda f: (f[1], tuple(-x for x in f[0])))
-    best = [f for f, waste in ranked if waste == ranked[0][1] or not dominated(f, waste)]
+    best = [f for f, waste in ranked if waste == ranked[0][1] or not dominated(f, waste)] if ranked else [()]
     return best[:most]
 
 
@@ -116,7 +117,7 @@ class _Search:
                 stack.append(self._use(plan[-1][1], left, sizes, plan[:-1], bins, waste))
 
     def _use(self, filling: Filling, left: dict[int, int], sizes: list[int], plan: list, bins: int, waste: int):
-        need = {s: filling.count(s) for s in set(filling)}
+        need = Counter(filling)
         times = min(left[s] // k for s, k in need.items())
         for s, k in need.items():
             left[s] -= k * times
@@ -161,8 +162,7 @@ def slots(plan: list[tuple[int, Filling]]) -> dict[str, np.ndarray]:
     rows, sequence = [], 0
     for times, filling in plan:
         offset = 0
-        for size in sorted(set(filling), reverse=True):
-            k = filling.count(size)
+        for size, k in sorted(Counter(filling).items(), reverse=True):
             rows.append((size, taken.get(size, 0), k, sequence, offset))
             taken[size] = taken.get(size, 0) + k * times
             offset += k * size

@@ -460,6 +460,9 @@ def test_plans_are_whole_and_best():
                 used[x] += times
         assert used == Counter(items)
         assert sum(t for t, _ in plan) == _fewest(items, 20)
+    for counts, fewest in (({1: 100_000}, 49), ({1: 5000, 2: 7000, 3: 11}, 10), ({2: 3000}, 3), ({1500: 10, 3: 5}, 10)):
+        plan = packing.plan_packing(counts, 2048)
+        assert sum(t for t, _ in plan) == fewest and {s: sum(t * f.count(s) for t, f in plan) for s in counts} == counts
     with pytest.raises(ValueError):
         packing.plan_packing({21: 1}, 20)
 
