@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from kvstrata.llm import common
 from kvstrata.llm.importance import selected_rows
+from kvstrata.llm.near_copies import near_copies
 from kvstrata.llm.packing import pack
 from kvstrata.llm.pii import redacted
-from kvstrata.llm.simhash_dedup import near_duplicates
 from kvstrata.llm.substring_dedup import deduplicated_rows
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -37,13 +37,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the smallest id.
+    """One document of each component of near copies (five-word similarity of 0.8 or more): the one with the smallest id.
 
     Of rows that are equal in id and text one stays; rows without an id can't be told apart and
     stay. Rows of one id with different texts stay or go with the component that the id names.
     """
     docs = _whole(docs)
-    found = near_duplicates(docs)
+    found = near_copies(docs)
     ids = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(ids, F.col("doc_id") == F.col("__id"), "left_semi")
     if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():

@@ -1,0 +1,179 @@
+"""Near copies by the Jaccard similarity of five-word shingles, every link checked exactly.
+
+Texts with equal shingle sets are one node. Candidates share one of 32 bands of 4 minimum hashes;
+a pair at the least similarity of 0.8 shares none with probability (1 - 0.8**4)**32, below 5e-8,
+and a more similar pair with less. No bit limit of a SimHash has such a bound.
+
+First every member of a band is checked against the band's least member, which settles most bands
+in rows that grow with the members. Where members other than that one still lie in different
+components, the band's members meet in one task, which checks all pairs not yet joined.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common as C
+from .simhash_dedup import SEED, components, shingle_hashes, signed
+
+SHINGLE = 5
+SIMILARITY = 0.8
+BANDS = 32
+ROWS = 4
+#: Shingles hashed at once.
+CHUNK = 4096
+
+_RNG = np.random.default_rng(SEED)
+_FLIP, _TIMES, _MIX = (_RNG.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64) | np.uint64(k) for k in (0, 1, 1))
+
+
+def shingle_set(data: bytes) -> np.ndarray:
+    """Sorted hashes of the shingles; a shorter text is one shingle, a wordless one has none."""
+    words = data.lower().split()
+    if len(words) < SHINGLE:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
+    return np.unique(shingle_hashes(words, SHINGLE))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for i in range(0, len(shingles), CHUNK):
+        h = (shingles[i : i + CHUNK] ^ _FLIP) * _TIMES
+        np.minimum(least, (h ^ (h >> np.uint64(32))).min(axis=1), out=least)
+    mixed = least * _MIX[:, 0]
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return mixed.reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both)
+
+
+def _fp(shingles: np.ndarray) -> int:
+    return signed(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
+
+
+def _signed_up(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.slices(batches):
+            sets = [shingle_set(t) for t in C.plain(batch.column("text")).cast(pa.binary()).to_pylist()]
+            keys = pa.array(np.concatenate([band_keys(s) for s in sets]))
+            at = pa.array(np.arange(0, len(keys) + 1, BANDS), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_fp(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(at, keys)], names=["doc_id", "fp", "bands"])
+
+    return C.id_text(df, id_col, text_col).mapInArrow(run, f"doc_id {C.id_type(df, id_col)}, fp bigint, bands array<bigint>")
+
+
+def _sets(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(fp, shingles) once for every wanted fp."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.slices(batches):
+            texts = C.plain(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array([_fp(shingle_set(t)) for t in texts.cast(pa.binary()).to_pylist()], pa.int64()), texts], names=["fp", "text"])
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.slices(batches):
+            sets = [shingle_set(t).tobytes() for t in C.plain(batch.column("text")).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.binary())], names=["fp", "shingles"])
+
+    rows = C.id_text(df, id_col, text_col).select("text").mapInArrow(named, "fp bigint, text string")
+    return rows.join(wanted, "fp", "left_semi").dropDuplicates(["fp"]).mapInArrow(cut_up, "fp bigint, shingles binary")
+
+
+def _check(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("sa", "sb"))
+            keep = pa.array([similar(x, y, least) for x, y in zip(a, b)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep)
+
+    return run
+
+
+def joined_members(fps: list[int], roots: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links that join all members connected by similar pairs; those of one root are joined already."""
+    order = sorted(range(len(fps)), key=lambda i: len(sets[i]))
+    top: dict[int, int] = {}
+    out = []
+
+    def find(r: int) -> int:
+        while r in top:
+            r = top[r]
+        return r
+
+    for n, i in enumerate(order):
+        for j in reversed(order[:n]):
+            if len(sets[j]) < least * len(sets[i]):
+                break
+            a, b = find(roots[i]), find(roots[j])
+            if a != b and similar(sets[i], sets[j], least):
+                top[max(a, b)] = min(a, b)
+                out.append((fps[i], fps[j]))
+    return out
+
+
+def _meet(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        band, members = None, []
+
+        def done() -> list[tuple[int, int]]:
+            return joined_members(*map(list, zip(*members)), least) if len(members) > 1 else []
+
+        def table(out: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for key, fp, root, shingles in zip(*(batch.column(c).to_pylist() for c in ("band", "fp", "root", "shingles"))):
+                if key != band:
+                    yield table(done())
+                    band, members = key, []
+                members.append((fp, root, np.frombuffer(shingles, np.uint64)))
+        yield table(done())
+
+    return run
+
+
+def links(df: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between nodes (fp, bands) that suffice for the components."""
+    n = C.parts(df.sparkSession)
+    members = nodes.select("fp", F.explode("bands").alias("band"))
+    hubs = members.groupBy("band").agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).filter("hub < last").drop("last")
+    shared = C.cut(members.join(hubs, "band").filter("fp <> hub"))  # members of bands that two share
+    pairs = shared.select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
+    sets = C.cut(_sets(df, id_col, text_col, shared.select("fp").union(shared.select("hub")).distinct()))
+    both = pairs.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = both.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb")
+    first = C.cut(both.mapInArrow(_check(least), "a bigint, b bigint"))
+    roots = components(first).withColumnRenamed("node", "fp")
+    rest = shared.join(roots, "fp", "left").select("band", "fp", F.coalesce("root", "fp").alias("root"))
+    # Bands of equal members need one look only.
+    open_ = rest.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n"), F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("h")).filter("r < s")
+    open_ = open_.groupBy("n", "h").agg(F.min("band").alias("band")).select("band")
+    rest = C.cut(rest.join(open_, "band", "left_semi"))
+    meeting = rest.join(sets, "fp").select("band", "fp", "root", "shingles").repartition(n, "band").sortWithinPartitions("band")
+    return first.union(meeting.mapInArrow(_meet(least), "a bigint, b bigint"))
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """Per row: doc_id, component_id (smallest doc_id of its component).
+
+    Defined cases: null and wordless texts are copies of each other; A-Z count as lower case; texts
+    below five words are linked to equal ones only; a null id belongs to its component but never
+    names it; equal rows give equal rows; an empty table gives no rows.
+    """
+    docs = C.cut(_signed_up(df, id_col, text_col))
+    nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
+    roots = C.cut(components(links(df, nodes.select("fp", "bands"), id_col, text_col, least)))
+    by_fp = docs.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    by_root = by_fp.groupBy("root").agg(F.min("least").alias("component_id"))
+    return docs.join(by_fp.join(by_root, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")

@@ -540,3 +540,35 @@ def test_stages_act(spark):
     none = df.filter("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).count() == 0
+
+
+def test_stage_joins_all_near_copies(spark):
+    """The pipeline's stage against all pairs by brute force, with copies of 0.7 to 1."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(60, 200))) for _ in range(40)]
+    for t in texts[:30]:
+        for _ in range(4):
+            w = t.split()
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = "changed"
+            texts.append(" ".join(w))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate(spark, df, SF).collect())
+    assert kept == sorted({root.index(r) for r in root}) and len(kept) < 80
+
+
+def test_members_of_a_band_meet():
+    from kvstrata.llm import near_copies
+
+    sets = [np.arange(a, a + 100, dtype=np.uint64) for a in (0, 50, 8, 16, 300)]
+    assert sorted(map(sorted, near_copies.joined_members([0, 1, 2, 3, 4], [0, 1, 2, 3, 4], sets, 0.8))) == [[0, 2], [2, 3]]
