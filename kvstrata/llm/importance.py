@@ -2,13 +2,14 @@
 
 Two generative models, one of target text and one of the raw corpus, give each hashed word and
 word pair a probability. A document's log weight is the summed log ratio of its features. Keeping
-the k documents with the largest log weight plus Gumbel noise draws k of them without replacement
-in proportion to their weights. The noise is a keyed hash of the document, so a run can be repeated.
+the k documents with the largest log weight plus Gumbel noise, among those like the target, draws k
+of them without replacement in proportion to their weights. The noise is a keyed hash of the document, so a run can be repeated.
 
 The raw model counts every feature of every document. The target model is fitted on labelled
 rows, at most `target_rows` of each class (a documented bound; the rows are picked by keyed hash).
-Those labelled rows also give the log weight a feature below which text is unlike the target, and
-k is the number of documents of the whole input that reach it: what is sampled follows the input.
+Those labelled rows also give the log weight a feature below which text is unlike the target. Only
+documents that reach it are drawn from and, unless k says otherwise, all of them are selected: a
+long document's summed weight doesn't count against it, and what is sampled follows the input.
 """
 
 from __future__ import annotations
@@ -137,11 +138,12 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> float:
             return values[k - above - 1]
 
 
-def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BUCKET_BITS, target_rows: int = TARGET_ROWS, keep_clean: float = 0.999, temperature: float = 0.25) -> DataFrame:
+def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BUCKET_BITS, target_rows: int = TARGET_ROWS, keep_clean: float = 0.999, temperature: float = 0.25, k: int | None = None) -> DataFrame:
     """doc_id, h, n_features, log_weight, gumbel_key, selected for every row.
 
     labels: (id_col, quality), 1 being target text. keep_clean: the share of held-out target rows
-    that must reach the log weight a feature from which documents count towards k. temperature
+    that must reach the log weight a feature from which documents take part in the draw. k: how many
+    of those to draw; by default all of them, so none pays for its length. temperature
     divides the log weight's noise: below 1 the draw is sharper. Defined cases: a null or wordless
     text has no features and weight 0; null ids are rows like others; equal rows draw equal noise,
     so where they tie at the k-th place all of them are selected; labels for unknown ids are
@@ -161,9 +163,12 @@ def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = C.cut(rows.withColumn("gumbel_key", F.col("log_weight") + noise).withColumn("mean", F.col("log_weight") / F.greatest("n_features", F.lit(1))))
     held = rows.join(F.broadcast(sample.filter("not train and quality = 1").select("label_id")), F.col("doc_id") == F.col("label_id"), "left_semi")
     floor = held.select(F.percentile("mean", 1 - keep_clean)).first()[0]
-    k = rows.count() if floor is None else rows.filter(F.col("mean") >= floor).count()
-    least = kth_largest(rows, "gumbel_key", k)
-    return rows.select("doc_id", "h", "n_features", "log_weight", "gumbel_key", (F.col("gumbel_key") >= F.lit(least)).alias("selected"))
+    like = F.lit(True) if floor is None else F.col("mean") >= F.lit(floor)
+    if k is not None:
+        drawn = rows.filter(like)
+        least = kth_largest(drawn, "gumbel_key", min(k, drawn.count()))
+        like &= F.col("gumbel_key") >= F.lit(least)
+    return rows.select("doc_id", "h", "n_features", "log_weight", "gumbel_key", like.alias("selected"))
 
 
 def selected_rows(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -572,3 +572,18 @@ def test_members_of_a_band_meet():
 
     sets = [np.arange(a, a + 100, dtype=np.uint64) for a in (0, 50, 8, 16, 300)]
     assert sorted(map(sorted, near_copies.joined_members([0, 1, 2, 3, 4], [0, 1, 2, 3, 4], sets, 0.8))) == [[0, 2], [2, 3]]
+
+
+def test_length_costs_no_document_its_place(spark):
+    """What is kept reaches a log weight a feature that nothing left out reaches."""
+    got = queries.op4(spark, "/root/testdata/sf0.01").withColumn("mean", F.col("log_weight") / F.greatest("n_features", F.lit(1)))
+    by = {r["kept"]: r for r in got.groupBy("kept").agg(F.min("mean").alias("lo"), F.max("mean").alias("hi")).collect()}
+    assert by[True]["lo"] > by[False]["hi"]
+
+
+def test_drawing_fewer(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    every = {r["doc_id"] for r in importance.resample(docs, labels).filter("selected").collect()}
+    some = {r["doc_id"] for r in importance.resample(docs, labels, k=20).filter("selected").collect()}
+    assert 20 <= len(some) < len(every) and some < every
