@@ -7,9 +7,9 @@ sum of its words' conditional log-probabilities.
 
 The vocabulary is the corpus's most frequent words (counted over all documents) and hashed
 buckets for the rest. Training runs in rounds: each partition starts from the same weights, steps
-through its own sample of positions (every `stride`-th one of every document, so the sample grows
-with the corpus) with AdaGrad in numpy, and the partitions' weights are averaged by the number of
-positions, a bounded number of tables at a time.
+through its positions (every `stride`-th one of every document, one further in each round, so that
+as many rounds as the stride train on every position once) with AdaGrad in numpy, and the
+partitions' weights are averaged by the number of positions, a bounded number of tables at a time.
 
 Defined cases: a null or wordless text scores 0 over 0 words and a null mean; texts of any length
 are scored whole; equal rows score equally; an empty table gives no rows; other columns are ignored.
@@ -203,7 +203,7 @@ def train(df: DataFrame, vocabulary, rounds: int, stride: int, rate: float) -> b
     return blob
 
 
-def pseudo_likelihood(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, stride: int = 24, rate: float = 0.1) -> DataFrame:
+def pseudo_likelihood(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, stride: int = 2, rate: float = 0.1) -> DataFrame:
     """doc_id, n_words, log_likelihood (sum over the words), mean_log_likelihood."""
     if stride < 1 or rounds < 0:
         raise ValueError("stride must be positive and rounds not negative")

@@ -587,3 +587,17 @@ def test_drawing_fewer(spark):
     every = {r["doc_id"] for r in importance.resample(docs, labels).filter("selected").collect()}
     some = {r["doc_id"] for r in importance.resample(docs, labels, k=20).filter("selected").collect()}
     assert 20 <= len(some) < len(every) and some < every
+
+
+def test_training_takes_every_position(spark, monkeypatch):
+    """The weights tell how many positions trained: the rounds of the query cover every word once."""
+    totals, averaged = [], pseudo_likelihood._averaged
+
+    def counted(tables):
+        tables = tables.cache()
+        totals.append(tables.agg(F.sum("n")).first()[0])
+        return averaged(tables)
+
+    monkeypatch.setattr(pseudo_likelihood, "_averaged", counted)
+    got = queries.op8(spark, SF)
+    assert sum(totals) == got.agg(F.sum("n_words")).first()[0]
