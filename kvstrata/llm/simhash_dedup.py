@@ -243,6 +243,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Large-star then small-star until nothing changes. Each step keeps what it joins as links to a
     smaller node, with a sum-like minimum before every shuffle, so no node's links meet in one task.
+    Raises when the rounds run out before that.
     """
     now = C.cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
     before = None
@@ -260,6 +261,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         joined = large.join(floor, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(floor.select("a", F.col("m").alias("b"))).filter("a > b").distinct()
         now = C.cut(small)
+    else:
+        raise RuntimeError(f"the components of the links still change after {rounds} rounds")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 

@@ -601,3 +601,9 @@ def test_training_takes_every_position(spark, monkeypatch):
     monkeypatch.setattr(pseudo_likelihood, "_averaged", counted)
     got = queries.op8(spark, SF)
     assert sum(totals) == got.agg(F.sum("n_words")).first()[0]
+
+
+def test_components_say_when_rounds_run_out(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        simhash_dedup.components(edges, rounds=1)
