@@ -6,7 +6,8 @@ inside the class give P(word | window), so probabilities add up to 1. A document
 sum of its words' conditional log-probabilities.
 
 The vocabulary is the corpus's most frequent words (counted over all documents) and hashed
-buckets for the rest. Training runs in rounds: each partition starts from the same weights, steps
+buckets for the rest. A word in a bucket has the bucket's probability times the word's share of
+the bucket's words in the whole corpus; the counts behind it stay distributed and are joined. Training runs in rounds: each partition starts from the same weights, steps
 through its positions (every `stride`-th one of every document, one further in each round, so that
 as many rounds as the stride train on every position once) with AdaGrad in numpy, and the
 partitions' weights are averaged by the number of positions, a bounded number of tables at a time.
@@ -137,11 +138,42 @@ def word_counts(df: DataFrame) -> DataFrame:
     return df.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def numbered(text: pa.Array, vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+def bucket(word: str) -> int:
+    return VOCABULARY + xxhash.xxh3_64_intdigest(word.encode(), SEED) % PER_CLASS
+
+
+def numbered(text: pa.Array, vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """The words' numbers in the network, where each text begins, and their codes in the distinct words."""
     codes, words, at = C.coded_words(text)
-    bucket = lambda w: VOCABULARY + xxhash.xxh3_64_intdigest(w.encode(), SEED) % PER_CLASS
     numbers = np.array([vocabulary[w] if w in vocabulary else bucket(w) for w in words.to_pylist()], np.int64)
-    return (numbers[codes] if len(codes) else np.zeros(0, np.int64)), at
+    return (numbers[codes] if len(codes) else np.zeros(0, np.int64)), at, codes, words
+
+
+def bucket_totals(counts: DataFrame, vocabulary) -> np.ndarray:
+    """How many words of the corpus each bucket stands for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SIZE, np.int64)
+        for batch in batches:
+            for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
+                if w not in vocabulary.value:
+                    total[bucket(w)] += n
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
+
+    total = np.zeros(SIZE)
+    for r in counts.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        total[r["bucket"]] = r["n"]
+    return total
+
+
+def rare_words(numbers: np.ndarray, at: np.ndarray, codes: np.ndarray, words: pa.Array) -> tuple[pa.ListArray, pa.ListArray]:
+    """Of each text the distinct words in buckets, and how often it has them."""
+    place = np.flatnonzero(numbers >= VOCABULARY)
+    owner = np.searchsorted(at, place, side="right") - 1
+    pairs, n = np.unique(owner * max(len(words), 1) + codes[place], return_counts=True)
+    edges = pa.array(np.searchsorted(pairs, np.arange(len(at)) * max(len(words), 1)), pa.int32())
+    return pa.ListArray.from_arrays(edges, words.cast(pa.string()).take(pa.array(pairs % max(len(words), 1)))), pa.ListArray.from_arrays(edges, pa.array(n, pa.int64()))
 
 
 def windows(numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -187,7 +219,7 @@ def train(df: DataFrame, vocabulary, rounds: int, stride: int, rate: float) -> b
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             network, n = Network(shared.value), 0
             for batch in C.slices(batches):
-                numbers, at = numbered(batch.column("text"), vocabulary.value)
+                numbers, at, *_ = numbered(batch.column("text"), vocabulary.value)
                 near = windows(numbers, at)
                 place = np.arange(len(numbers)) - np.repeat(at[:-1], np.diff(at))
                 picked = np.flatnonzero(place % stride == turn % stride)
@@ -210,23 +242,33 @@ def pseudo_likelihood(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = C.id_text(df, id_col, text_col)
     sc = df.sparkSession.sparkContext
     # Cut first: a collected limit would send every partition's candidates to the driver.
-    frequent = C.cut(word_counts(rows).orderBy(F.desc("n"), "word").limit(VOCABULARY)).orderBy(F.desc("n"), "word").collect()
+    counts = C.cut(word_counts(rows))
+    frequent = C.cut(counts.orderBy(F.desc("n"), "word").limit(VOCABULARY)).orderBy(F.desc("n"), "word").collect()
     vocabulary = sc.broadcast({r["word"]: i for i, r in enumerate(frequent)})
+    totals = sc.broadcast(np.log(np.maximum(bucket_totals(counts, vocabulary), 1)))
     shared = sc.broadcast(train(rows, vocabulary, rounds, stride, rate))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = Network(shared.value)
         for batch in C.slices(batches):
-            numbers, at = numbered(batch.column("text"), vocabulary.value)
+            numbers, at, codes, words = numbered(batch.column("text"), vocabulary.value)
             near = windows(numbers, at)
             scores = np.zeros(len(numbers) + 1)
             for i in range(0, len(numbers), SCORE_BLOCK):
                 part = slice(i, i + SCORE_BLOCK)
                 scores[1:][part] = network.log_probabilities(near[:, part], numbers[part])
+            scores[1:] -= totals.value[numbers]
+            rare, n = rare_words(numbers, at, codes, words)
             count = np.diff(at)
             total = np.add.reduceat(scores[1:], np.minimum(at[:-1], max(len(numbers) - 1, 0))) if len(numbers) else np.zeros(len(count))
             total = np.where(count > 0, total, 0.0)
-            mean = pa.array(total / np.maximum(count, 1), mask=count == 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(total), mean], names=["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
-
-    return rows.mapInArrow(run, f"doc_id {C.id_type(df, id_col)}, n_words bigint, log_likelihood double, mean_log_likelihood double")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(total), rare, n], names=["doc_id", "n_words", "part", "rare", "times"])
+
+    kind = C.id_type(df, id_col)
+    scored = C.cut(rows.mapInArrow(run, f"doc_id {kind}, n_words bigint, part double, rare array<string>, times array<bigint>").withColumn("row", F.monotonically_increasing_id()))
+    own = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
+    # In decimals, so that equal rows score equally whatever the order of the sum.
+    share = (F.col("times") * F.log("n")).cast("decimal(30,12)")
+    own = own.join(counts, "word").groupBy("row").agg(F.sum(share).cast("double").alias("own"))
+    whole = F.col("part") + F.coalesce("own", F.lit(0.0))
+    return scored.join(own, "row", "left").select("doc_id", "n_words", whole.alias("log_likelihood"), F.when(F.col("n_words") > 0, whole / F.col("n_words")).alias("mean_log_likelihood"))

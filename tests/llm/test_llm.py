@@ -607,3 +607,17 @@ def test_components_say_when_rounds_run_out(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
     with pytest.raises(RuntimeError):
         simhash_dedup.components(edges, rounds=1)
+
+
+def test_words_share_their_buckets(spark, monkeypatch):
+    """Without training, words of one bucket get the bucket's probability in parts that add up to it."""
+    pl = pseudo_likelihood
+    common = [f"c{i}" for i in range(pl.VOCABULARY)]
+    rare = [w for w in (f"r{i}" for i in range(4000)) if pl.bucket(w) == pl.VOCABULARY][:3]
+    texts = [" ".join(common)] * 5 + rare + [rare[0]] * 2
+    got = pl.pseudo_likelihood(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rounds=0).collect()
+    by = {r["doc_id"]: r["log_likelihood"] for r in got}
+    none = np.full((4, 1), pl.SIZE)
+    whole = np.exp(pl.Network().log_probabilities(none, np.array([pl.VOCABULARY]))[0])
+    assert len(got) == len(texts) and by[5] == by[8] == by[9]
+    assert np.allclose(np.exp([by[5], by[6], by[7]]), whole * np.array([3, 1, 1]) / 5)
