@@ -1,14 +1,17 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and its decoding.
 
 The agenda holds the mergeable neighbours of a text, best piece first, leftmost first among equal
-ones. When a candidate comes up, a keyed hash of (seed, variant, unit, place, left, right) decides
-whether it is skipped for good, so a seed and variant always give the same segmentation and other
-ones give others. A document's variant is its hash modulo `variants`.
+ones. When a candidate comes up, a keyed hash of (seed, variant, document, unit's place in the text,
+place in the unit, left, right) decides whether it is skipped for good: every occurrence of a word is
+cut by its own decisions, and a seed always gives the same segmentation of a document. The document
+enters by the hash of its id and text; its variant is the id's hash modulo `variants`.
 
 No piece holds a space after another character, a line feed or the space mark itself, so merges
 never cross those, and the agenda runs over each unit (spaces and the word after them) alone.
-Distinct units are processed once per slice: short ones together in numpy, one merge of each unit
-a step; long ones with a heap. A cache of bounded size keeps results. The space mark as a literal
+Occurrences walk down a tree of decisions: a node is a unit with some candidates merged and some
+skipped, its children what follows when the next one is skipped or merged. Nodes are made when first
+met and kept up to a bound; all occurrences take a step together in numpy. Long units use a heap.
+The space mark as a literal
 character, and characters without a piece, become bytes, so decoding gives the text back exactly.
 """
 
@@ -32,6 +35,9 @@ UNIT = re.compile(f" *[^ \n{SPACE}]+| +|\n|{SPACE}")
 #: Units up to this many characters are merged together in numpy.
 SHORT = 32
 CACHE_UNITS = 150_000
+#: Nodes of decisions beyond which they are dropped, and occurrences that walk together.
+CACHE_NODES = 300_000
+WALK = 100_000
 _FOREIGN = 1 << 21  # symbols of characters without a piece: _FOREIGN + code point
 _U = np.uint64
 
@@ -92,6 +98,78 @@ def skipped(key: np.ndarray, start: np.ndarray, left: np.ndarray, right: np.ndar
 
 
 _NEVER = np.int64(1) << 40
+_LAST = int(_NEVER)
+
+
+class Decisions:
+    """A tree for each unit: per node the next candidate (first is -1 at a leaf), its children and, at a leaf, the ids."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.roots: dict[str, int] = {}
+        self.first: list[int] = []
+        self.ids: list[bytes] = []
+        self.state: list[tuple | None] = []
+        #: first, left, right, child when merged, child when skipped
+        self.table = np.zeros((1024, 5), np.int64)
+
+    def _rank(self, left: int, right: int) -> int:
+        found = self.pieces.merges.get(left << 32 | right)
+        return found[0] if found else _LAST
+
+    def _node(self, sym: list[int], start: list[int], rank: list[int]) -> int:
+        n = len(self.first)
+        if n == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        best = min(rank, default=_LAST)
+        if best == _LAST:
+            self.first.append(-1)
+            self.ids.append(self.pieces.expand(sym))
+            self.state.append(None)
+            self.table[n, 0] = -1
+        else:
+            at = rank.index(best)
+            self.first.append(start[at])
+            self.ids.append(b"")
+            self.state.append((sym, start, rank, at))
+            self.table[n] = start[at], sym[at], sym[at + 1], -1, -1
+        return n
+
+    def _root(self, unit: str) -> int:
+        found = self.roots.get(unit)
+        if found is None:
+            sym = self.pieces.symbols(unit)
+            found = self.roots[unit] = self._node(sym, list(range(len(sym))), [self._rank(a, b) for a, b in zip(sym, sym[1:])])
+        return found
+
+    def _grow(self, node: int, skip: int) -> None:
+        sym, start, rank, at = self.state[node]
+        rank = rank.copy()
+        if skip:
+            rank[at] = _LAST
+        else:
+            sym = [*sym[:at], self.pieces.merges[sym[at] << 32 | sym[at + 1]][1], *sym[at + 2 :]]
+            start = [*start[: at + 1], *start[at + 2 :]]
+            del rank[at]
+            for k in (at - 1, at):
+                if 0 <= k < len(rank):
+                    rank[k] = self._rank(sym[k], sym[k + 1])
+        child = self._node(sym, start, rank)
+        self.table[node, 3 + skip] = child
+
+    def walk(self, units: list[str], keys: np.ndarray, rate: float) -> list[bytes]:
+        node = np.fromiter(map(self._root, units), np.int64, len(units))
+        live = np.flatnonzero(self.table[node, 0] >= 0)
+        while len(live):
+            at = node[live]
+            first, left, right = self.table[at, :3].T
+            skip = skipped(keys[live], first, left, right, rate).astype(np.int64) if rate else np.zeros(len(live), np.int64)
+            new = self.table[at, 3 + skip] < 0
+            for k in np.unique(at[new] * 2 + skip[new]).tolist():
+                self._grow(k >> 1, k & 1)
+            node[live] = self.table[at, 3 + skip]
+            live = live[self.table[node[live], 0] >= 0]
+        return [self.ids[k] for k in node.tolist()]
 
 
 class Encoder:
@@ -100,6 +178,7 @@ class Encoder:
             raise ValueError("the dropout rate must lie between 0 and 1")
         self.pieces, self.rate, self.seed = Pieces(path), rate, seed
         self.cache: dict[int, dict[str, bytes]] = {}
+        self.tree = Decisions(self.pieces)
 
     def _keys(self, units: list[str], variant: int) -> np.ndarray:
         digest, salt = xxhash.xxh3_64_intdigest, self.seed * 0x9E3779B97F4A7C15 + variant & (1 << 64) - 1
@@ -150,11 +229,11 @@ class Encoder:
                 rank[ok, a] = self._candidates(key[ok], start[ok, a], sym[ok, a], sym[ok, a + 1])
         return out
 
-    def _agenda(self, unit: str, variant: int) -> bytes:
+    def _agenda(self, unit: str, variant: int, key: np.ndarray | None = None) -> bytes:
         """The same by a heap, for long units."""
         sym = self.pieces.symbols(unit)
         n = len(sym)
-        key = self._keys([unit], variant)
+        key = self._keys([unit], variant) if key is None else key
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         merges = self.pieces.merges
         agenda: list[tuple[int, int, int, int]] = []
@@ -196,6 +275,23 @@ class Encoder:
             known[u] = self._agenda(u, variant)
         return known
 
+    def occurrences(self, units: list[str], keys: np.ndarray) -> list[bytes]:
+        """Ids of every unit under its own key."""
+        out: list[bytes] = []
+        for i in range(0, len(units), WALK):
+            if len(self.tree.first) > CACHE_NODES:
+                self.tree = Decisions(self.pieces)
+            part, key = units[i : i + WALK], keys[i : i + WALK]
+            short = np.array([len(u) <= SHORT for u in part])
+            at = np.flatnonzero(short)
+            got: list[bytes] = [b""] * len(part)
+            for k, ids in zip(at.tolist(), self.tree.walk([part[k] for k in at.tolist()], key[at], self.rate)):
+                got[k] = ids
+            for k in np.flatnonzero(~short).tolist():
+                got[k] = self._agenda(part[k], 0, key[k : k + 1])
+            out += got
+        return out
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The text's bytes; the space put in front of every text is taken off."""
         return b"".join(map(self.pieces.raw.__getitem__, ids.tolist()))[1:]
@@ -208,14 +304,20 @@ def units_of(text: str) -> list[str]:
 def _encoded(batch: pa.RecordBatch, encoder: Encoder) -> Iterator[tuple[str, bytes]]:
     texts = C.plain(batch.column("text")).to_pylist()
     split = [units_of(t) for t in texts]
-    variants = batch.column("variant").to_pylist()
-    known = {v: encoder.encode(set().union(*(s for s, w in zip(split, variants) if w == v)), v) for v in set(variants)}
-    for text, units, v in zip(texts, split, variants):
-        yield text, b"".join(map(known[v].__getitem__, units))
+    sizes = np.array([len(u) for u in split], np.int64)
+    salt = _U(encoder.seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    own = batch.column("h").to_numpy().view(_U) ^ salt ^ batch.column("variant").to_numpy().astype(_U)
+    ends = np.cumsum(sizes)
+    place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+    keys = np.repeat(own, sizes) + place.astype(_U) * _U(0xD6E8FEB86659FD93)
+    keys = (keys ^ (keys >> _U(32))) * _U(0xBF58476D1CE4E5B9)
+    got = encoder.occurrences([u for units in split for u in units], keys ^ (keys >> _U(29)))
+    for text, a, b in zip(texts, (ends - sizes).tolist(), ends.tolist()):
+        yield text, b"".join(got[a:b])
 
 
 def _with_variant(df: DataFrame, id_col: str, text_col: str, variants: int) -> DataFrame:
-    return C.id_text(df, id_col, text_col).withColumn("variant", F.pmod(F.xxhash64("doc_id"), F.lit(variants)).cast("int"))
+    return C.id_text(df, id_col, text_col).withColumn("variant", F.pmod(F.xxhash64("doc_id"), F.lit(variants)).cast("int")).withColumn("h", F.xxhash64("doc_id", "text"))
 
 
 def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.1, seed: int = 42, variants: int = 4) -> DataFrame:

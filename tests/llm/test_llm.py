@@ -621,3 +621,21 @@ def test_words_share_their_buckets(spark, monkeypatch):
     whole = np.exp(pl.Network().log_probabilities(none, np.array([pl.VOCABULARY]))[0])
     assert len(got) == len(texts) and by[5] == by[8] == by[9]
     assert np.allclose(np.exp([by[5], by[6], by[7]]), whole * np.array([3, 1, 1]) / 5)
+
+
+def test_every_occurrence_is_cut_on_its_own(spark):
+    """A word repeated in one text, and in texts of many ids, has more segmentations than variants."""
+    word = "international"
+    df = spark.createDataFrame([(i, " ".join([word] * 200)) for i in range(20)], "doc_id long, text string")
+    rows = [r["ids"] for r in merge_dropout.encode(df, PIECES, rate=0.2).collect()]
+    pieces = merge_dropout.Pieces(PIECES)
+    first = [i for i in range(len(pieces.raw)) if pieces.raw[i].startswith(b" ")]
+    cuts = lambda ids: [tuple(x) for x in np.split(ids, np.flatnonzero(np.isin(ids, first))[1:])]
+    assert len(set(cuts(rows[0]))) > 4 and len(set(map(tuple, rows))) == 20
+
+
+def test_decisions_are_the_agendas():
+    encoder, rng = merge_dropout.Encoder(PIECES, 0.3, 9), random.Random(6)
+    units = ["".join(rng.choices(" theinganr\u00e9", k=rng.randint(1, 30))) for _ in range(400)]
+    keys = np.array([rng.getrandbits(64) for _ in units], np.uint64)
+    assert encoder.occurrences(units, keys) == [encoder._agenda(u, 0, keys[i : i + 1]) for i, u in enumerate(units)]
