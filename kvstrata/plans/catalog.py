@@ -337,7 +337,7 @@ def kv_slot_segments(spark, d):
 
 @query()
 def kv_bloom_quality(spark, d):
-    rows = _runs(spark, d).filter("run < 6").select("key", "run")
+    rows = _runs(spark, d).select("key", "run")
     filters = bloom.build(rows, ["run"])
     return bloom.quality(bloom.test(_orders(spark, d).select("key"), filters, ["run"]), rows, ["run"])
 

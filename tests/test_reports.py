@@ -103,3 +103,11 @@ def test_oversized_records_raise(spark):
     with pytest.raises(Exception, match="over the size limit"):
         checked(big).collect()
     assert writes.worker_share(10, 3, 2) == (6, 10)
+
+
+def test_bloom_quality_takes_all_runs(spark):
+    from kvstrata.plans import catalog
+
+    got = catalog.kv_bloom_quality(spark, "/root/testdata/sf0.01")
+    every = {r["run"] for r in catalog._runs(spark, "/root/testdata/sf0.01").select("run").distinct().collect()}
+    assert max(every) >= 6 and {r["run"] for r in got.collect()} == every
