@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 #: Text bytes handled at once inside a task; one longer text is handled alone.
 SLICE_BYTES = 2 << 20
 
-_checkpoint_set: set[str] = set()
+#: Rows of a few numbers that may be broadcast: about 24 MB.
+BROADCAST_ROWS = 1_000_000
 
 
 def col(name: str):
@@ -39,11 +40,18 @@ def parts(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where the session names none (tests)."""
+    """The folder of spark.checkpoint.dir; a local one only where a local session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return found or "/tmp/kvstrata-checkpoints"
 
 
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """df marked for broadcast if its rows (counted by the caller) are BROADCAST_ROWS at most; else Spark shuffles."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise to reliable shared storage and cut lineage."""
     sc = df.sparkSession.sparkContext
@@ -95,7 +103,7 @@ def coded_words(text: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 def byte_data(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array and where each text begins in them."""
-    text = plain(text)
+    text = text if text.type == pa.binary() else plain(text)
     at = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
     data = text.buffers()[2]
     return (np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)), at - at[0]
@@ -108,6 +116,12 @@ def sums_at(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
+def ranks_within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each group of so many."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
 def run_max(values: np.ndarray, width: int) -> np.ndarray:
     """Maximum over every `width` consecutive values; the result is width-1 shorter."""
     out, have = values, 1
