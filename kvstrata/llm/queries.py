@@ -120,7 +120,7 @@ SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coa
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trips(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), rate=0.1, seed=42, variants=4)
+    return round_trips(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), rate=0.1, seed=42)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
