@@ -1,15 +1,17 @@
 """Quality classifier by importance resampling over hashed n-gram models.
 
 Two generative models, one of target text and one of the raw corpus, give each hashed word and
-word pair a probability. A document's log weight is the summed log ratio of its features. Keeping
-the k documents with the largest log weight plus Gumbel noise, among those like the target, draws k
-of them without replacement in proportion to their weights. The noise is a keyed hash of the document, so a run can be repeated.
+word pair a probability. A document's log weight is the summed log ratio of its features; divided by
+their number, so that length neither helps nor harms, it is its mean. The k documents with the
+largest mean / temperature plus Gumbel noise are a draw of k documents without replacement with
+probabilities in proportion to exp(mean / temperature). The noise is a keyed hash of seed and document,
+so a run can be repeated, and another seed draws others.
 
 The raw model counts every feature of every document. The target model is fitted on labelled
-rows, at most `target_rows` of each class (a documented bound; the rows are picked by keyed hash).
-Those labelled rows also give the log weight a feature below which text is unlike the target. Only
-documents that reach it are drawn from and, unless k says otherwise, all of them are selected: a
-long document's summed weight doesn't count against it, and what is sampled follows the input.
+rows of target text, at most `target_rows` of them (a documented bound; they are picked by keyed hash),
+half of which are held out: the share `keep_clean` of the held-out rows reaches a certain mean.
+Unless it is given, k is the number of documents that reach that mean. The temperature is
+small against the distance of junk from it, so the draw decides among documents near the edge.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ TARGET_ROWS = 20_000
 SEED = 42
 #: Added to every bucket's count, in both models.
 SMOOTHING = 1.0
+#: Of the draw: a row is exp(mean / TEMPERATURE) times as likely to be drawn as one with mean 0.
+TEMPERATURE = 0.02
 #: Width of the last step of the search for the k-th largest key.
 LAST_ROWS = 10_000
 
@@ -92,27 +96,35 @@ def log_model(rows: list, bits: int) -> np.ndarray:
     return np.log(counts / counts.sum())
 
 
-def scored(df: DataFrame, ratio, bits: int, id_col: str, text_col: str, extra: dict | None = None) -> DataFrame:
-    """doc_id, n_features, log_weight and the uniform number (from id and text) behind the noise."""
-    rows = C.id_text(df, id_col, text_col).withColumn("h", F.xxhash64(F.lit(SEED), "doc_id", "text"))
+def gumbel(h: np.ndarray) -> np.ndarray:
+    """Gumbel noise from 64-bit hashes."""
+    return -np.log(-np.log(((h.view(np.uint64) >> _U(11)).astype(np.float64) + 0.5) / 2.0**53))
+
+
+def _scores(batch: pa.RecordBatch, table: np.ndarray, bits: int, temperature: float) -> list[np.ndarray]:
+    """n_features, log_weight and gumbel_key of each row of (text, h); a row's numbers don't depend on others."""
+    buckets, at = features(batch.column("text"), bits)
+    count = np.diff(at)
+    total = np.add.reduceat(np.append(table[buckets], 0.0), at[:-1])
+    total[count == 0] = 0
+    return [count, total, total / np.maximum(count, 1) / temperature + gumbel(batch.column("h").to_numpy())]
+
+
+def scored(df: DataFrame, ratio, bits: int, temperature: float) -> DataFrame:
+    """doc_id, h, n_features, log_weight and gumbel_key from (doc_id, text, h)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ratio.value
         for batch in C.slices(batches):
-            buckets, at = features(batch.column("text"), bits)
-            total = np.zeros(len(buckets) + 1)
-            np.cumsum(table[buckets], out=total[1:])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(np.diff(at)), pa.array(total[at[1:]] - total[at[:-1]])], names=["doc_id", "h", "n_features", "log_weight"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *map(pa.array, _scores(batch, ratio.value, bits, temperature))], names=["doc_id", "h", "n_features", "log_weight", "gumbel_key"])
 
-    return rows.mapInArrow(run, f"doc_id {C.id_type(df, id_col)}, h bigint, n_features bigint, log_weight double")
+    return df.select("doc_id", "text", "h").mapInArrow(run, f"doc_id {C.id_type(df, 'doc_id')}, h bigint, n_features bigint, log_weight double, gumbel_key double")
 
 
 def _labelled(labels: DataFrame, rows: int, id_col: str) -> DataFrame:
-    """(label_id, quality, train): at most `rows` of each class, picked and halved by keyed hash."""
+    """(label_id, train) of target rows: `rows` at most, picked and halved by keyed hash."""
     one = labels.select(C.col(id_col).alias("label_id"), C.col("quality").cast("int").alias("quality")).filter("label_id is not null and quality in (0, 1)")
-    one = one.groupBy("label_id").agg(F.min("quality").alias("quality")).withColumn("h", F.xxhash64(F.lit(SEED), "label_id"))
-    picked = [one.filter(F.col("quality") == q).orderBy("h", "label_id").limit(rows) for q in (0, 1)]
-    return picked[0].union(picked[1]).select("label_id", "quality", (F.shiftrightunsigned("h", 7).bitwiseAND(F.lit(1)) == 0).alias("train"))
+    one = one.groupBy("label_id").agg(F.min("quality").alias("quality")).filter("quality = 1").withColumn("h", F.xxhash64(F.lit(SEED), "label_id"))
+    return one.orderBy("h", "label_id").limit(rows).select("label_id", (F.shiftrightunsigned("h", 7).bitwiseAND(F.lit(1)) == 0).alias("train"))
 
 
 def kth_largest(rows: DataFrame, column: str, k: int) -> float:
@@ -138,41 +150,56 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> float:
             return values[k - above - 1]
 
 
-def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BUCKET_BITS, target_rows: int = TARGET_ROWS, keep_clean: float = 0.999, temperature: float = 0.25, k: int | None = None) -> DataFrame:
-    """doc_id, h, n_features, log_weight, gumbel_key, selected for every row.
+def _hashed_rows(df: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
+    return C.id_text(df, id_col, text_col).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text"))
 
-    labels: (id_col, quality), 1 being target text. keep_clean: the share of held-out target rows
-    that must reach the log weight a feature from which documents take part in the draw. k: how many
-    of those to draw; by default all of them, so none pays for its length. temperature
-    divides the log weight's noise: below 1 the draw is sharper. Defined cases: a null or wordless
-    text has no features and weight 0; null ids are rows like others; equal rows draw equal noise,
-    so where they tie at the k-th place all of them are selected; labels for unknown ids are
-    ignored; without labelled target rows every weight is 0 and all rows are selected; an empty
-    table gives no rows; other columns are ignored.
-    """
+
+def _drawn(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, bits: int, target_rows: int, keep_clean: float, temperature: float, k: int | None, seed: int) -> tuple:
+    """The broadcast log ratios, the scored rows and the gumbel_key from which rows are selected."""
     sc = df.sparkSession.sparkContext
     sample = C.cut(_labelled(labels, target_rows, id_col))
-    train = F.broadcast(sample.filter("train and quality = 1").select("label_id"))  # target_rows at most
+    train = F.broadcast(sample.filter("train").select("label_id"))  # target_rows at most
     marked = C.id_text(df, id_col, text_col).join(train, F.col("doc_id") == F.col("label_id"), "left").withColumn("target", F.col("label_id").isNotNull())
     counts = bucket_counts(marked, "target", "text", bits).collect()  # two rows a bucket at most
     target = [r for r in counts if r["class"] == 1]
-    ratio = log_model(target, bits) - log_model(counts, bits) if target else np.zeros(1 << bits)
-    rows = scored(df, sc.broadcast(ratio), bits, id_col, text_col)
-    uniform = (F.shiftrightunsigned("h", 11) + F.lit(0.5)) / F.lit(2.0**53)
-    noise = -F.log(-F.log(uniform)) * F.lit(temperature)
-    rows = C.cut(rows.withColumn("gumbel_key", F.col("log_weight") + noise).withColumn("mean", F.col("log_weight") / F.greatest("n_features", F.lit(1))))
-    held = rows.join(F.broadcast(sample.filter("not train and quality = 1").select("label_id")), F.col("doc_id") == F.col("label_id"), "left_semi")
-    floor = held.select(F.percentile("mean", 1 - keep_clean)).first()[0]
-    like = F.lit(True) if floor is None else F.col("mean") >= F.lit(floor)
-    if k is not None:
-        drawn = rows.filter(like)
-        least = kth_largest(drawn, "gumbel_key", min(k, drawn.count()))
-        like &= F.col("gumbel_key") >= F.lit(least)
-    return rows.select("doc_id", "h", "n_features", "log_weight", "gumbel_key", like.alias("selected"))
-
-
-def selected_rows(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The selected rows with all their columns."""
-    chosen = resample(df, labels, id_col, text_col, **options).filter("selected").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
-    own = F.xxhash64(F.lit(SEED), C.col(id_col), F.coalesce(C.col(text_col), F.lit("")))
-    return df.join(chosen, C.col(id_col).eqNullSafe(F.col("__id")) & (own == F.col("__h")), "left_semi")
+    ratio = sc.broadcast(log_model(target, bits) - log_model(counts, bits) if target else np.zeros(1 << bits))
+    rows = C.cut(scored(_hashed_rows(df, id_col, text_col, seed), ratio, bits, temperature))
+    mean = F.col("log_weight") / F.greatest("n_features", F.lit(1))
+    if k is None:
+        held = rows.join(F.broadcast(sample.filter("not train").select("label_id")), F.col("doc_id") == F.col("label_id"), "left_semi")
+        floor = held.select(F.percentile(mean, 1 - keep_clean)).first()[0]
+        k = rows.filter(F.lit(True) if floor is None else mean >= F.lit(floor)).count()
+    total = rows.count()
+    return ratio, rows, kth_largest(rows, "gumbel_key", min(k, total)) if total else 0.0
+
+
+def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BUCKET_BITS, target_rows: int = TARGET_ROWS, keep_clean: float = 0.999, temperature: float = TEMPERATURE, k: int | None = None, seed: int = SEED) -> DataFrame:
+    """doc_id, h, n_features, log_weight, gumbel_key, selected for every row.
+
+    labels: (id_col, quality), 1 being target text. k: how many rows to draw; by default as many as
+    reach the mean log weight that the share keep_clean of held-out target rows reaches.
+    Defined cases: a null or wordless text has no features and weight 0; null ids are rows like
+    others; equal rows draw equal noise, so where they tie at the k-th place all of them are
+    selected; labels for unknown ids are ignored; without labelled target rows every weight is 0 and
+    all rows are selected unless k says otherwise; an empty table gives no rows; other columns are ignored.
+    """
+    _, rows, least = _drawn(df, labels, id_col, text_col, bits, target_rows, keep_clean, temperature, k, seed)
+    return rows.withColumn("selected", F.col("gumbel_key") >= F.lit(least))
+
+
+def selected_rows(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BUCKET_BITS, target_rows: int = TARGET_ROWS, keep_clean: float = 0.999, temperature: float = TEMPERATURE, k: int | None = None, seed: int = SEED) -> DataFrame:
+    """The selected rows with all their columns: a last pass scores the texts again and drops rows, so no text is shuffled."""
+    ratio, _, least = _drawn(df, labels, id_col, text_col, bits, target_rows, keep_clean, temperature, k, seed)
+    n, where = len(df.columns), df.columns.index(text_col)
+    rows = df.withColumn("__h", F.xxhash64(F.lit(seed), C.col(id_col), F.coalesce(C.col(text_col), F.lit(""))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column(where), batch.column(n), pa.array(np.arange(batch.num_rows))], names=["text", "h", "at"])
+            keep = [np.zeros(0, np.int64)]
+            for part in C.slices(iter([texts])):
+                keep.append(part.column("at").to_numpy()[_scores(part, ratio.value, bits, temperature)[2] >= least])
+            out = batch.take(pa.array(np.concatenate(keep)))
+            yield pa.RecordBatch.from_arrays([out.column(i) for i in range(n)], names=batch.schema.names[:n])
+
+    return rows.mapInArrow(run, df.schema)
