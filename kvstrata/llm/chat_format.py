@@ -7,13 +7,15 @@ block with array functions, and the block texts are joined into
 
 Inside roles and texts, backslash, # and < (and : in roles) get a backslash in front, so a control
 string can't occur in them and every conversation can be read back exactly. The loss mask is
-a list of (start, length) in code points over the escaped assistant texts.
+the list of the formatted string's segments in order, each with a flag: the escaped texts of the
+loss role are under the mask, all else isn't. Nothing adds up offsets, so the work grows with
+the length of a conversation, not with its square.
 
 Defined cases: a null text is empty, a null role is the empty role; turns that share a number are
 ordered by role, then text; null turn numbers come first; repeated rows are turns of their own; a
 null conversation id is a conversation; an empty table gives no rows; other columns are ignored.
-A conversation becomes one string, so its turns meet in one row, as they must; the offsets take
-time quadratic in its number of turns only in copied references.
+roles, texts and conversations may be of any length. A conversation becomes one string, so its turns
+meet in one row, as they must.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ def unescape(text: Column) -> Column:
 
 
 def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
-    """One row per conversation: conv_id, formatted, loss_mask array<struct<start, length>>."""
+    """One row per conversation: conv_id, formatted, segments array<struct<text, loss>>, which make up formatted."""
     turns = df.select(
         C.col(conv_col).alias("conv_id"),
         F.struct(C.col(turn_col).alias("turn"), F.coalesce(C.col(role_col), F.lit("")).alias("role"), F.coalesce(C.col(text_col), F.lit("")).alias("text")).alias("t"),
@@ -54,33 +56,29 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
         )
 
     blocks = starts.select("conv_id", F.transform("starts", block).alias("blocks"))
-    formatted = F.array_join(F.transform("blocks", lambda b: F.concat(b["head"], F.array_join(b["texts"], NEXT), F.lit(END))), "")
-    nothing = F.array().cast("array<struct<start:bigint,length:bigint>>")
 
-    def text_step(acc: Column, text: Column) -> Column:
-        span = F.struct(acc["at"].alias("start"), F.length(text).cast("long").alias("length"))
-        return F.struct((acc["at"] + F.length(text) + len(NEXT)).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def segment(text: Column, loss: Column) -> Column:
+        return F.struct(text.alias("text"), loss.alias("loss"))
 
-    def block_step(acc: Column, b: Column) -> Column:
-        begin = acc["at"] + F.length(b["head"])
-        inside = F.aggregate(b["texts"], F.struct(begin.alias("at"), nothing.alias("spans")), text_step)
-        spans = F.when(b["role"] == loss_role, F.concat(acc["spans"], inside["spans"])).otherwise(acc["spans"])
-        return F.struct((inside["at"] - len(NEXT) + len(END)).alias("at"), spans.alias("spans"))
+    def segments(b: Column) -> Column:
+        no, loss = F.lit(False), b["role"] == loss_role
+        texts = F.transform(b["texts"], lambda t, i: F.when(i == 0, F.array(segment(t, loss))).otherwise(F.array(segment(F.lit(NEXT), no), segment(t, loss))))
+        return F.concat(F.array(segment(b["head"], no)), F.flatten(texts), F.array(segment(F.lit(END), no)))
 
-    mask = F.aggregate("blocks", F.struct(F.lit(0).cast("long").alias("at"), nothing.alias("spans")), block_step)["spans"]
-    return blocks.select("conv_id", formatted.alias("formatted"), mask.alias("loss_mask"))
+    parts = blocks.select("conv_id", F.flatten(F.transform("blocks", segments)).alias("segments"))
+    return parts.select("conv_id", F.array_join(F.col("segments")["text"], "").alias("formatted"), "segments")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns array<struct<role, text>>, loss_text: what the formatted text and mask hold."""
+    """conv_id, turns array<struct<role, text>>, loss_text: what the formatted text and its segments under the mask hold."""
     blocks = F.filter(F.split("formatted", END, -1), lambda b: b != "")
-    pattern = r"(?s)^### ((?:[^\\:]|\\.)*): (.*)$"
+    pattern = r"(?s)^### ((?:[^\\:]++|\\.)*+): (.*)$"  # possessive: a long role takes no stack
 
     def turns_of(b: Column) -> Column:
         role = unescape(F.regexp_extract(b, pattern, 1))
         return F.transform(F.split(F.regexp_extract(b, pattern, 2), NEXT, -1), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
 
-    loss = F.array_join(F.transform("loss_mask", lambda s: unescape(F.substring("formatted", (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
     return formatted.select("conv_id", "formatted", F.flatten(F.transform(blocks, turns_of)).alias("turns"), loss.alias("loss_text"))
 
 
