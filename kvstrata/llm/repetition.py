@@ -3,7 +3,8 @@
 A slice of documents gets one suffix array by prefix doubling (word numbers are made unique to
 each document, so no suffix matches across documents). Its longest-common-prefix (LCP) intervals
 are the repeated word strings; an interval whose occurrences differ in the word before them is a
-maximal repeat. The union of the spans of all maximal repeats gives the covered words.
+maximal repeat. The union of the spans of all maximal repeats gives the covered words; the longest
+of them is the longest repeat.
 
 Only suffixes that still tie are sorted again, so ordinary prose costs two or three sorts.
 Defined cases: a null or empty text has no words and fails the base rule; a text may be of any
@@ -25,6 +26,8 @@ from . import common as C
 BASE_WINDOW = 8
 MIN_WORDS = 20
 BASE_PERCENT = 30
+#: Shorter repeats are so many that looking at all of them says little.
+LEAST_REPEAT = 4
 
 _SYMBOL = np.zeros(256, np.int8)
 _SYMBOL[list(b"#*$%&|<>")] = 1
@@ -113,19 +116,52 @@ def lcp_intervals(order: np.ndarray, lcp: np.ndarray, before: np.ndarray) -> Ite
                 stack.append([height, first, low, high])
 
 
-def covered(order: np.ndarray, lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which words repeats of `least` or more words cover; per word, the longest repeat starting there.
+def maximal_repeats_at(order: np.ndarray, lcp: np.ndarray, before: np.ndarray, least: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Per word, the length of the longest maximal repeat (of `least` words or more) that starts there; (length, first, last) of all.
 
-    A suffix's deepest interval is as long as the larger LCP beside it. If that interval isn't
-    maximal, the maximal one that it extends to on the left covers its span too, so the union of
-    the deepest spans is the union of the spans of all maximal repeats, in linear time.
+    An interval comes after those inside it, which are longer, so it concerns only the suffixes that
+    they left: each suffix is taken once, however deep the intervals are nested.
     """
-    n = len(order)
-    longest = np.zeros(n, np.int64)
-    longest[order] = np.maximum(lcp[:n], lcp[1 : n + 1])
-    at = np.flatnonzero(longest >= least)
+    found, taken, sizes = [], [], []
+    free: dict[int, int] = {}
+
+    def left(i: int) -> int:
+        to = i
+        while to in free:
+            to = free[to]
+        while i != to:
+            free[i], i = to, free[i]
+        return to
+
+    for size, a, b, full in lcp_intervals(order, lcp, before):
+        if not full or size < least:
+            continue
+        found.append((size, a, b))
+        i = left(a)
+        while i <= b:
+            taken.append(i)
+            sizes.append(size)
+            free[i] = i + 1
+            i = left(i + 1)
+    longest = np.zeros(len(order), np.int64)
+    longest[order[taken]] = sizes
+    return longest, found
+
+
+def covered(longest: np.ndarray) -> np.ndarray:
+    """Which words the spans (start, start + longest[start]) cover."""
+    n = len(longest)
+    at = np.flatnonzero(longest)
     depth = np.bincount(at, minlength=n + 1) - np.bincount(at + longest[at], minlength=n + 1)
-    return np.cumsum(depth[:n]) > 0, longest
+    return np.cumsum(depth[:n]) > 0
+
+
+def repeated_windows(order: np.ndarray, lcp: np.ndarray, width: int) -> np.ndarray:
+    """Which words are in windows of `width` words found twice or more."""
+    n = len(order)
+    twice = np.zeros(n, np.int64)
+    twice[order] = np.where(np.maximum(lcp[:n], lcp[1 : n + 1]) >= width, width, 0)
+    return covered(twice)
 
 
 def repeated_lines(text: str) -> int:
@@ -142,29 +178,24 @@ def measure(batch: pa.RecordBatch, least: int) -> dict[str, np.ndarray]:
     key = doc.astype(np.int64) * max(len(vocabulary), 1) + ids
     order, levels = suffix_array(key, ends)
     lcp = common_prefixes(order, levels, ends, min(least, BASE_WINDOW))
-    spans, longest = covered(order, lcp, least)
-    base, _ = covered(order, lcp, BASE_WINDOW)
-    top = np.zeros(len(count), np.int64)
-    hit = np.flatnonzero(longest >= least)
-    np.maximum.at(top, doc[hit], longest[hit])
     before = np.empty(n, np.int64)
     before[1:] = key[:-1]
     starts = at[:-1][count > 0]
     before[starts] = -1 - np.arange(len(starts))
-    maximal = np.zeros(len(count), np.int64)
-    for size, left, _, full in lcp_intervals(order, lcp, before):
-        if full and size >= least:
-            maximal[doc[order[left]]] += 1
+    longest, found = maximal_repeats_at(order, lcp, before, least)
+    top = np.zeros(len(count), np.int64)
+    hit = np.flatnonzero(longest)
+    np.maximum.at(top, doc[hit], longest[hit])
     data, begin = C.byte_data(text)
     return {
         "n_words": count,
         "word_chars": C.sums_at(_IN_WORD[data], begin),
         "n_symbols": C.sums_at(_SYMBOL[data], begin),
         "n_dup_lines": np.array([repeated_lines(x) for x in text.to_pylist()], np.int64),
-        "n_repeat_words": C.sums_at(base, at),
-        "covered_words": C.sums_at(spans, at),
+        "n_repeat_words": C.sums_at(repeated_windows(order, lcp, BASE_WINDOW), at),
+        "covered_words": C.sums_at(covered(longest), at),
         "longest_repeat": top,
-        "n_maximal_repeats": maximal,
+        "n_maximal_repeats": np.bincount(doc[order[[a for _, a, _ in found]]], minlength=len(count)),
     }
 
 
@@ -177,8 +208,8 @@ def repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     min_repeat: fewest words of a repeat (4 or more); repeat_failed: such repeats cover more than
     max_covered_percent of the words, or the longest has over max_longest words. Map-only: no shuffle.
     """
-    if min_repeat < 1:
-        raise ValueError("min_repeat must be positive")
+    if min_repeat < LEAST_REPEAT:
+        raise ValueError(f"min_repeat must be {LEAST_REPEAT} or more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches):
@@ -207,7 +238,8 @@ def maximal_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             before[1:] = key[:-1]
             starts = at[:-1][count > 0]
             before[starts] = -1 - np.arange(len(starts))
-            rows = [(int(doc[order[a]]), size, b - a + 1, int(order[a : b + 1].min() - at[doc[order[a]]])) for size, a, b, full in lcp_intervals(order, lcp, before) if full and size >= min_repeat]
+            _, found = maximal_repeats_at(order, lcp, before, min_repeat)
+            rows = [(int(doc[order[a]]), size, b - a + 1, int(order[a : b + 1].min() - at[doc[order[a]]])) for size, a, b in found]
             number = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(number), *(pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3))], names=["doc_id", "n_words", "n_occurrences", "first_word"])
 
