@@ -7,10 +7,15 @@ sum of its words' conditional log-probabilities.
 
 The vocabulary is the corpus's most frequent words (counted over all documents) and hashed
 buckets for the rest. A word in a bucket has the bucket's probability times the word's share of
-the bucket's words in the whole corpus; the counts behind it stay distributed and are joined. Training runs in rounds: each partition starts from the same weights, steps
-through its positions (every `stride`-th one of every document, one further in each round, so that
-as many rounds as the stride train on every position once) with AdaGrad in numpy, and the
-partitions' weights are averaged by the number of positions, a bounded number of tables at a time.
+the bucket's words in the whole corpus, so rare words are as unlikely as they are rare. The counts
+stay distributed: the KNOWN most frequent words' are broadcast, all others are joined. Words are
+told apart by 64 bits of hash.
+
+Training runs in rounds over every position of the corpus (each falls to one of `rounds` turns).
+Documents are dealt to shards of about SHARD_WORDS words by a hash of id and text. A shard starts
+from the shared weights and takes AdaGrad steps in numpy over its documents in the hash's order;
+the shards' weights are averaged in the shards' order, FAN_IN tables at a time. Neither
+the shards nor any order depends on how the input is partitioned, and so the scores don't.
 
 Defined cases: a null or wordless text scores 0 over 0 words and a null mean; texts of any length
 are scored whole; equal rows score equally; an empty table gives no rows; other columns are ignored.
@@ -28,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .importance import kth_largest
 
 CLASSES = 48
 PER_CLASS = 48
@@ -36,13 +42,28 @@ SIZE = CLASSES * PER_CLASS
 VOCABULARY = SIZE - PER_CLASS
 REACH = 2
 WIDTH = 16
-BATCH = 1024
+#: Positions of one gradient step.
+BATCH = 4096
+#: Words of one shard, and words whose positions are mixed before they are cut into batches.
+SHARD_WORDS = 1_000_000
+MIXED_WORDS = 200_000
 #: Tables of weights that one task averages.
 FAN_IN = 16
+#: Words whose counts are broadcast: 8 MB.
+KNOWN = 1 << 19
 SEED = 42
 
 #: Score this many words at once; the arrays stay small enough to be reused by the allocator.
-SCORE_BLOCK = 4096
+SCORE_BLOCK = 16384
+#: Logarithms of counts are summed as whole numbers of 1 / LOG_UNIT, so that the order of a sum doesn't matter.
+LOG_UNIT = 1 << 32
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
 
 
 class Network:
@@ -60,7 +81,7 @@ class Network:
             else:
                 self.p[name] = flat[at : at + n].reshape(shape).copy()
             at += n
-        self.squares = {name: np.full(shape, 1e-3, np.float32) for name, shape in self.SHAPES.items()}
+        self.squares = {name: np.full(shape, 1e-6, np.float32) for name, shape in self.SHAPES.items()}
 
     def blob(self) -> bytes:
         return b"".join(self.p[name].tobytes() for name in self.SHAPES)
@@ -73,21 +94,28 @@ class Network:
         total += self.p["b"]
         return np.tanh(total, out=total)
 
+    @staticmethod
+    def _by_class(kind: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order that puts words of a class together, and (class, first, end) in it."""
+        order = np.argsort(kind.astype(np.uint8), kind="stable")
+        edges = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
+        return order, [(c, a, b) for c, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+
     def log_probabilities(self, near: np.ndarray, word: np.ndarray) -> np.ndarray:
-        h, kind, inner = self.hidden(near), word // PER_CLASS, word % PER_CLASS
+        kind, inner = np.divmod(word, PER_CLASS)
+        order, classes = self._by_class(kind)
+        h, kind, inner = self.hidden(near[:, order]), kind[order], inner[order]
         rows = np.arange(len(word))
         z = h @ self.p["Wc"] + self.p["bc"]
         z -= z.max(axis=1, keepdims=True)
-        out = z[rows, kind] - np.log(np.exp(z, out=z).sum(axis=1))
-        order = np.argsort(kind.astype(np.uint8), kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            at = order[edges[c] : edges[c + 1]]
-            if len(at):
-                z = h[at] @ self.p["Ww"][c] + self.p["bw"][c]
-                z -= z.max(axis=1, keepdims=True)
-                picked = z[np.arange(len(at)), inner[at]]
-                out[at] += picked - np.log(np.exp(z, out=z).sum(axis=1))
+        got = z[rows, kind] - np.log(np.exp(z, out=z).sum(axis=1))
+        for c, a, b in classes:
+            np.matmul(h[a:b], self.p["Ww"][c], out=z[a:b])
+            z[a:b] += self.p["bw"][c]
+        z -= z.max(axis=1, keepdims=True)
+        got += z[rows, inner] - np.log(np.exp(z, out=z).sum(axis=1))
+        out = np.empty(len(word))
+        out[order] = got
         return out
 
     def _step(self, name: str, at, gradient: np.ndarray, rate: float) -> None:
@@ -98,177 +126,263 @@ class Network:
     def learn(self, near: np.ndarray, word: np.ndarray, rate: float) -> None:
         """One AdaGrad step on a batch."""
         n, rows = len(word), np.arange(len(word))
-        h, kind, inner = self.hidden(near), word // PER_CLASS, word % PER_CLASS
-        z = h @ self.p["Wc"] + self.p["bc"]
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
+        kind, inner = np.divmod(word, PER_CLASS)
+        order, classes = self._by_class(kind)
+        near, kind, inner = near[:, order], kind[order], inner[order]
+        h = self.hidden(near)
+        z = _softmax(h @ self.p["Wc"] + self.p["bc"])
         z[rows, kind] -= 1
         back = z @ self.p["Wc"].T
-        gradient_c, gradient_bc = h.T @ z, z.sum(axis=0)
-        for c in np.unique(kind).tolist():
-            at = np.flatnonzero(kind == c)
-            y = h[at] @ self.p["Ww"][c] + self.p["bw"][c]
-            y -= y.max(axis=1, keepdims=True)
-            np.exp(y, out=y)
-            y /= y.sum(axis=1, keepdims=True)
-            y[np.arange(len(at)), inner[at]] -= 1
-            back[at] += y @ self.p["Ww"][c].T
-            self._step("Ww", c, h[at].T @ y / n, rate)
-            self._step("bw", c, y.sum(axis=0) / n, rate)
-        self._step("Wc", slice(None), gradient_c / n, rate)
-        self._step("bc", slice(None), gradient_bc / n, rate)
-        back *= (1 - h * h) / n
-        self._step("b", slice(None), back.sum(axis=0), rate)
+        steps = [("Wc", slice(None), h.T @ z), ("bc", slice(None), z.sum(axis=0))]
+        for c, a, b in classes:
+            np.matmul(h[a:b], self.p["Ww"][c], out=z[a:b])
+            z[a:b] += self.p["bw"][c]
+        _softmax(z)
+        z[rows, inner] -= 1
+        inside, bias = np.zeros_like(self.p["Ww"]), np.zeros_like(self.p["bw"])
+        for c, a, b in classes:
+            back[a:b] += z[a:b] @ self.p["Ww"][c].T
+            inside[c], bias[c] = h[a:b].T @ z[a:b], z[a:b].sum(axis=0)
+        back *= 1 - h * h
+        steps += [("Ww", slice(None), inside), ("bw", slice(None), bias), ("b", slice(None), back.sum(axis=0))]
         for k in range(2 * REACH):
-            used, local = np.unique(near[k], return_inverse=True)
-            gradient = np.zeros((len(used), WIDTH), np.float32)
-            np.add.at(gradient, local, back)
-            self._step("E", (k, used), gradient, rate)
+            by = np.argsort(near[k], kind="stable")
+            at = near[k][by]
+            first = np.flatnonzero(np.diff(at, prepend=-1))
+            steps.append(("E", (k, at[first]), np.add.reduceat(back[by], first, axis=0)))
+        for name, at, gradient in steps:
+            self._step(name, at, gradient / n, rate)
 
 
-def word_counts(df: DataFrame) -> DataFrame:
-    """(word, n) over all rows; a slice sends each of its words once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.slices(batches, 16 << 20):
-            codes, words, _ = C.coded_words(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(np.bincount(codes, minlength=len(words)), pa.int64())], names=["word", "n"])
+def word_hash(word: bytes) -> int:
+    h = xxhash.xxh3_64_intdigest(word, SEED)
+    return h - (1 << 64) if h >> 63 else h
 
-    return df.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
+def bucket(h):
+    """The number of the bucket of words with this hash."""
+    return VOCABULARY + h % PER_CLASS
 
-def bucket(word: str) -> int:
-    return VOCABULARY + xxhash.xxh3_64_intdigest(word.encode(), SEED) % PER_CLASS
 
-
-def numbered(text: pa.Array, vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """The words' numbers in the network, where each text begins, and their codes in the distinct words."""
+def _hashed(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the words, the hashes of the distinct ones, and where each text begins."""
     codes, words, at = C.coded_words(text)
-    numbers = np.array([vocabulary[w] if w in vocabulary else bucket(w) for w in words.to_pylist()], np.int64)
-    return (numbers[codes] if len(codes) else np.zeros(0, np.int64)), at, codes, words
+    return codes, np.array([xxhash.xxh3_64_intdigest(w, SEED) for w in words.cast(pa.binary()).to_pylist()], np.uint64).view(np.int64), at
 
 
-def bucket_totals(counts: DataFrame, vocabulary) -> np.ndarray:
-    """How many words of the corpus each bucket stands for."""
+def word_counts(df: DataFrame) -> DataFrame:
+    """(word, n) over all rows, words by their hash; a slice sends each of its words once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SIZE, np.int64)
-        for batch in batches:
-            for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-                if w not in vocabulary.value:
-                    total[bucket(w)] += n
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
+        for batch in C.slices(batches, 16 << 20):
+            codes, words, _ = _hashed(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.bincount(codes, minlength=len(words)), pa.int64())], names=["word", "n"])
 
-    total = np.zeros(SIZE)
-    for r in counts.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        total[r["bucket"]] = r["n"]
-    return total
+    return df.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def rare_words(numbers: np.ndarray, at: np.ndarray, codes: np.ndarray, words: pa.Array) -> tuple[pa.ListArray, pa.ListArray]:
-    """Of each text the distinct words in buckets, and how often it has them."""
-    place = np.flatnonzero(numbers >= VOCABULARY)
-    owner = np.searchsorted(at, place, side="right") - 1
-    pairs, n = np.unique(owner * max(len(words), 1) + codes[place], return_counts=True)
-    edges = pa.array(np.searchsorted(pairs, np.arange(len(at)) * max(len(words), 1)), pa.int32())
-    return pa.ListArray.from_arrays(edges, words.cast(pa.string()).take(pa.array(pairs % max(len(words), 1)))), pa.ListArray.from_arrays(edges, pa.array(n, pa.int64()))
+class Vocabulary:
+    """Word hashes in order with their counts and numbers; counts: (word, n), rows of the corpus's most frequent words."""
+
+    def __init__(self, rows: list[tuple[int, int]]):
+        rows = sorted(rows, key=lambda r: (-r[1], r[0]))
+        words = np.array([r[0] for r in rows], np.int64)
+        number = np.where(np.arange(len(words)) < VOCABULARY, np.arange(len(words)), bucket(words))
+        by = np.argsort(words)
+        self.words, self.numbers = words[by], number[by]
+        self.counts = np.array([r[1] for r in rows], np.int64)[by]
+
+    def look(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words in the network, and their counts: 1 for vocabulary words, 0 where the count isn't known."""
+        at = np.minimum(np.searchsorted(self.words, words), max(len(self.words) - 1, 0))
+        hit = self.words[at] == words if len(self.words) else np.zeros(len(words), bool)
+        number = bucket(words)
+        number[hit] = self.numbers[at[hit]]
+        count = np.zeros(len(words), np.int64)
+        count[hit] = np.where(number[hit] < VOCABULARY, 1, self.counts[at[hit]])
+        return number, count
+
+
+def frequent(counts: DataFrame, most: int) -> list[tuple[int, int]]:
+    """(word, n) of the most frequent words: `most` at most; of equally frequent ones all or none."""
+    total = counts.count()
+    if not total:
+        return []
+    least = kth_largest(counts.withColumn("n", F.col("n").cast("double")), "n", min(most, total))
+    if counts.filter(F.col("n") >= least).count() > most:
+        least += 1
+    return [(r["word"], r["n"]) for r in counts.filter(F.col("n") >= least).collect()]
 
 
 def windows(numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Per place in the window, the neighbour of every word; SIZE beyond the text's ends."""
     n = len(numbers)
-    starts, ends = np.repeat(at[:-1], np.diff(at)), np.repeat(at[1:], np.diff(at))
-    place = np.arange(n)
-    near = np.empty((2 * REACH, n), np.int64)
+    near = np.full((2 * REACH, n), SIZE, numbers.dtype)
+    edges = at[1:-1]
     for k, d in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
-        there = place + d
-        near[k] = np.where((there >= starts) & (there < ends), numbers[np.clip(there, 0, max(n - 1, 0))], SIZE)
+        if abs(d) >= n:
+            continue
+        if d < 0:
+            near[k, -d:] = numbers[:d]
+        else:
+            near[k, :-d] = numbers[d:]
+        for s in range(abs(d)):  # words whose neighbour lies in another text
+            over = edges + s if d < 0 else edges - 1 - s
+            near[k, over[(over >= 0) & (over < n)]] = SIZE
     return near
 
 
+def _own_edges(at: np.ndarray) -> np.ndarray:
+    """Places where texts begin; those without words aside."""
+    return np.unique(at)
+
+
+def _encoded(rows: DataFrame, vocabulary, shards: int) -> DataFrame:
+    """doc_id, row, shard, h, n_words, codes (16 bits a word), known (log counts of words in buckets) and, of words whose counts aren't broadcast, rare and times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.slices(batches, 8 << 20):
+            codes, words, at = _hashed(batch.column("text"))
+            number, count = vocabulary.value.look(words)
+            log = np.rint(np.log(np.maximum(count, 1)) * LOG_UNIT).astype(np.int64)
+            mine = number.astype(np.uint16)[codes]
+            place = np.flatnonzero(count[codes] == 0)
+            owner = np.searchsorted(at, place, side="right") - 1
+            pairs, times = np.unique(owner * max(len(words), 1) + codes[place], return_counts=True)
+            edges = pa.array(np.searchsorted(pairs, np.arange(len(at)) * max(len(words), 1)), pa.int32())
+            data, bounds = mine.tobytes(), (2 * at).tolist()
+            columns = [
+                pa.array(np.diff(at), pa.int64()),
+                pa.array([data[a:b] for a, b in zip(bounds, bounds[1:])], pa.binary()),
+                pa.array(C.sums_at(log[codes], at), pa.int64()),
+                pa.ListArray.from_arrays(edges, pa.array(words[pairs % max(len(words), 1)] if len(pairs) else pairs, pa.int64())),
+                pa.ListArray.from_arrays(edges, pa.array(times, pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "shard", "h")), *columns], names=["doc_id", "row", "shard", "h", "n_words", "codes", "known", "rare", "times"])
+
+    kind = dict(rows.dtypes)["doc_id"]
+    keyed = rows.withColumn("h", F.xxhash64(F.lit(SEED), "doc_id", "text")).withColumn("shard", F.pmod(F.col("h"), F.lit(shards)).cast("int")).withColumn("row", F.monotonically_increasing_id())
+    return keyed.mapInArrow(run, f"doc_id {kind}, row bigint, shard int, h bigint, n_words bigint, codes binary, known bigint, rare array<bigint>, times array<int>")
+
+
 def _averaged(tables: DataFrame) -> bytes | None:
-    """The mean of (n, blob) rows by weight n, merged FAN_IN at a time; no task or driver holds more."""
+    """The mean of (at, n, blob) rows by weight n, merged FAN_IN at a time in the order of `at`; no task or driver holds more."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0, None
+        at, n, total = None, 0, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["at", "n", "blob"])
+
         for batch in batches:
-            for k, blob in zip(batch.column("n").to_pylist(), batch.column("blob").to_pylist()):
-                part = np.frombuffer(blob, np.float32).astype(np.float64) * k
-                total = part if total is None else total + part
+            for to, k, blob in zip(*(batch.column(c).to_pylist() for c in ("to", "n", "blob"))):
+                if to != at:
+                    if at is not None:
+                        yield done()
+                    at, n, total = to, 0, 0.0
+                total = total + np.frombuffer(blob, np.float32).astype(np.float64) * k
                 n += k
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["n", "blob"])
+        if at is not None:
+            yield done()
 
     tables = C.cut(tables)
-    count = tables.count()
-    while count > FAN_IN:
-        count = -(-count // FAN_IN)
-        tables = C.cut(tables.repartition(count).mapInArrow(merge, "n bigint, blob binary"))
-    last = tables.repartition(1).mapInArrow(merge, "n bigint, blob binary").collect()
-    return last[0]["blob"] if last else None
-
-
-def train(df: DataFrame, vocabulary, rounds: int, stride: int, rate: float) -> bytes:
+    count = tables.agg(F.max("at")).first()[0]
+    if count is None:
+        return None
+    while True:
+        count //= FAN_IN
+        grouped = tables.withColumn("to", F.floor(F.col("at") / FAN_IN).cast("int"))
+        parts = min(count + 1, C.parts(tables.sparkSession))
+        tables = C.cut(grouped.repartition(parts, "to").sortWithinPartitions("to", "at").mapInArrow(merge, "at int, n bigint, blob binary"))
+        if not count:
+            return tables.first()["blob"]
+
+
+def train(shards: DataFrame, rounds: int, rate: float) -> bytes:
+    """shards: (shard, codes), whole shards in each partition, their documents in a fixed order."""
     blob = Network().blob()
-    sc = df.sparkSession.sparkContext
+    sc = shards.sparkSession.sparkContext
     for turn in range(rounds):
         shared = sc.broadcast(blob)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            network, n = Network(shared.value), 0
-            for batch in C.slices(batches):
-                numbers, at, *_ = numbered(batch.column("text"), vocabulary.value)
-                near = windows(numbers, at)
-                place = np.arange(len(numbers)) - np.repeat(at[:-1], np.diff(at))
-                picked = np.flatnonzero(place % stride == turn % stride)
-                picked = np.random.default_rng([SEED, turn, len(picked)]).permutation(picked)
+            shard, network, n = None, Network(), 0
+            held: list[np.ndarray] = []
+            words = 0
+
+            def learn() -> int:
+                numbers = np.concatenate(held) if held else np.zeros(0, np.uint16)
+                at = np.cumsum([0, *map(len, held)])
+                near = windows(numbers, _own_edges(at))
+                # Alternate words fall to alternate turns; the next mix starts anew.
+                picked = np.random.default_rng([SEED, turn, len(numbers)]).permutation(np.arange(turn, len(numbers), rounds))
                 for i in range(0, len(picked), BATCH):
                     part = picked[i : i + BATCH]
-                    network.learn(near[:, part], numbers[part], rate)
-                n += len(picked)
+                    network.learn(near[:, part], numbers[part].astype(np.int64), rate)
+                return len(picked)
+
+            def done() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([network.blob()], pa.binary())], names=["at", "n", "blob"])
+
+            for batch in batches:
+                for to, codes in zip(batch.column("shard").to_pylist(), batch.column("codes").to_pylist()):
+                    if to != shard or words > MIXED_WORDS:
+                        n += learn()
+                        held, words = [], 0
+                    if to != shard:
+                        if n:
+                            yield done()
+                        shard, network, n = to, Network(shared.value), 0
+                    held.append(np.frombuffer(codes, np.uint16))
+                    words += len(held[-1])
+            n += learn()
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([network.blob()], pa.binary())], names=["n", "blob"])
+                yield done()
 
-        blob = _averaged(df.select("text").mapInArrow(run, "n bigint, blob binary")) or blob
+        blob = _averaged(shards.mapInArrow(run, "at int, n bigint, blob binary")) or blob
     return blob
 
 
-def pseudo_likelihood(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, stride: int = 2, rate: float = 0.1) -> DataFrame:
+def pseudo_likelihood(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, rate: float = 0.1) -> DataFrame:
     """doc_id, n_words, log_likelihood (sum over the words), mean_log_likelihood."""
-    if stride < 1 or rounds < 0:
-        raise ValueError("stride must be positive and rounds not negative")
+    if rounds < 0:
+        raise ValueError("rounds must not be negative")
     rows = C.id_text(df, id_col, text_col)
     sc = df.sparkSession.sparkContext
-    # Cut first: a collected limit would send every partition's candidates to the driver.
     counts = C.cut(word_counts(rows))
-    frequent = C.cut(counts.orderBy(F.desc("n"), "word").limit(VOCABULARY)).orderBy(F.desc("n"), "word").collect()
-    vocabulary = sc.broadcast({r["word"]: i for i, r in enumerate(frequent)})
-    totals = sc.broadcast(np.log(np.maximum(bucket_totals(counts, vocabulary), 1)))
-    shared = sc.broadcast(train(rows, vocabulary, rounds, stride, rate))
+    n_words = counts.agg(F.sum("n")).first()[0] or 0
+    words = Vocabulary(frequent(counts, KNOWN))
+    vocabulary = sc.broadcast(words)
+    totals = np.zeros(SIZE)
+    for r in counts.groupBy(F.pmod(F.col("word"), F.lit(PER_CLASS)).alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        totals[VOCABULARY + r["bucket"]] = r["n"]
+    inside = words.numbers < VOCABULARY
+    np.subtract.at(totals, bucket(words.words[inside]), words.counts[inside])
+    totals = np.log(np.maximum(totals, 1))
+    coded = C.cut(_encoded(rows, vocabulary, max(1, math.ceil(n_words / SHARD_WORDS))))
+    shards = C.cut(coded.filter("n_words > 0").select("shard", "h", "codes").repartition(C.parts(df.sparkSession), "shard").sortWithinPartitions("shard", "h").select("shard", "codes"))
+    shared = sc.broadcast(train(shards, rounds, rate))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = Network(shared.value)
-        for batch in C.slices(batches):
-            numbers, at, codes, words = numbered(batch.column("text"), vocabulary.value)
-            near = windows(numbers, at)
+        for batch in batches:
+            codes = batch.column("codes").to_pylist()
+            numbers = np.frombuffer(b"".join(codes), np.uint16)
+            at = np.cumsum([0, *(len(c) // 2 for c in codes)])
+            near = windows(numbers, _own_edges(at))
             scores = np.zeros(len(numbers) + 1)
             for i in range(0, len(numbers), SCORE_BLOCK):
                 part = slice(i, i + SCORE_BLOCK)
-                scores[1:][part] = network.log_probabilities(near[:, part], numbers[part])
-            scores[1:] -= totals.value[numbers]
-            rare, n = rare_words(numbers, at, codes, words)
-            count = np.diff(at)
-            total = np.add.reduceat(scores[1:], np.minimum(at[:-1], max(len(numbers) - 1, 0))) if len(numbers) else np.zeros(len(count))
-            total = np.where(count > 0, total, 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(total), rare, n], names=["doc_id", "n_words", "part", "rare", "times"])
+                word = numbers[part].astype(np.int64)
+                scores[:-1][part] = network.log_probabilities(near[:, part], word) - totals[word]
+            part = np.add.reduceat(scores, at[:-1]) if len(codes) else np.zeros(0)
+            part[np.diff(at) == 0] = 0
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "row", "n_words", "known")] + [pa.array(part)], names=["doc_id", "row", "n_words", "known", "part"])
 
     kind = C.id_type(df, id_col)
-    scored = C.cut(rows.mapInArrow(run, f"doc_id {kind}, n_words bigint, part double, rare array<string>, times array<bigint>").withColumn("row", F.monotonically_increasing_id()))
-    own = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
-    # In decimals, so that equal rows score equally whatever the order of the sum.
-    share = (F.col("times") * F.log("n")).cast("decimal(30,12)")
-    own = own.join(counts, "word").groupBy("row").agg(F.sum(share).cast("double").alias("own"))
-    whole = F.col("part") + F.coalesce("own", F.lit(0.0))
+    scored = coded.select("doc_id", "row", "n_words", "known", "codes").mapInArrow(run, f"doc_id {kind}, row bigint, n_words bigint, known bigint, part double")
+    own = coded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
+    log = F.rint(F.log("n") * F.lit(float(LOG_UNIT))).cast("bigint")
+    own = own.join(counts.filter("n > 1").withColumn("log", log), "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("own"))
+    whole = F.col("part") + (F.col("known") + F.coalesce("own", F.lit(0))) / F.lit(float(LOG_UNIT))
     return scored.join(own, "row", "left").select("doc_id", "n_words", whole.alias("log_likelihood"), F.when(F.col("n_words") > 0, whole / F.col("n_words")).alias("mean_log_likelihood"))

@@ -132,7 +132,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudo_likelihood(documents(spark, sf_dir), rounds=2, stride=2)
+    return pseudo_likelihood(documents(spark, sf_dir), rounds=2)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
