@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from kvstrata.llm import common
 from kvstrata.llm.importance import selected_rows
-from kvstrata.llm.near_copies import near_copies
 from kvstrata.llm.packing import pack
 from kvstrata.llm.pii import redacted
+from kvstrata.llm.simhash_dedup import near_copies
 from kvstrata.llm.substring_dedup import deduplicated_rows
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -43,12 +43,13 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     stay. Rows of one id with different texts stay or go with the component that the id names.
     """
     docs = _whole(docs)
-    found = near_copies(docs)
-    ids = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(ids, F.col("doc_id") == F.col("__id"), "left_semi")
-    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept.union(docs.filter("doc_id is null"))
-    return kept.dropDuplicates(["doc_id", "text"]).union(docs.filter("doc_id is null"))
+    found = near_copies(docs).filter("doc_id is not null").groupBy("doc_id")
+    found = found.agg(F.min(F.col("doc_id") != F.col("component_id")).alias("__gone"), (F.count("*") > 1).alias("__again"))
+    # Only ids to drop or to look at again travel; the texts stay where they are.
+    marks = common.cut(found.filter("__gone or __again").withColumnRenamed("doc_id", "__id"))
+    marked = docs.join(common.broadcast_if_small(marks, marks.count()), F.col("doc_id") == F.col("__id"), "left")
+    kept = marked.filter("__gone is null").select(*COLUMNS)
+    return kept.union(marked.filter("not __gone").select(*COLUMNS).dropDuplicates(["doc_id", "text"]))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
