@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MUTATIONS = "key binary, value binary, tombstone boolean, run int, seq bigint"
-MANIFEST = "version bigint, part_id int, anchor binary, run int, path string, n_kv bigint, bytes bigint"
+MANIFEST = "version bigint, part_id int, anchor binary, run int, path string, n_kv bigint, bytes bigint, first_key binary, last_key binary"
 OPS = "op_id bigint, worker int, op string, key binary, value binary, n int"
 TRACE = "seq bigint, page bigint"
 

@@ -24,8 +24,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/kvstrata-checkpoints"
+    """The shared folder of spark.checkpoint.dir; a local one only where a local session names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return found or "/tmp/kvstrata-checkpoints"
 
 
 def materialise(df: DataFrame) -> DataFrame:

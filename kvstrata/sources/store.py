@@ -1,9 +1,14 @@
-"""A store on shared files: immutable runs as Parquet, numbered versions as manifests, a HEAD pointer.
+"""A store on shared files: immutable runs as Parquet and numbered versions as manifests.
 
-Layout under the root: runs/<id>/part_id=<p>/ (Parquet, sorted by key), versions/v<n> (the manifest,
-Parquet, one row per partition and run) and HEAD (the number of the newest version). A version is
-written in full before HEAD is swapped by a rename, so readers see the old or the new one. Runs
-that a compaction keeps are referred to by path and never copied. There is one writer.
+Layout under the root: runs/<id>/p=<part>/piece=<n>/ (Parquet, sorted by key, a key range each),
+versions/v<n> (the manifest, Parquet, one row per partition, run and piece, with the piece's first
+and last key) and pins/ (versions that readers hold). The head is the newest version whose write was
+committed, so readers see the old or the new one, whenever a writer dies. Pieces that a compaction
+keeps are referred to by path and neither copied nor read. There is one writer.
+
+What a flush reads is the new mutations and the pieces that its plan rewrites; plans are made from
+manifests. Merged output of a major or append compaction is cut into partitions of at most
+major_switch runs' bytes.
 
 The memory table is a frame of mutations with run -1 above every stored run, held by the caller's
 session until flush().
@@ -20,6 +25,17 @@ from ..operators import compaction, reads, views
 from ..operators.compaction import Config
 from ..operators.writes import replay
 from ..schema import MANIFEST, MAX_RUNS, MUTATIONS, checked
+from ..session import materialise
+
+
+_COMMITTED = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
+
+
+def _entry(part: int, anchor: bytes, run: int | None = None, piece: dict | None = None) -> tuple:
+    """A manifest row without its version; no piece: an empty partition."""
+    if piece is None:
+        return part, bytearray(anchor), None, None, 0, 0, None, None
+    return part, bytearray(anchor), run, piece["path"], piece["n_kv"], piece["bytes"], bytearray(piece["first_key"]), bytearray(piece["last_key"])
 
 
 class KvStore:
@@ -30,20 +46,15 @@ class KvStore:
 
     # Files
 
-    def _write_text(self, name: str, text: str) -> None:
-        temp, final = self._fs_path(f"{self.root}/.{name}.{uuid.uuid4().hex}"), self._fs_path(f"{self.root}/{name}")
-        out = self._fs.create(temp)
-        out.write(bytearray(text.encode()))
-        out.close()
-        if self._fs.exists(final):
-            self._fs.delete(final, False)
-        self._fs.rename(temp, final)
+    def _listed(self, name: str) -> list[str]:
+        path = self._fs_path(f"{self.root}/{name}")
+        return [s.getPath().getName() for s in self._fs.listStatus(path)] if self._fs.exists(path) else []
 
     def exists(self) -> bool:
-        return self._fs.exists(self._fs_path(f"{self.root}/HEAD"))
+        return bool(self.versions())
 
     def head(self) -> int:
-        return int(self.spark.read.text(f"{self.root}/HEAD").first()[0])
+        return self.versions()[-1]
 
     @classmethod
     def create(cls, spark: SparkSession, root: str, anchors: list[bytes] = (b"",), config: Config = Config()) -> "KvStore":
@@ -51,17 +62,28 @@ class KvStore:
         store = cls(spark, root, config)
         if sorted(set(anchors)) != list(anchors) or not anchors or anchors[0] != b"":
             raise ValueError("anchors must ascend from the empty key")
-        rows = [(0, i, bytearray(a), None, None, 0, 0) for i, a in enumerate(anchors)]
-        store._publish(spark.createDataFrame(rows, MANIFEST), 0)
+        if store.exists():
+            raise ValueError(f"there is a store at {root}")
+        store._publish([_entry(i, a) for i, a in enumerate(anchors)])
         return store
 
-    def _publish(self, manifest: DataFrame, version: int) -> None:
-        manifest.withColumn("version", F.lit(version).cast("long")).coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/versions/v{version}")
-        self._write_text("HEAD", str(version))
+    def _publish(self, entries: list[tuple]) -> None:
+        """The next version; it becomes the head with the commit of its manifest. Numbers of failed writes aren't used again."""
+        version = max((int(n[1:]) for n in self._listed("versions")), default=-1) + 1
+        manifest = self.spark.createDataFrame([(version, *e) for e in entries], MANIFEST)
+        manifest.coalesce(1).write.option(_COMMITTED, "true").mode("errorifexists").parquet(f"{self.root}/versions/v{version}")
 
     def versions(self) -> list[int]:
-        found = self._fs.listStatus(self._fs_path(f"{self.root}/versions"))
-        return sorted(int(s.getPath().getName()[1:]) for s in found)
+        """Committed versions, oldest first."""
+        found = (int(n[1:]) for n in self._listed("versions"))
+        return sorted(v for v in found if self._fs.exists(self._fs_path(f"{self.root}/versions/v{v}/_SUCCESS")))
+
+    def pin(self, version: int | None = None) -> "Pin":
+        """Hold a version: until the pin is released, collect_garbage keeps what the version refers to."""
+        return Pin(self, self.head() if version is None else version)
+
+    def pinned(self) -> set[int]:
+        return {int(n.split("-")[0]) for n in self._listed("pins")}
 
     def manifest(self, version: int | None = None) -> DataFrame:
         return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/versions/v{self.head() if version is None else version}")
@@ -70,34 +92,32 @@ class KvStore:
 
     def rows(self, version: int | None = None, start: bytes | None = None, end: bytes | None = None) -> DataFrame:
         """All versions of all keys with part_id; a key range prunes partitions by their anchors."""
-        entries = sorted(self.manifest(version).collect(), key=lambda r: (r["anchor"], r["run"] is None, r["run"] or 0))
+        entries = sorted(self.manifest(version).collect(), key=lambda r: bytes(r["anchor"]))
         order = sorted({bytes(r["anchor"]) for r in entries})
         upper = dict(zip(order, [*order[1:], None]))
-        frames = []
+        wanted = []
         for r in entries:
-            low, high = bytes(r["anchor"]), upper[bytes(r["anchor"])]
-            if r["path"] is None or end is not None and low >= end or start is not None and high is not None and high <= start:
+            high = upper[bytes(r["anchor"])]
+            if r["path"] is None or end is not None and (bytes(r["anchor"]) >= end or bytes(r["first_key"]) >= end):
                 continue
-            frames.append((r["path"], r["run"], r["part_id"]))
-        if not frames:
-            return self.spark.createDataFrame([], MUTATIONS + ", part_id int")
-        # Runs of one number are read together: at most MAX_RUNS scans however many partitions.
-        by_run: dict[int, list[tuple[str, int]]] = {}
-        for path, run, part in frames:
-            by_run.setdefault(run, []).append((path, part))
-        parts = []
-        for run, paths in by_run.items():
-            df = self.spark.read.schema("key binary, value binary, tombstone boolean, seq bigint, part int").parquet(*[p for p, _ in paths])
-            parts.append(df.select("key", "value", "tombstone", F.lit(run).alias("run"), "seq", F.col("part").alias("part_id")))
-        out = parts[0]
-        for df in parts[1:]:
-            out = out.unionByName(df)
+            if start is not None and (high is not None and high <= start or bytes(r["last_key"]) < start):
+                continue
+            wanted.append(r)
+        out = self._read(wanted)
         if start is not None:
             out = out.filter(F.col("key") >= F.lit(start))
         if end is not None:
             out = out.filter(F.col("key") < F.lit(end))
         return out
 
+    def _read(self, entries: list) -> DataFrame:
+        """The rows of manifest entries in one scan; which part and run a piece belongs to is joined from the entries."""
+        if not entries:
+            return self.spark.createDataFrame([], MUTATIONS + ", part_id int")
+        where = self.spark.createDataFrame([("/runs/" + r["path"].split("/runs/")[-1], r["part_id"], r["run"]) for r in entries], "place string, part_id int, run int")
+        rows = self.spark.read.schema("key binary, value binary, tombstone boolean, seq bigint, place string").parquet(*[r["path"] for r in entries])
+        return rows.join(F.broadcast(where), "place").select("key", "value", "tombstone", "run", "seq", "part_id")  # a row a file
+
     def newest(self, version: int | None = None) -> DataFrame:
         return views.newest(self.rows(version))
 
@@ -132,26 +152,29 @@ class KvStore:
         last_part = max(entries, key=lambda r: bytes(r["anchor"]))["part_id"]
         stats_rows, part_rows = [], []
         for part in sorted({r["part_id"] for r in entries}):
-            runs = sorted((r for r in entries if r["part_id"] == part and r["path"] is not None), key=lambda r: r["run"])
+            mine = [r for r in entries if r["part_id"] == part and r["path"] is not None]
+            sizes: dict[int, int] = {}
+            for r in mine:
+                sizes[r["run"]] = sizes.get(r["run"], 0) + r["n_kv"]
             new = fresh.get(part)
             newnr, newsz = (new["newnr"], new["newsz"]) if new else (0, 0)
-            n_kv, total = sum(r["n_kv"] for r in runs), sum(r["bytes"] for r in runs)
-            part_rows.append((part, len(runs), n_kv, newnr, newsz, max(total, 1), part == last_part))
+            n_kv, total = sum(sizes.values()), sum(r["bytes"] for r in mine)
+            last = max((bytearray(r["last_key"]) for r in mine), default=None)
+            part_rows.append((part, len(sizes), n_kv, newnr, newsz, max(total, 1), part == last_part, last))
             if n_kv and newnr:
-                stats_rows += [(part, i, r["n_kv"], n_kv, n_kv, total, newnr, newsz) for i, r in enumerate(runs)]
-                stats_rows.append((part, len(runs), 0, n_kv, n_kv, total, newnr, newsz))
+                stats_rows += [(part, i, sizes[run], n_kv, n_kv, total, newnr, newsz) for i, run in enumerate(sorted(sizes))]
+                stats_rows.append((part, len(sizes), 0, n_kv, n_kv, total, newnr, newsz))
         spark = self.spark
-        parts = spark.createDataFrame(part_rows, "part_id int, n_runs int, valid bigint, newnr bigint, newsz bigint, totsz bigint, is_last boolean")
-        lasts = self.rows().groupBy("part_id").agg(F.max("key").alias("last_key"))
+        parts = spark.createDataFrame(part_rows, "part_id int, n_runs int, valid bigint, newnr bigint, newsz bigint, totsz bigint, is_last boolean, last_key binary")
         first = spark.createDataFrame([(p, bytearray(r["new_first"])) for p, r in fresh.items()], "part_id int, new_first binary")
-        parts = parts.join(lasts, "part_id", "left").join(first, "part_id", "left").withColumn("overlap", F.coalesce(F.col("last_key") >= F.col("new_first"), F.lit(False)))
+        parts = parts.join(first, "part_id", "left").withColumn("overlap", F.coalesce(F.col("last_key") >= F.col("new_first"), F.lit(False)))
         stats = spark.createDataFrame(stats_rows, "part_id int, run int, n_kv bigint, valid bigint, totkv bigint, totsz bigint, newnr bigint, newsz bigint")
         planned = compaction.plan(parts, compaction.best_runs(compaction.scores(stats, config), config), config)
         if force is None:
             planned = compaction.reject_small(planned, budget, config)
         rows = [r.asDict() for r in planned.collect()]
         for r in rows:
-            runs = sum(1 for e in entries if e["part_id"] == r["part_id"] and e["path"] is not None)
+            runs = len({e["run"] for e in entries if e["part_id"] == r["part_id"] and e["path"] is not None})
             r["n_runs"] = runs
             if force and (r["newsz"] or force == "major"):
                 r["kind"] = force if runs or force != "partial" else "minor"
@@ -166,87 +189,132 @@ class KvStore:
         budget: bytes that may be rejected (default none). force: major, partial or minor for all partitions
         with new data. All partitions of the new version are written by one job.
         """
-        delta = checked(views.newest(delta))
+        delta = materialise(checked(views.newest(delta)))
         plan = {r["part_id"]: r for r in self._plan(delta, budget or 0, force)}
         old = self.manifest().collect()
-        anchors = {r["part_id"]: bytes(r["anchor"]) for r in old}
-        located = reads.locate(delta, self.anchors()).drop("anchor")
-        table = self.spark.createDataFrame([(p, r["kind"], r["bestrun"]) for p, r in plan.items()], "part_id int, kind string, bestrun int")
-        fresh = located.join(F.broadcast(table), "part_id")
-        rejected = fresh.filter("kind = 'reject'").drop("kind", "bestrun", "part_id")
-        stored = self.rows().join(F.broadcast(table), "part_id").filter("kind in ('major', 'partial') and run >= bestrun")
+        # Runs of a partition are numbered from 0, so the first to rewrite is also how many stay.
+        again = [r for r in old if r["path"] is not None and plan[r["part_id"]]["kind"] in ("major", "partial") and r["run"] >= plan[r["part_id"]]["bestrun"]]
+        table = self.spark.createDataFrame([(p, r["kind"]) for p, r in plan.items()], "part_id int, kind string")
+        fresh = reads.locate(delta, self.anchors()).drop("anchor").join(F.broadcast(table), "part_id")  # a row a partition
+        rejected = fresh.filter("kind = 'reject'").drop("kind", "part_id")
+        stored = self._read(again).join(F.broadcast(table), "part_id")
         merged = views.newest(stored.unionByName(fresh.filter("kind <> 'reject'").withColumn("run", F.lit(MAX_RUNS))))
         merged = merged.filter(~F.col("tombstone") | ~F.col("kind").isin("major", "append"))
-        run_id = uuid.uuid4().hex
-        base = f"{self.root}/runs/{run_id}"
-        # Ranges of keys, so a large partition is written by several tasks and each file is sorted.
-        out = merged.select("key", "value", "tombstone", "seq", F.col("part_id").alias("part"), F.col("part_id").alias("p"))
-        out.repartitionByRange("p", "key").sortWithinPartitions("p", "key").write.partitionBy("p").parquet(base)
-        kept, written = [], {}
-        if self._fs.exists(self._fs_path(base)) and any(s.isDirectory() for s in self._fs.listStatus(self._fs_path(base))):
-            sizes = self.spark.read.schema("key binary, value binary, part int").parquet(base).groupBy("part").agg(F.count("*").alias("n"), F.sum(F.length("key") + F.coalesce(F.length("value"), F.lit(0))).alias("b"))
-            written = {r["part"]: (r["n"], r["b"]) for r in sizes.collect()}
+        size = sum(r["bytes"] for r in again) + sum(r["newsz"] for r in plan.values() if r["kind"] != "reject")
+        pieces = self._write(merged.withColumnRenamed("part_id", "p"), size)
+        kept, number = [], max(plan, default=-1) + 1
         for part, p in plan.items():
-            runs = sorted((r for r in old if r["part_id"] == part and r["path"] is not None), key=lambda r: r["run"])
-            keep = runs if p["kind"] in ("reject", "append") else runs[: p["bestrun"]]
-            rows = [(0, part, bytearray(anchors[part]), r["run"], r["path"], r["n_kv"], r["bytes"]) for r in keep]
-            if part in written and p["kind"] != "append":
-                run = max((r["run"] for r in keep), default=-1) + 1
-                rows.append((0, part, bytearray(anchors[part]), run, f"{base}/p={part}", *written[part]))
-            kept += rows or [(0, part, bytearray(anchors[part]), None, None, 0, 0)]
-        kept += self._appended(plan, written, base, anchors)
-        self._publish(self.spark.createDataFrame(kept, MANIFEST), self.head() + 1)
+            anchor = next(bytes(r["anchor"]) for r in old if r["part_id"] == part)
+            runs = [r for r in old if r["part_id"] == part and r["path"] is not None]
+            keep = [tuple(r[c] for c in r.__fields__[1:]) for r in runs if p["kind"] in ("reject", "append") or r["run"] < p["bestrun"]]
+            new = pieces.get(part, [])
+            if p["kind"] in ("partial", "minor"):
+                run = max((r[2] for r in keep), default=-1) + 1
+                kept += keep + [_entry(part, anchor, run, x) for x in new] or [_entry(part, anchor)]
+                continue
+            groups = self._cut(new)
+            if p["kind"] == "append" or not groups:
+                kept += keep or [_entry(part, anchor)]
+            for k, group in enumerate(groups):
+                stays = k == 0 and p["kind"] == "major"
+                start = anchor if stays else bytes(group[0]["first_key"])
+                kept += [_entry(part if stays else number, start, 0, x) for x in group]
+                number += not stays
+        self._publish(kept)
         return rejected
 
-    def _appended(self, plan: dict, written: dict, base: str, anchors: dict) -> list:
-        """Appended data becomes a partition of its own behind the last one."""
-        rows = []
-        number = max(anchors, default=-1) + 1
-        for part, p in plan.items():
-            if p["kind"] == "append" and part in written:
-                first = self.spark.read.schema("key binary").parquet(f"{base}/p={part}").agg(F.min("key")).first()[0]
-                rows.append((0, number, bytearray(first), 0, f"{base}/p={part}", *written[part]))
-                number += 1
-        return rows
+    def _write(self, rows: DataFrame, size: int) -> dict[int, list]:
+        """Rows (p, key, ...) as pieces: p -> its pieces in key order, each with place, path, n_kv, bytes, first and last key.
+
+        Dealt out by ranges of (p, key), about two to a run's bytes, so no task holds more and every piece is a key range.
+        """
+        base = f"/runs/{uuid.uuid4().hex}"
+        n = max(1, -(-2 * size // self.config.run_bytes))
+        out = rows.repartitionByRange(n, "p", "key").sortWithinPartitions("p", "key").withColumn("piece", F.spark_partition_id())
+        place = F.concat(F.lit(base + "/p="), F.col("p"), F.lit("/piece="), F.col("piece"))
+        out.select("key", "value", "tombstone", "seq", place.alias("place"), "p", "piece").write.partitionBy("p", "piece").parquet(self.root + base)
+        paths = [f"{self.root}{base}/{x}/{y}" for x in self._listed(base) if x.startswith("p=") for y in self._listed(f"{base}/{x}")]
+        if not paths:
+            return {}
+        read = self.spark.read.schema("key binary, value binary, place string").parquet(*paths)
+        bytes_ = F.sum(F.length("key") + F.coalesce(F.length("value"), F.lit(0)))
+        found = read.groupBy("place").agg(F.count("*").alias("n_kv"), bytes_.alias("bytes"), F.min("key").alias("first_key"), F.max("key").alias("last_key")).collect()
+        by: dict[int, list] = {}
+        for r in sorted(found, key=lambda r: bytes(r["first_key"])):
+            by.setdefault(int(r["place"].split("/p=")[1].split("/")[0]), []).append(r.asDict() | {"path": self.root + r["place"]})
+        return by
+
+    def _cut(self, pieces: list) -> list[list]:
+        """Pieces in key order as partitions of at most major_switch runs' bytes."""
+        groups, size = [], 0
+        for x in pieces:
+            if not groups or size + x["bytes"] > self.config.major_switch * self.config.run_bytes:
+                groups.append([])
+                size = 0
+            groups[-1].append(x)
+            size += x["bytes"]
+        return groups
 
     def split(self, part_rows: int) -> None:
         """Rewrite all partitions as live ranges of about part_rows keys, tombstones dropped."""
-        rows = self.live()
+        rows = materialise(self.live())
         n = max(1, -(-rows.count() // part_rows))
-        base = f"{self.root}/runs/{uuid.uuid4().hex}"
-        ranged = rows.repartitionByRange(n, "key").sortWithinPartitions("key").withColumn("part", F.spark_partition_id())
-        ranged.select("key", "value", "tombstone", "seq", "part", F.col("part").alias("p")).write.partitionBy("p").parquet(base)
-        read = self.spark.read.schema("key binary, value binary, part int").parquet(base)
-        sizes = sorted(read.groupBy("part").agg(F.min("key").alias("k"), F.count("*").alias("n"), F.sum(F.length("key") + F.coalesce(F.length("value"), F.lit(0))).alias("b")).collect(), key=lambda r: bytes(r["k"]))
-        out = [(0, i, bytearray(b"" if i == 0 else bytes(r["k"])), 0, f"{base}/p={r['part']}", r["n"], r["b"]) for i, r in enumerate(sizes)]
-        self._publish(self.spark.createDataFrame(out or [(0, 0, bytearray(b""), None, None, 0, 0)], MANIFEST), self.head() + 1)
+        ranged = rows.repartitionByRange(n, "key").withColumn("p", F.spark_partition_id())
+        size = sum(r["bytes"] for r in self.manifest().filter("path is not null").collect())
+        groups = sorted(self._write(ranged, size).values(), key=lambda g: bytes(g[0]["first_key"]))
+        out = [_entry(i, bytes(g[0]["first_key"]) if i else b"", 0, x) for i, g in enumerate(groups) for x in g]
+        self._publish(out or [_entry(0, b"")])
 
     def collect_garbage(self, keep_versions: int = 2) -> list[str]:
-        """Drop old versions, and run folders that no kept version refers to."""
-        versions = self.versions()
-        for v in versions[:-keep_versions]:
+        """Drop old versions that no reader holds, and run folders that no remaining version refers to."""
+        versions, held = self.versions(), self.pinned()
+        stay = [v for i, v in enumerate(versions) if i >= len(versions) - keep_versions or v in held]
+        for v in set(versions) - set(stay):
             self._fs.delete(self._fs_path(f"{self.root}/versions/v{v}"), True)
-        used = {r["path"].split("/runs/")[1].split("/")[0] for v in versions[-keep_versions:] for r in self.manifest(v).filter("path is not null").collect()}
-        gone = []
-        if self._fs.exists(self._fs_path(f"{self.root}/runs")):
-            for s in self._fs.listStatus(self._fs_path(f"{self.root}/runs")):
-                if s.getPath().getName() not in used:
-                    self._fs.delete(s.getPath(), True)
-                    gone.append(s.getPath().getName())
+        used = {r["path"].split("/runs/")[1].split("/")[0] for v in stay for r in self.manifest(v).filter("path is not null").select("path").collect()}
+        gone = [n for n in self._listed("runs") if n not in used]
+        for n in gone:
+            self._fs.delete(self._fs_path(f"{self.root}/runs/{n}"), True)
         return gone
 
 
+class Pin:
+    """A reader's hold on a version; use it as a context, or release() it."""
+
+    def __init__(self, store: KvStore, version: int):
+        self.store, self.version = store, version
+        self.path = store._fs_path(f"{store.root}/pins/{version}-{uuid.uuid4().hex}")
+        store._fs.create(self.path).close()
+        if version not in store.versions():
+            self.release()
+            raise ValueError(f"there is no version {version}")
+
+    def release(self) -> None:
+        self.store._fs.delete(self.path, False)
+
+    def __enter__(self) -> "Pin":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
+
 class MutationLog:
-    """An append-only log of mutations in epochs; a batch is visible once its Parquet commit is."""
+    """An append-only log of mutations in epochs; a batch is visible once its Parquet commit is.
+
+    Every record carries the CRC-32 of its key; what is read back has checksum_ok, and recovery stops
+    in each epoch before the first record whose key doesn't match.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     def append(self, rows: DataFrame, epoch: int) -> None:
-        rows.select("key", "value", "tombstone", "seq").withColumn("checksum_ok", F.lit(True)).write.mode("append").parquet(f"{self.root}/epoch={epoch}")
+        rows.select("key", "value", "tombstone", "seq", F.crc32("key").alias("checksum")).write.mode("append").parquet(f"{self.root}/epoch={epoch}")
 
     def read(self) -> DataFrame:
-        return self.spark.read.option("basePath", self.root).parquet(self.root).withColumn("epoch", F.col("epoch").cast("long"))
+        rows = self.spark.read.option("basePath", self.root).parquet(self.root).withColumn("epoch", F.col("epoch").cast("long"))
+        return rows.withColumn("checksum_ok", F.crc32("key").eqNullSafe(F.col("checksum"))).drop("checksum")
 
     def recover(self) -> DataFrame:
         """The newest mutation of each key over all epochs, older epochs first."""

@@ -89,10 +89,74 @@ def test_appended_data_becomes_a_partition(spark, tmp_path):
     store.flush(batch(0, 10), force="minor")
     store.flush(batch(10, 20), force="minor")
     store.flush(batch(100, 160))
-    assert store.anchors().count() == 2
+    # What was there stays; the appended rows, more than major_switch runs of bytes, are two partitions.
+    assert store.anchors().count() == 3 and store.statistics().filter("part_id = 0").count() == 2
     assert store.live().count() == 80
 
 
+def test_a_flush_reads_only_what_it_rewrites(spark, tmp_path, monkeypatch):
+    """Pieces that the flush reads: none for minor, the newest run for partial, all of a partition for major."""
+    store = KvStore.create(spark, str(tmp_path / "s"), [b"", b"k0050"])
+    batch = lambda step: spark.createDataFrame([(_key(i), bytearray(b"v%d" % step), False, 0, step * 100 + i) for i in range(100)], MUTATIONS)
+    read, plain = [], KvStore._read
+    monkeypatch.setattr(KvStore, "_read", lambda self, entries: read.append([(r["part_id"], r["run"]) for r in entries]) or plain(self, entries))
+    for step, force in enumerate(["minor", "minor", "partial"]):
+        store.flush(batch(step), force=force)
+    assert read == [[], [], [(0, 1), (1, 1)]]
+    only = spark.createDataFrame([(_key(3), bytearray(b"x"), False, 0, 999)], MUTATIONS)
+    store.flush(only, force="major")
+    assert sorted(set(read[-1])) in ([(0, 0), (0, 1)], [(0, 0), (0, 1), (1, 0), (1, 1)])
+    read.clear()
+    assert _seen(store.get(bytes(_key(3)))) == {bytes(_key(3)): b"x"} and {p for p, _ in read[0]} == {0}
+
+
+def test_major_output_is_split(spark, tmp_path):
+    config = compaction.Config(max_pages=1)
+    store = KvStore.create(spark, str(tmp_path / "s"), config=config)
+    store.flush(spark.createDataFrame([(_key(i), bytearray(b"z" * 300), i % 7 == 0, 0, i) for i in range(200)], MUTATIONS), force="major")
+    parts = store.manifest().collect()
+    size = {}
+    for r in parts:
+        size[r["part_id"]] = size.get(r["part_id"], 0) + r["bytes"]
+    assert len(size) > 5 and max(size.values()) <= config.major_switch * config.run_bytes
+    spans = sorted((bytes(r["first_key"]), bytes(r["last_key"]), bytes(r["anchor"])) for r in parts)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:])) and all(s[2] <= s[0] for s in spans) and spans[0][2] == b""
+    model = {bytes(_key(i)): b"z" * 300 for i in range(200) if i % 7}
+    assert _seen(store.live()) == model
+    store.flush(spark.createDataFrame([(_key(i), bytearray(b"new"), False, 0, i) for i in range(0, 200, 9)], MUTATIONS))
+    assert _seen(store.live()) == model | {bytes(_key(i)): b"new" for i in range(0, 200, 9)}
+
+
+def test_a_failed_write_leaves_the_head(spark, tmp_path):
+    store = KvStore.create(spark, str(tmp_path / "s"))
+    store.flush(spark.createDataFrame([(_key(1), bytearray(b"a"), False, 0, 1)], MUTATIONS))
+    (tmp_path / "s" / "versions" / "v2").mkdir()
+    assert store.head() == 1 and store.live().count() == 1
+    store.flush(spark.createDataFrame([(_key(2), bytearray(b"b"), False, 0, 2)], MUTATIONS))
+    assert store.head() == 3 and store.live().count() == 2
+
+
+def test_pinned_versions_stay(spark, tmp_path):
+    store = KvStore.create(spark, str(tmp_path / "s"))
+    for i in range(4):
+        store.flush(spark.createDataFrame([(_key(0), bytearray(b"%d" % i), False, 0, i)], MUTATIONS), force="major")
+    with store.pin(1) as pin:
+        store.collect_garbage(1)
+        assert store.versions() == [1, 4] and _seen(store.live(version=pin.version)) == {bytes(_key(0)): b"0"}
+    store.collect_garbage(1)
+    assert store.versions() == [4]
+
+
+def test_log_marks_bad_keys(spark, tmp_path):
+    log = MutationLog(spark, str(tmp_path / "log"))
+    rows = spark.createDataFrame([(_key(i), bytearray(b"a"), False, 0, i) for i in range(6)], MUTATIONS)
+    log.append(rows.filter("seq < 3"), 1)
+    torn = rows.filter("seq >= 3").select("key", "value", "tombstone", "seq", (F.crc32("key") + F.when(F.col("seq") == 4, 1).otherwise(0)).alias("checksum"))
+    torn.write.mode("append").parquet(f"{tmp_path}/log/epoch=1")
+    assert {r["seq"]: r["checksum_ok"] for r in log.read().collect()} == {i: i != 4 for i in range(6)}
+    assert sorted(r["seq"] for r in log.recover().collect()) == [0, 1, 2, 3]
+
+
 def test_log_recovery_stops_at_a_bad_record(spark, tmp_path):
     log = MutationLog(spark, str(tmp_path / "log"))
     log.append(spark.createDataFrame([(_key(i % 3), bytearray(b"a%d" % i), False, 0, i) for i in range(6)], MUTATIONS), 1)
