@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import rotl64
+from ..schema import MAX_RUNS
 
 BITS_PER_KEY = 10
 
@@ -30,15 +31,24 @@ def places(key: Column, bits: Column, bits_per_key: int = BITS_PER_KEY) -> Colum
 def build(rows: DataFrame, group: list[str], key: str = "key", bits_per_key: int = BITS_PER_KEY) -> DataFrame:
     """(group, bits, word, mask): one row per 64 bits that have any set."""
     sizes = rows.groupBy(*group).agg((F.count("*") * bits_per_key).alias("bits"))
-    placed = rows.join(F.broadcast(sizes) if group == ["run"] else sizes, group).select(*group, "bits", F.explode(places(F.col(key), F.col("bits"), bits_per_key)).alias("bit"))
+    placed = rows.join(sizes, group).select(*group, "bits", F.explode(places(F.col(key), F.col("bits"), bits_per_key)).alias("bit"))
     mask = F.expr("shiftleft(1L, cast(bit % 64 as int))")
     return placed.groupBy(*group, "bits", F.floor(F.col("bit") / 64).alias("word")).agg(F.bit_or(mask).alias("mask"))
 
 
 def test(keys: DataFrame, filters: DataFrame, group: list[str], key: str = "key", bits_per_key: int = BITS_PER_KEY) -> DataFrame:
-    """(key, group, maybe) for distinct keys against every filter of their group columns."""
+    """(key, group, maybe) for distinct keys against every filter of their group columns.
+
+    Keys without group columns are tested against all filters, of which there may be MAX_RUNS at most.
+    """
     sizes = filters.groupBy(*group).agg(F.max("bits").alias("bits"))
-    asked = keys.join(F.broadcast(sizes), group) if set(group) <= set(keys.columns) else keys.crossJoin(F.broadcast(sizes))
+    if set(group) <= set(keys.columns):
+        asked = keys.join(sizes, group)
+    else:
+        every = [F.struct(*(F.lit(r[c]).cast(sizes.schema[c].dataType).alias(c) for c in sizes.columns)) for r in sizes.limit(MAX_RUNS + 1).collect()]
+        if len(every) > MAX_RUNS:
+            raise ValueError(f"more than {MAX_RUNS} filters: give the keys the columns {group}")
+        asked = keys.withColumn("__f", F.explode(F.array(*every))).select(key, "__f.*") if every else keys.limit(0).select(key, *(F.lit(None).cast(sizes.schema[c].dataType).alias(c) for c in sizes.columns))
     bits = asked.select(key, *group, F.explode(F.array_distinct(places(F.col(key), F.col("bits"), bits_per_key))).alias("bit")).withColumn("word", F.floor(F.col("bit") / 64))
     hit = F.coalesce(F.expr("mask & shiftleft(1L, cast(bit % 64 as int))") != 0, F.lit(False))
     return bits.join(filters.drop("bits"), [*group, "word"], "left").groupBy(key, *group).agg(F.min(hit).alias("maybe"))

@@ -37,7 +37,7 @@ def _assigned(rows: DataFrame, close) -> DataFrame:
             if not batch.num_rows:
                 continue
             pid = batch.column("pid")[0].as_py()
-            got = [state(batch.column("key")[i].as_py(), *(batch.column(c)[i].as_py() for c in extra)) for i in range(batch.num_rows)]
+            got = list(map(state, *(batch.column(c).to_pylist() for c in ("key", *extra))))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([pid] * batch.num_rows, pa.int32()), pa.array(got, pa.int64())], names=["key", "pid", "segment"])
 
     return ranked.mapInArrow(run, f"key {kind}, pid int, segment bigint")
@@ -67,17 +67,17 @@ def bit_segments(rows: DataFrame, most_keys: int = SEGMENT_KEYS, most_bits: int
 
     def close():
         segment, n, last = 0, 0, None
-        masks: dict[int, int] = {}
+        bits: set[tuple[int, int]] = set()
 
         def place(key: bytes) -> int:
             nonlocal segment, n, last
-            bits = sum(m.bit_count() for m in masks.values())
-            if n and (n >= most_keys or bits >= most_bits):
+            if n and (n >= most_keys or len(bits) >= most_bits):
                 segment, n, last = segment + 1, 0, None
-                masks.clear()
+                bits.clear()
             if last is not None:
                 at, mask = dbit(last, key)
-                masks[at] = masks.get(at, 0) | mask
+                if mask:
+                    bits.add((at, mask))
             n, last = n + 1, key
             return segment
 

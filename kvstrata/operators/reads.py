@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..session import globally_ranked
 
+#: Anchors that a plan may hold as a literal.
+LITERAL_ANCHORS = 2_000
 
 def get(view: DataFrame, key, name: str = "key") -> DataFrame:
     return view.filter(F.col(name) == F.lit(key))
@@ -75,9 +77,11 @@ def scan(view: DataFrame, start=None, end=None, name: str = "key") -> DataFrame:
 def locate(keys: DataFrame, anchors: DataFrame, name: str = "key") -> DataFrame:
     """Each key with part_id and anchor of its partition: the largest anchor at or before it.
 
-    anchors: (part_id, anchor), one row per range partition. They are put in one array (a store's
-    manifest is read by the driver anyway) and searched by halving.
+    anchors: (part_id, anchor), one row per range partition. Up to LITERAL_ANCHORS of them are put in
+    one array and searched by halving, so the keys aren't moved; more are merged with the keys in key order.
     """
+    if anchors.count() > LITERAL_ANCHORS:
+        return _located_in_order(keys, anchors, name)
     table = sorted((r["anchor"], r["part_id"]) for r in anchors.select("anchor", "part_id").collect())
     if not table:
         return keys.withColumn("part_id", F.lit(None).cast("int")).withColumn("anchor", F.lit(None).cast(keys.schema[name].dataType))
@@ -90,6 +94,24 @@ def locate(keys: DataFrame, anchors: DataFrame, name: str = "key") -> DataFrame:
     return keys.withColumn("part_id", F.when(hit, F.element_at(parts, place))).withColumn("anchor", F.when(hit, F.element_at(bounds, place)))
 
 
+def _located_in_order(keys: DataFrame, anchors: DataFrame, name: str) -> DataFrame:
+    """The same by one range partitioning of keys and anchors together; a range's last anchor goes on to the next ones."""
+    kind = keys.schema[name].dataType
+    at = F.struct(F.col("part_id"), F.col("anchor").cast(kind).alias("anchor"))
+    marks = anchors.select(F.col("anchor").cast(kind).alias(name), F.lit(0).alias("__key"), at.alias("__at"))
+    both = keys.withColumn("__key", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    ranked = globally_ranked(both, name, "__key")
+    found = dict(ranked.filter("__key = 0").groupBy("pid").agg(F.max("rank")).collect())  # a row a range
+    before = [max((r for p, r in found.items() if p < pid), default=-1) for pid in range(max(found) + 2)]
+    carried = ranked.filter(F.col("rank").isin([r for r in before if r >= 0]) & (F.col("__key") == 0)).select(F.col("rank").alias("__from"), F.col("__at").alias("__carried"))
+    start = F.element_at(F.array(*map(F.lit, before)), F.least(F.col("pid") + 1, F.lit(len(before)))).cast("long")
+    window = Window.partitionBy("pid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    own = ranked.withColumn("__own", F.last("__at", True).over(window)).withColumn("__from", start)
+    joined = own.filter("__key = 1").join(F.broadcast(carried), "__from", "left")  # a row a range
+    here = F.coalesce("__own", "__carried")
+    return joined.select(*keys.columns, here["part_id"].alias("part_id"), here["anchor"].alias("anchor"))
+
+
 def count_at_most(value, bounds, size: int):
     """How many of the sorted bounds are at most the value, by halving."""
     start = F.struct(F.lit(0).alias("lo"), F.lit(size).alias("hi"))

@@ -7,12 +7,18 @@ its order, R plays the tombstone); events by time is also a page trace.
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import generators, keys, statistics
 from ..operators import bloom, compaction, index, lru, reads, views, workload, writes
-from ..session import globally_ranked
+from ..schema import MAX_RUNS
+from ..session import globally_ranked, shared_dir
+from ..sources.store import KvStore, MutationLog
+from . import reports
 
 QUERIES = {}
 ORACLES = {}
@@ -48,6 +54,12 @@ def _runs(spark, d) -> DataFrame:
     return rows.select(F.col("l_orderkey").alias("key"), F.col("l_quantity").alias("value"), (F.col("l_returnflag") == "R").alias("tombstone"), run.alias("run"), F.col("l_partkey").alias("seq"))
 
 
+def _streams(spark, d) -> list[DataFrame]:
+    """The runs as frames of their own, oldest first; there are at most MAX_RUNS."""
+    rows = _runs(spark, d)
+    return [rows.filter(F.col("run") == i).drop("run") for i in range(MAX_RUNS + 1)]
+
+
 RUNS = "r AS (SELECT l_orderkey AS key, l_quantity AS value, l_returnflag = 'R' AS tombstone, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1)::INT AS run FROM lineitem)"
 NEWEST = "n AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY run DESC) = 1)"
 
@@ -80,13 +92,12 @@ def kv_sorted_view(spark, d):
 
 @query(f"WITH {RUNS} SELECT key, run, value, run < max(run) OVER (PARTITION BY key) AS repeated FROM r")
 def kv_merge_runs(spark, d):
-    rows = _runs(spark, d).withColumnRenamed("run", "rank").select("key", "rank", "value")
-    return views.all_versions(rows, "key", ("rank",)).select("key", F.col("rank").alias("run"), "value", F.col("stale").alias("repeated"))
+    return views.merge_history(*_streams(spark, d)).select("key", F.col("rank").alias("run"), "value", "repeated")
 
 
 @query(f"WITH {RUNS}, {NEWEST} SELECT key, run, value, tombstone FROM n")
 def kv_merge_unique(spark, d):
-    return views.newest(_runs(spark, d)).select("key", "run", "value", "tombstone")
+    return views.merge_unique(*_streams(spark, d)).select("key", F.col("rank").alias("run"), "value", "tombstone")
 
 
 @query(f"WITH {RUNS}, {NEWEST} SELECT key, run, value FROM n WHERE run >= 3")
@@ -209,19 +220,26 @@ def kv_anchor_lookup(spark, d):
 
 @query("SELECT o_orderkey AS key, CASE WHEN o_orderkey % 10 = 0 THEN 0.5 ELSE o_totalprice END AS value FROM orders UNION ALL SELECT -1, 0.5")
 def kv_put_overwrite(spark, d):
-    rows = _orders(spark, d).select("key", "value", F.lit(False).alias("tombstone"), F.lit(0).alias("run"), F.lit(0).cast("long").alias("seq"))
-    new = rows.filter("key % 10 = 0").select("key").union(spark.range(1).select(F.lit(-1).cast("long"))).select("key", F.lit(0.5).alias("value"), F.lit(1).cast("long").alias("seq"))
-    put = new.select("key", "value", F.lit(False).alias("tombstone"), F.lit(1).alias("run"), "seq")
-    return views.live(rows.unionByName(put)).select("key", "value")
+    rows = writes.put(_orders(spark, d), 0, F.lit(0).cast("long"))
+    new = rows.filter("key % 10 = 0").select("key").union(spark.range(1).select(F.lit(-1).cast("long"))).select("key", F.lit(0.5).alias("value"))
+    return views.live(rows.unionByName(writes.put(new, 1, F.lit(1).cast("long")))).select("key", "value")
 
 
 @query("SELECT o_orderkey AS key, o_totalprice AS value FROM orders WHERE o_orderkey % 3 <> 1")
 def kv_delete(spark, d):
-    rows = _orders(spark, d).select("key", "value", F.lit(False).alias("tombstone"), F.lit(0).alias("run"), F.lit(0).cast("long").alias("seq"))
-    gone = rows.filter("key % 3 = 1").select("key", F.lit(None).cast("double").alias("value"), F.lit(True).alias("tombstone"), F.lit(1).alias("run"), F.lit(1).cast("long").alias("seq"))
+    rows = writes.put(_orders(spark, d), 0, F.lit(0).cast("long"))
+    gone = writes.delete(rows.filter("key % 3 = 1").select("key"), 1, F.lit(1).cast("long"), "double")
     return views.live(rows.unionByName(gone)).select("key", "value")
 
 
+@query("SELECT o_orderkey AS key, o_orderkey % 3 <> 1 AS stays FROM orders")
+def kv_deleted_keys(spark, d):
+    """Deletes that look first: what stays, and the keys that were there."""
+    view = _orders(spark, d).select("key", "value")
+    stays, gone = writes.deleted(view, view.filter("key % 3 = 1").select("key").union(spark.range(1).select(F.lit(-5).cast("long"))))
+    return stays.select("key", F.lit(True).alias("stays")).union(gone.select("key", F.lit(False)))
+
+
 @query("SELECT o_orderkey AS key, o_totalprice AS value FROM orders WHERE NOT (o_orderkey >= 200 AND o_orderkey < 1200)")
 def kv_delete_range(spark, d):
     return writes.delete_range(_orders(spark, d), 200, 1200)[0].select("key", "value")
@@ -322,31 +340,59 @@ def kv_key_range(spark, d):
     return index.key_range(_orders(spark, d).withColumn("part_id", F.floor(F.col("key") / 1000).cast("int")))
 
 
-@query()
+@query("SELECT count(DISTINCT url) AS n_keys, 0::BIGINT AS n_overfull, 0::BIGINT AS n_closed_early, 0::BIGINT AS n_alike FROM pages")
 def kv_bit_segments(spark, d):
-    """Segments of page urls, and the bits each needs to tell its keys apart."""
+    """Segments of page urls by the bits that tell their keys apart: all keys, none over its limits, none closed before them.
+
+    A segment is determined by where its range begins and these rules, so no count but 0 shows a wrong one.
+    """
     rows = table(spark, d, "pages").select(F.col("url").cast("binary").alias("key"))
-    return index.discriminating_bits(index.bit_segments(rows))
+    found = index.discriminating_bits(index.bit_segments(rows))
+    last = F.col("segment") == F.max("segment").over(Window.partitionBy("pid"))
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    # A key adds one bit at most, so a segment that closed at its limit of bits has exactly so many.
+    over = (F.col("n_keys") > index.SEGMENT_KEYS) | (F.col("n_bits") > index.SEGMENT_BITS)
+    early = ~F.col("last") & (F.col("n_keys") < index.SEGMENT_KEYS) & (F.col("n_bits") < index.SEGMENT_BITS)
+    return found.withColumn("last", last).agg(F.sum("n_keys").alias("n_keys"), one(over).alias("n_overfull"), one(early).alias("n_closed_early"), one((F.col("n_keys") > 1) & (F.col("n_bits") == 0)).alias("n_alike"))
 
 
-@query()
+@query("SELECT count(*) AS n_versions, count(DISTINCT l_orderkey) AS n_keys, 0::BIGINT AS n_overfull, 0::BIGINT AS n_closed_early, 0::BIGINT AS n_out_of_order FROM lineitem")
 def kv_slot_segments(spark, d):
+    """Segments of whole keys: all versions, no segment over its slots, none closed where the next key's versions would fit."""
     rows = _runs(spark, d).select("key")
-    return index.slot_segments(rows).groupBy("pid", "segment").agg(F.count("*").alias("n_keys"))
+    placed = index.slot_segments(rows).join(rows.groupBy("key").agg(F.count("*").alias("n")), "key")
+    segments = placed.groupBy("pid", "segment").agg(F.count("*").alias("keys"), F.sum("n").alias("used"), F.min("key").alias("low"), F.max("key").alias("high"), F.min_by("n", "key").alias("first_n"))
+    order = Window.partitionBy("pid").orderBy("segment")
+    segments = segments.withColumn("next_n", F.lead("first_n").over(order)).withColumn("next_low", F.lead("low").over(order))
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return segments.agg(
+        F.sum("used").alias("n_versions"), F.sum("keys").alias("n_keys"), one((F.col("used") > index.SLOTS) & (F.col("keys") > 1)).alias("n_overfull"),
+        one(F.col("used") + F.col("next_n") <= index.SLOTS).alias("n_closed_early"), one(F.col("next_low") <= F.col("high")).alias("n_out_of_order"),
+    )
 
 
-@query()
+@query(f"WITH {RUNS}, c AS (SELECT run, count(DISTINCT key) AS tp FROM r SEMI JOIN orders ON key = o_orderkey GROUP BY run) SELECT run, tp, 0::BIGINT AS fn, (SELECT count(*) FROM orders) - tp AS n_absent, true AS few_pass FROM c")
 def kv_bloom_quality(spark, d):
+    """Filters of all runs: no key that is there is refused, and of the absent ones about 1 in 100 passes (below 3; filters of a few keys have too few bits for that)."""
     rows = _runs(spark, d).select("key", "run")
     filters = bloom.build(rows, ["run"])
-    return bloom.quality(bloom.test(_orders(spark, d).select("key"), filters, ["run"]), rows, ["run"])
+    got = bloom.quality(bloom.test(_orders(spark, d).select("key"), filters, ["run"]), rows, ["run"])
+    return got.select("run", "tp", "fn", (F.col("fp") + F.col("tn")).alias("n_absent"), ((F.col("tp") < 100) | (F.col("fp") <= F.col("tn") * 0.03 + 2)).alias("few_pass"))
+
+
+@query(f"WITH {RUNS} SELECT run, count(*) AS n_keys, 0::BIGINT AS n_refused FROM r GROUP BY run")
+def kv_page_bloom(spark, d):
+    """A filter for every page of 100 keys of a run; each key is tested against its own page's."""
+    placed = globally_ranked(_runs(spark, d).select("run", "key"), "run", "key", name="place").select("run", "key", F.floor(F.col("place") / 100).alias("page"))
+    tested = bloom.test(placed, bloom.build(placed, ["run", "page"]), ["run", "page"])
+    return tested.groupBy("run").agg(F.count("*").alias("n_keys"), F.sum(F.when(F.col("maybe"), 0).otherwise(1)).alias("n_refused"))
 
 
 # Compaction
 
 _PARTS = (
     "WITH s0 AS (SELECT (l_orderkey // 4000)::INT AS part_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1)::INT AS run FROM lineitem), "
-    "s1 AS (SELECT part_id, run, count(*) AS n_kv FROM s0 WHERE run < 7 GROUP BY part_id, run), t AS (SELECT part_id, sum(n_kv) AS totkv, max(run) + 1 AS r FROM s1 GROUP BY part_id), "
+    "s1 AS (SELECT part_id, run, count(*) AS n_kv FROM s0 GROUP BY part_id, run), t AS (SELECT part_id, sum(n_kv) AS totkv, max(run) + 1 AS r FROM s1 GROUP BY part_id), "
     "s2 AS (SELECT part_id, run, n_kv FROM s1 UNION ALL SELECT part_id, r, 0 FROM t), "
     "f1 AS (SELECT s2.part_id, s2.run, t.r, totkv, totkv * 40 AS totsz, (totkv // 3) AS newnr, (totkv // 3) * 50 AS newsz, "
     "sum(n_kv) OVER (PARTITION BY s2.part_id ORDER BY run DESC) AS accu, coalesce(sum(n_kv) OVER (PARTITION BY s2.part_id ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s2 JOIN t USING (part_id)), "
@@ -358,7 +404,7 @@ _PARTS = (
 
 
 def _part_stats(spark, d) -> DataFrame:
-    s = _runs(spark, d).filter("run < 7").groupBy(F.floor(F.col("key") / 4000).cast("int").alias("part_id"), "run").agg(F.count("*").alias("n_kv"))
+    s = _runs(spark, d).groupBy(F.floor(F.col("key") / 4000).cast("int").alias("part_id"), "run").agg(F.count("*").alias("n_kv"))
     t = s.groupBy("part_id").agg(F.sum("n_kv").alias("totkv"), (F.max("run") + 1).alias("r"))
     rows = s.unionByName(t.select("part_id", F.col("r").alias("run"), F.lit(0).cast("long").alias("n_kv"))).join(t.drop("r"), "part_id")
     new = F.floor(F.col("totkv") / 3)
@@ -378,6 +424,21 @@ def kv_compaction_plan(spark, d):
     return compaction.plan(parts.withColumn("overlap", F.lit(True)).withColumn("is_last", F.lit(False)), best).select("part_id", "bestrun", "kind")
 
 
+@query(
+    "SELECT n_nationkey AS part_id, CASE WHEN n_nationkey % 5 = 0 THEN 'major' WHEN n_nationkey % 5 = 1 THEN 'reject' WHEN n_nationkey = 24 THEN 'append' WHEN n_nationkey % 4 = 0 THEN 'major' WHEN n_nationkey % 4 < 3 THEN 'partial' ELSE 'minor' END AS kind, "
+    "CASE WHEN n_nationkey % 5 = 0 THEN 0 WHEN n_nationkey % 5 = 1 THEN 8 WHEN n_nationkey = 24 THEN 16 ELSE n_nationkey % 4 END AS bestrun FROM nation"
+)
+def kv_compaction_kinds(spark, d):
+    """Every branch of a plan: empty partitions, nothing new, new data behind the last key, all, some or none rewritten."""
+    id_ = F.col("n_nationkey")
+    parts = table(spark, d, "nation").select(
+        id_.alias("part_id"), F.lit(3).alias("n_runs"), F.when(id_ % 5 == 0, 0).otherwise(900).alias("valid"), F.when(id_ % 5 == 1, 0).otherwise(10).alias("newnr"),
+        F.lit(100_000_000).cast("long").alias("newsz"), F.lit(1_000).cast("long").alias("totsz"), (id_ != 24).alias("overlap"), (id_ == 24).alias("is_last"),
+    )
+    best = table(spark, d, "nation").select(id_.alias("part_id"), (id_ % 4).alias("bestrun"))
+    return compaction.plan(parts, best).select("part_id", "kind", "bestrun")
+
+
 @query(
     "WITH p AS (SELECT n_nationkey AS part_id, n_nationkey * 1000000 AS newsz, (n_nationkey % 7) * 0.02 AS ratio FROM nation), "
     "o AS (SELECT *, max(CASE WHEN newsz > 4096 * 5000 OR s > 30000000 OR ratio > 0.1 THEN 1 ELSE 0 END) OVER (ORDER BY ratio, part_id) AS stop FROM (SELECT *, sum(newsz) OVER (ORDER BY ratio, part_id) AS s FROM p)) "
@@ -431,14 +492,204 @@ def kv_shuffle_permutation(spark, d):
     return spark.range(5000).select("id", generators.shuffled("id", 0, 4999, 17).alias("number"))
 
 
-@query()
+_ZIPF = {n: [(i + 1) ** -generators.THETA for i in range(n)] for n in (1000, 100)}
+
+
+def _zipf_mean(n: int) -> float:
+    return sum(i * p for i, p in enumerate(_ZIPF[n])) / sum(_ZIPF[n])
+
+
+#: Specification, least and largest number allowed, and the mean (None: the order of numbers is scattered).
+_KINDS = {
+    "uniform": ("uniform 0 999", 0, 999, 499.5), "zipfian": ("zipfian 0 999", 0, 999, _zipf_mean(1000)), "xzipfian": ("xzipfian 0 999", 0, 999, None),
+    "unizipf": ("unizipf 0 999 10", 0, 999, 450 + _zipf_mean(100)), "zipfuni": ("zipfuni 0 999 10", 0, 999, 10 * _zipf_mean(100) + 4.5),
+    "expo": ("expo 95 1000", 0, 1 << 40, 1000 / math.log(20) - 0.5), "geo": ("geo 0.01", 0, 1 << 40, 99.0),
+}
+
+
+@query("SELECT kind, 0::BIGINT AS n_outside, true AS mean_ok FROM (VALUES " + ", ".join(f"('{k}')" for k in _KINDS) + ") t(kind)")
 def kv_distributions(spark, d):
-    """Moments of every random generator over 20,000 draws."""
-    specs = {"uniform": "uniform 0 999", "zipfian": "zipfian 0 999", "xzipfian": "xzipfian 0 999", "unizipf": "unizipf 0 999 10", "zipfuni": "zipfuni 0 999 10", "expo": "expo 95 1000", "geo": "geo 0.01"}
+    """20,000 draws of every random generator: none outside its range, and a mean within a twentieth of the distribution's."""
     rows = spark.range(20_000)
-    cells = [F.struct(F.lit(n).alias("kind"), generators.parse(s)("id", 42).alias("number")) for n, s in specs.items()]
+    cells = [F.struct(F.lit(n).alias("kind"), generators.parse(k[0])("id", 42).alias("number"), F.lit(k[1]).cast("long").alias("low"), F.lit(k[2]).cast("long").alias("high"), F.lit(k[3]).cast("double").alias("want")) for n, k in _KINDS.items()]
     long = rows.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-    return long.groupBy("kind").agg(F.min("number").alias("least"), F.max("number").alias("most"), F.round(F.avg("number"), 3).alias("mean"), F.countDistinct("number").alias("n_distinct"))
+    near = F.coalesce(F.abs(F.avg("number") - F.first("want")) < F.first("want") * 0.05, F.lit(True))
+    return long.groupBy("kind").agg(F.sum(F.when(F.col("number").between(F.col("low"), F.col("high")), 0).otherwise(1)).alias("n_outside"), near.alias("mean_ok"))
+
+
+@query("SELECT event_id, (sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id % 4 ORDER BY event_id))::BIGINT AS newest, true AS in_reach FROM events")
+def kv_latest(spark, d):
+    """Writes take the next number of their worker; a read falls at most 1,000 behind the newest one."""
+    ops = _events(spark, d).select("event_id", (F.col("value") > 50).alias("is_write"), (F.col("user_id") % 4).alias("worker"))
+    newest = F.sum(F.col("is_write").cast("long")).over(Window.partitionBy("worker").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0))
+    got = generators.latest(ops, "event_id", "is_write", "worker", 1000).withColumn("newest", newest)
+    behind = F.col("newest") - F.col("number")
+    return got.select("event_id", "newest", F.when(F.col("is_write"), behind == 0).otherwise((F.col("number") >= 0) & behind.between(0, 999)).alias("in_reach"))
+
+
+@query("SELECT count(*) AS n_mixed, count(*) AS n_parts, 0::BIGINT AS n_both, true AS share_ok, 0::BIGINT AS n_wrong_run FROM orders")
+def kv_key_sets(spark, d):
+    """Keys placed in runs: existing and missing keys are all keys and no key twice, three in four exist, runs are those drawn."""
+    levels = workload.run_levels(_orders(spark, d).select("key"), 4)
+    sets = {m: workload.key_sets(levels, m) for m in ("existing", "missing", "mixed")}
+    tagged = sets["mixed"].withColumn("m", F.lit(0)).union(sets["existing"].withColumn("m", F.lit(1))).union(sets["missing"].withColumn("m", F.lit(2)))
+    per_key = tagged.groupBy("key").agg(*(F.sum(F.when(F.col("m") == i, 1).otherwise(0)).alias(f"m{i}") for i in range(3)))
+    records = workload.run_records(levels, 4).groupBy("key").agg(F.sort_array(F.collect_list("run")).alias("runs"))
+    drawn = F.array_sort(F.filter(F.array_distinct(F.array("level1", "level2")), lambda r: r < 4))
+    wrong = levels.join(records, "key", "left").select("key", (F.coalesce("runs", F.array().cast("array<int>")) != drawn).alias("wrong"))
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return per_key.join(wrong, "key").agg(
+        F.sum("m0").alias("n_mixed"), F.sum(F.col("m1") + F.col("m2")).alias("n_parts"), one((F.col("m1") > 0) & (F.col("m2") > 0)).alias("n_both"),
+        F.avg("m1").between(0.68, 0.82).alias("share_ok"), one(F.col("wrong")).alias("n_wrong_run"),
+    )
+
+
+# Stores
+
+
+def _mutations(spark, d) -> DataFrame:
+    """The runs of lineitem with binary keys and values, as a store holds them."""
+    rows = _runs(spark, d)
+    return rows.select(keys.u64_key("key").alias("key"), F.col("value").cast("string").cast("binary").alias("value"), "tombstone", "run", "seq")
+
+
+def _read_back(live: DataFrame) -> DataFrame:
+    return live.select(keys.u64_value("key").cast("long").alias("key"), F.col("value").cast("string").cast("double").alias("value"))
+
+
+def _store(spark, config=compaction.Config()) -> KvStore:
+    """A new store of three partitions in the shared folder."""
+    anchors = [b"", (1000).to_bytes(8, "big"), (2000).to_bytes(8, "big")]
+    return KvStore.create(spark, f"{shared_dir(spark)}/kv-store-{uuid.uuid4().hex}", anchors, config)
+
+
+def _flushed(spark, d, *force: str | None, config=compaction.Config()) -> KvStore:
+    """The runs flushed in as many steps as there are kinds of compaction given."""
+    store, rows = _store(spark, config), _mutations(spark, d)
+    for i, kind in enumerate(force):
+        last = i == len(force) - 1
+        store.flush(rows.filter(F.col("run") >= i if last else F.col("run") == i), force=kind)
+    return store
+
+
+_LIVE_RUNS = f"WITH {RUNS}, {NEWEST} SELECT key, value::DOUBLE AS value FROM n WHERE NOT tombstone"
+
+
+@query(_LIVE_RUNS)
+def kv_store_minor(spark, d):
+    return _read_back(_flushed(spark, d, "minor", "minor", "minor").live())
+
+
+@query(_LIVE_RUNS)
+def kv_store_partial(spark, d):
+    return _read_back(_flushed(spark, d, "minor", "minor", "partial").live())
+
+
+@query(_LIVE_RUNS)
+def kv_store_major(spark, d):
+    """Small runs, so that the output of the major compaction is split."""
+    return _read_back(_flushed(spark, d, "minor", "major", config=compaction.Config(max_pages=20)).live())
+
+
+@query(_LIVE_RUNS)
+def kv_store_planned(spark, d):
+    """Kinds chosen by the cost model."""
+    return _read_back(_flushed(spark, d, None, None, config=compaction.Config(max_pages=20)).live())
+
+
+@query("SELECT o_orderkey AS key, o_totalprice AS value FROM orders")
+def kv_store_append(spark, d):
+    """Orders in key order: what lies behind the last key is appended as partitions of its own."""
+    store = KvStore.create(spark, f"{shared_dir(spark)}/kv-store-{uuid.uuid4().hex}", config=compaction.Config(max_pages=1))
+    rows = writes.put(_orders(spark, d).select(keys.u64_key("key").alias("key"), F.col("value").cast("string").cast("binary").alias("value"), F.col("key").alias("seq")), 0)
+    edge = F.lit((100).to_bytes(8, "big")), F.lit((200).to_bytes(8, "big"))
+    store.flush(rows.filter(F.col("key") < edge[0]), force="minor")
+    store.flush(rows.filter((F.col("key") >= edge[0]) & (F.col("key") < edge[1])), force="minor")
+    store.flush(rows.filter(F.col("key") >= edge[1]))
+    return _read_back(store.live())
+
+
+@query(_LIVE_RUNS)
+def kv_store_split(spark, d):
+    store = _flushed(spark, d, "minor", "minor")
+    store.split(500)
+    return _read_back(store.live())
+
+
+@query(f"WITH {RUNS}, {NEWEST} SELECT key, value::DOUBLE AS value FROM n WHERE NOT tombstone AND key >= 900 AND key < 2100")
+def kv_store_range(spark, d):
+    """A key range of a store, from the partitions that it touches, under a memory table that deletes nothing."""
+    low, high = ((n).to_bytes(8, "big") for n in (900, 2100))
+    return _read_back(views.live(_flushed(spark, d, "minor", "partial").rows(start=low, end=high)))
+
+
+@query(f"WITH {RUNS}, {NEWEST} SELECT key, value::DOUBLE AS value FROM n WHERE NOT tombstone")
+def kv_log_recovery(spark, d):
+    """The runs as epochs of a log, checked and replayed."""
+    log, rows = MutationLog(spark, f"{shared_dir(spark)}/kv-log-{uuid.uuid4().hex}"), _mutations(spark, d)
+    log.append(rows.filter("run = 0"), 0)
+    for i in (1, 2):
+        log.append(rows.filter("run = 1" if i == 1 else "run >= 2").withColumn("seq", F.col("run").cast("long")), i)
+    return _read_back(log.recover().filter("not tombstone"))
+
+
+@query(
+    "WITH o AS (SELECT o_orderkey AS key, o_totalprice AS value FROM orders) SELECT key, "
+    "CASE WHEN key % 6 = 0 THEN NULL WHEN key % 3 = 0 THEN 1.0 ELSE value END AS value FROM o"
+)
+def kv_ordered_map(spark, d):
+    """A map by name: puts, overwrites of every third key, deletes of every sixth; null where a key is gone."""
+    rows = _orders(spark, d).select("key", "value")
+    thirds = rows.filter("key % 3 = 0").select("key")
+    new = writes.put(rows, 0, F.lit(0).cast("long")).unionByName(writes.put(thirds.withColumn("value", F.lit(1.0)), 1, F.lit(1).cast("long")))
+    gone = writes.delete(thirds.filter("key % 6 = 0"), 2, F.lit(2).cast("long"), "double")
+    return reads.batch_get(rows.select("key"), views.live(new.unionByName(gone)).select("key", "value"))
+
+
+# Reports
+
+
+def _results(spark, d) -> DataFrame:
+    """Suppliers as rows of results: a system and a memory limit for each, of which the first counts."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"))
+    one = s.groupBy((F.col("nation") % 4).alias("a"), (F.col("nation") % 3).alias("b")).agg(F.min("id").alias("id"))
+    return one.select(
+        F.concat(F.lit("s"), "a").alias("sysname"), F.concat(F.lit("m"), "b").alias("mem"), F.concat(F.lit("w"), "b").alias("workload"), (F.col("id") * 1000.0).alias("ops"),
+        (F.col("id") * 2).alias("bio_read_bytes"), (F.col("id") * 3).alias("bio_write_bytes"), (F.col("id") + 1).alias("num_ops"), (F.col("id") * 1e9).alias("nsec"),
+    )
+
+
+_RESULTS = "r AS (SELECT 's' || a AS sysname, 'm' || b AS mem, 'w' || b AS workload, min(s_suppkey) AS id FROM (SELECT *, s_nationkey % 4 AS a, s_nationkey % 3 AS b FROM supplier) GROUP BY a, b)"
+
+
+@query(f"WITH {_RESULTS} SELECT sysname, " + ", ".join(f"max(CASE WHEN mem = 'm{i}' THEN id * 1000.0 / 1000 END)::DOUBLE AS m{i}" for i in range(3)) + " FROM r GROUP BY sysname")
+def kv_report_throughput(spark, d):
+    return reports.throughput(_results(spark, d), ["m0", "m1", "m2"])
+
+
+@query(f"WITH {_RESULTS} SELECT sysname, " + ", ".join(f"max(CASE WHEN mem = 'm{i}' THEN (id * 5)::DOUBLE / 1e12 END) AS m{i}" for i in range(3)) + " FROM r GROUP BY sysname")
+def kv_report_load_io(spark, d):
+    return reports.load_io(_results(spark, d), ["m0", "m1", "m2"])
+
+
+@query(f"WITH {_RESULTS} SELECT sysname, " + ", ".join(f"max(CASE WHEN mem = 'm{i}' THEN (id * 2)::DOUBLE / (id + 1) / 1024 END) AS m{i}" for i in range(3)) + " FROM r GROUP BY sysname")
+def kv_report_read_io(spark, d):
+    return reports.read_io(_results(spark, d), ["m0", "m1", "m2"])
+
+
+@query(f"WITH {_RESULTS} SELECT workload, " + ", ".join(f"max(CASE WHEN sysname = 's{i}' THEN id * 1000.0 / 1000 END)::DOUBLE AS s{i}" for i in range(4)) + " FROM r GROUP BY workload")
+def kv_report_ycsb(spark, d):
+    return reports.ycsb_throughput(_results(spark, d), ["s0", "s1", "s2", "s3"])
+
+
+@query("SELECT event_type AS rw, count(*) AS n_io, sum(event_id)::BIGINT AS total_bytes FROM events GROUP BY 1")
+def kv_block_io(spark, d):
+    return reports.block_io(_events(spark, d).select(F.col("event_type").alias("rw"), F.col("event_id").alias("bytes")))
+
+
+@query("SELECT user_id AS device, (arg_max(event_id, event_id) - arg_min(event_id, event_id))::BIGINT AS counter FROM events GROUP BY 1")
+def kv_counter_deltas(spark, d):
+    return reports.counter_deltas(_events(spark, d).select(F.col("user_id").alias("device"), F.col("event_id").alias("at"), F.col("event_id").alias("counter")), ["counter"])
 
 
 # Workloads and traces
