@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..session import globally_ranked
-from . import views
+from . import reads, views
 
 #: Slots of a segment of the slot form; keys and discriminating bits that close one of the bit form.
 SLOTS, SEGMENT_KEYS, SEGMENT_BITS = 32, 64, 32
@@ -228,6 +228,38 @@ class PartialKeys:
         return int(run[0]) if key < self.keys[guess] else int(run[-1]) + 1
 
 
+def partial_key_search(segmented: DataFrame, probes: DataFrame) -> DataFrame:
+    """(key, n_below, matched) for probes (key): how many of all keys lie below, found by partial keys.
+
+    segmented: from bit_segments. A probe goes to the segment whose first key is the last one at or
+    before it; there its chosen bits are compared with the segment's codes, and one key comparison
+    corrects the place.
+    """
+    ranked = globally_ranked(segmented.select("key", F.col("pid").alias("p"), "segment"), "key").drop("pid")
+    parts = ranked.groupBy("p", "segment").agg(F.min("key").alias("anchor"), F.min("rank").alias("part_id"))
+    located = reads.locate(probes.select("key").distinct(), parts.select("part_id", "anchor")).select(F.coalesce("part_id", F.lit(0)).cast("long").alias("base"), "key", F.lit(True).alias("asked"))
+    stored = ranked.join(parts, ["p", "segment"]).select(F.col("part_id").alias("base"), "key", F.lit(False).alias("asked"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, own, codes = None, [], None
+        for batch in batches:
+            out = []
+            for at, key, asked in zip(*(batch.column(c).to_pylist() for c in ("base", "key", "asked"))):
+                if at != base:
+                    base, own, codes = at, [], None
+                if not asked:
+                    own.append(key)
+                    continue
+                codes = codes or PartialKeys(own)
+                place = codes.correct(key)
+                out.append((key, base + place, place < len(own) and own[place] == key))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.bool_()))], names=["key", "n_below", "matched"])
+
+    rows = stored.union(located).repartition("base").sortWithinPartitions("base", "asked", "key")
+    return rows.mapInArrow(run, "key binary, n_below bigint, matched boolean")
+
+
 def tag_candidates(keys: DataFrame, view: DataFrame) -> DataFrame:
     """Pairs of a looked-up key and a stored one by hash tag first, then by the key itself."""
     a = keys.withColumn("tag", K.key_tag("key"))

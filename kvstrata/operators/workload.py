@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import generators, keys
-from . import reads
+from ..session import materialise
+from . import reads, views
 
 # Operation codes and the mixes of the six standard workloads, in per cent.
 OP_CODES = {"s": "set", "d": "del", "g": "get", "p": "probe", "n": "seeknext", "k": "seekskip"}
@@ -125,3 +126,28 @@ def apply_writes(ops: DataFrame, run: int, value_bytes: int) -> DataFrame:
     value = F.when(~gone, F.repeat(F.lit("v"), value_bytes).cast("binary"))
     written = ops.filter(F.col("op").isin("set", "update", "del"))
     return written.select("key", value.alias("value"), gone.alias("tombstone"), F.lit(run).alias("run"), F.col("op_id").alias("seq"))
+
+
+def without_merge(ops: DataFrame) -> DataFrame:
+    """For maps that can't merge: an update becomes a get of its key and then a set, numbered op_id and step."""
+    steps = F.when(F.col("op") == "update", F.array(F.lit("get"), F.lit("set"))).otherwise(F.array("op"))
+    return ops.select("*", F.posexplode(steps).alias("step", "__op")).withColumn("op", F.col("__op")).drop("__op")
+
+
+def run_passes(view: DataFrame, passes: list[DataFrame], merge: bool = True, value_bytes: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(pass, op, attempted, succeeded) of all passes one after the other, and the live view after them.
+
+    view: (key, value), both binary values as apply_writes makes them. A pass runs against what the passes before it
+    left; each pass's writes are materialised, so a long sequence doesn't grow one plan.
+    """
+    reports = []
+    rows = view.select("key", "value", F.lit(False).alias("tombstone"), F.lit(0).alias("run"), F.lit(0).cast("long").alias("seq"))
+    for i, ops in enumerate(passes):
+        ops = ops if merge else without_merge(ops).drop("step")
+        live = views.live(rows).select("key", "value")
+        reports.append(materialise(op_counts(execute(ops, live)).withColumn("pass", F.lit(i))))
+        rows = materialise(views.newest(rows.unionByName(apply_writes(ops, i + 1, value_bytes))))
+    report = reports[0]
+    for r in reports[1:]:
+        report = report.union(r)
+    return report.select("pass", "op", "attempted", "succeeded"), views.live(rows).select("key", "value")

@@ -356,6 +356,18 @@ def kv_bit_segments(spark, d):
     return found.withColumn("last", last).agg(F.sum("n_keys").alias("n_keys"), one(over).alias("n_overfull"), one(early).alias("n_closed_early"), one((F.col("n_keys") > 1) & (F.col("n_bits") == 0)).alias("n_alike"))
 
 
+@query(
+    "WITH u AS (SELECT DISTINCT url FROM pages), r AS (SELECT url, row_number() OVER (ORDER BY url) AS n FROM u), p AS (SELECT url AS key FROM u UNION SELECT url || 'x' FROM u UNION SELECT left(url, 9) FROM u) "
+    "SELECT key, coalesce(n, 0)::BIGINT AS n_below, EXISTS (SELECT 1 FROM u WHERE url = key) AS matched FROM p ASOF LEFT JOIN r ON p.key > r.url"
+)
+def kv_partial_key_search(spark, d):
+    """Page urls, urls with a letter more and their beginnings, looked up by the bits that tell urls apart."""
+    urls = table(spark, d, "pages").select(F.col("url").alias("key"))
+    probes = urls.union(urls.select(F.concat("key", F.lit("x")))).union(urls.select(F.substring("key", 1, 9)))
+    found = index.partial_key_search(index.bit_segments(urls), probes.select(F.col("key").cast("binary").alias("key")))
+    return found.select(F.col("key").cast("string").alias("key"), "n_below", "matched")
+
+
 @query("SELECT count(*) AS n_versions, count(DISTINCT l_orderkey) AS n_keys, 0::BIGINT AS n_overfull, 0::BIGINT AS n_closed_early, 0::BIGINT AS n_out_of_order FROM lineitem")
 def kv_slot_segments(spark, d):
     """Segments of whole keys: all versions, no segment over its slots, none closed where the next key's versions would fit."""
@@ -727,6 +739,24 @@ def kv_executed_ops(spark, d):
     return workload.op_counts(workload.execute(ops, _orders(spark, d)))
 
 
+@query(
+    "WITH c AS (SELECT c_custkey AS id FROM customer), k AS (SELECT o_orderkey AS key FROM orders), gone AS (SELECT id * 4 AS key FROM c), made AS (SELECT id * 11 AS key FROM c), "
+    "k1 AS (SELECT key FROM k WHERE key NOT IN (SELECT key FROM gone) UNION SELECT key FROM made WHERE key NOT IN (SELECT key FROM gone)), k2 AS (SELECT key FROM k1 UNION SELECT id * 8 FROM c) "
+    "SELECT 0 AS pass, 'del' AS op, count(*) AS attempted, count(*) AS succeeded FROM c UNION ALL SELECT 0, 'set', count(*), count(*) FROM c WHERE id * 11 NOT IN (SELECT key FROM gone) "
+    "UNION ALL SELECT 1, 'get', count(*), count(*) FILTER (id * 8 IN (SELECT key FROM k1)) FROM c UNION ALL SELECT 1, 'set', count(*), count(*) FROM c "
+    "UNION ALL SELECT 2, 'probe', count(*), count(*) FILTER (id IN (SELECT key FROM k2)) FROM c"
+)
+def kv_passes(spark, d):
+    """Three passes: deletes and sets; updates by get and set; probes. Each sees what those before it left."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("op_id"))
+    ops = lambda op, key: c.select("op_id", F.lit(op).alias("op"), key.alias("key"), F.lit(1).cast("long").alias("n"))
+    id_ = F.col("op_id")
+    gone = ops("del", id_ * 4)
+    first = gone.union(ops("set", id_ * 11).join(gone.select("key"), "key", "left_anti").select("op_id", "op", "key", "n"))
+    view = _orders(spark, d).select("key", F.col("value").cast("string").cast("binary").alias("value"))
+    return workload.run_passes(view, [first, ops("update", id_ * 8), ops("probe", id_)], merge=False)[0]
+
+
 _TRACE = "t AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS i, user_id AS page FROM events), p AS (SELECT *, coalesce(lag(i) OVER (PARTITION BY page ORDER BY i), 0) AS prev FROM t)"
 _CAPACITIES = [1, 2, 4, 8, 16, 32, 64, 100, 128]
 
