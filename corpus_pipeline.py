@@ -75,7 +75,7 @@ STAGES = [
     ("best_fit_packing", packing),
 ]
 
-#: Fingerprints, models and tokenizers have no SQL; tests hold each stage against brute force.
+#: Fingerprints, models and tokenizers have no SQL; a test works out all stages plainly on a small table.
 ORACLE_SQL = None
 
 
