@@ -226,14 +226,8 @@ def test_importance_edges(spark, edge, empty):
     assert importance.resample(edge, labels, k=0).filter("selected").count() == 0
 
 
-def test_importance_by_brute_force(spark):
-    """All columns from plainly counted features."""
-    rng = random.Random(14)
-    good, bad = ["the", "old", "house", "stood", "by"], ["win", "$$", "click", "now!", "free"]
-    texts = [" ".join(rng.choices(good if i % 3 else bad, k=rng.randint(0, 30))) for i in range(120)]
-    labels = spark.createDataFrame([(i, 1 if i % 3 else 0) for i in range(0, 120, 2)], "doc_id long, quality int")
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r for r in importance.resample(df, labels, temperature=0.5, k=50, seed=3).collect()}
+def _plain_keys(texts, sample, hashes, temperature):
+    """id -> n_features, log weight, mean and key, from plainly counted features; sample: id -> whether it trains."""
     whole = (1 << 64) - 1
 
     def mix(h):
@@ -245,20 +239,34 @@ def test_importance_by_brute_force(spark):
         pairs = [mix((a * 0x9E3779B97F4A7C15 + b) & whole) for a, b in zip(words, words[1:])]
         return [h >> 50 for h in [*map(mix, words), *pairs]]
 
+    found = {i: buckets(t) for i, t in texts.items()}
+    raw = Counter(b for f in found.values() for b in f)
+    target = Counter(b for i, f in found.items() if sample.get(i) for b in f)
+    size, out = 1 << 14, {}
+    ratio = lambda b: np.log((target[b] + 1) / (target.total() + size)) - np.log((raw[b] + 1) / (raw.total() + size))
+    for i, f in found.items():
+        weight = sum(map(ratio, f))
+        noise = -np.log(-np.log((((hashes[i] & whole) >> 11) + 0.5) / 2.0**53))
+        mean = weight / max(len(f), 1)
+        out[i] = len(f), weight, mean, mean / temperature + noise
+    return out
+
+
+def test_importance_by_brute_force(spark):
+    """All columns from plainly counted features."""
+    rng = random.Random(14)
+    good, bad = ["the", "old", "house", "stood", "by"], ["win", "$$", "click", "now!", "free"]
+    texts = [" ".join(rng.choices(good if i % 3 else bad, k=rng.randint(0, 30))) for i in range(120)]
+    labels = spark.createDataFrame([(i, 1 if i % 3 else 0) for i in range(0, 120, 2)], "doc_id long, quality int")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in importance.resample(df, labels, temperature=0.5, k=50, seed=3).collect()}
     sample = {r["label_id"]: r["train"] for r in importance._labelled(labels, 1000, "doc_id").collect()}
     assert set(sample) == {i for i in range(0, 120, 2) if i % 3} and 10 < sum(sample.values()) < 30
-    raw = Counter(b for t in texts for b in buckets(t))
-    target = Counter(b for i, t in enumerate(texts) if sample.get(i) for b in buckets(t))
-    size = 1 << 14
-    ratio = lambda b: np.log((target[b] + 1) / (target.total() + size)) - np.log((raw[b] + 1) / (raw.total() + size))
-    keys = {}
-    for i, t in enumerate(texts):
-        found = buckets(t)
-        weight = sum(map(ratio, found))
-        noise = -np.log(-np.log((((got[i]["h"] & whole) >> 11) + 0.5) / 2.0**53))
-        keys[i] = weight / max(len(found), 1) / 0.5 + noise
-        assert got[i]["n_features"] == len(found)
-        assert np.allclose([got[i]["log_weight"], got[i]["gumbel_key"]], [weight, keys[i]])
+    plain = _plain_keys(dict(enumerate(texts)), sample, {i: r["h"] for i, r in got.items()}, 0.5)
+    keys = {i: p[3] for i, p in plain.items()}
+    for i, (n, weight, _, key) in plain.items():
+        assert got[i]["n_features"] == n
+        assert np.allclose([got[i]["log_weight"], got[i]["gumbel_key"]], [weight, key])
     least = sorted(keys.values())[-50]
     assert [i for i in keys if got[i]["selected"]] == [i for i in keys if keys[i] >= least - 1e-9]
     assert {r["doc_id"] for r in importance.selected_rows(df, labels, temperature=0.5, k=50, seed=3).collect()} == {i for i in keys if got[i]["selected"]}
@@ -568,6 +576,30 @@ def test_removal_by_brute_force(spark, window, bits):
     assert kept.columns == df.columns and kept.count() == len(rows)
 
 
+def test_frequent_minimizers_are_dealt_out_by_windows(spark, monkeypatch):
+    """A passage of 20 words with many surroundings, some of which repeat: same result, and its windows are in many shards."""
+    rng = random.Random(19)
+    passage = " ".join(f"p{i}" for i in range(20))
+    around = [" ".join(rng.choices("abcdefghij", k=15)) for _ in range(60)]
+    rows = [(i, f"{around[i % 60]} {passage} {around[(i * 7) % 45]}") for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    plain = {r["doc_id"]: r["kept_text"] for r in substring_dedup.deduplicate(df).collect()}
+    monkeypatch.setattr(substring_dedup, "FREQUENT_PLACES", 2)
+    docs = df.select("text", *substring_dedup._key_columns("doc_id", "text"))
+    bitmaps, frequent = substring_dedup.sketch(docs, 35, 20)
+    assert len(frequent) > 0 and {r["doc_id"]: r["kept_text"] for r in substring_dedup.deduplicate(df).collect()} == plain
+    seen = Counter(tuple(w[i : i + 35]) for w in (t.split() for _, t in rows) for i in range(len(w) - 34))
+    for i, t in rows:
+        w = t.split()
+        gone = {p for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for p in range(k, k + 35)}
+        assert plain[i] == " ".join(x for p, x in enumerate(w) if p not in gone)
+
+
+def test_the_sketch_grows_with_the_corpus(spark):
+    size = lambda n: substring_dedup.cell_bits_for(spark.range(n).select(F.repeat(F.lit("x"), 1_000_000).alias("text")))
+    assert size(0) == size(1) == substring_dedup.SHARD_BITS and size(400) == 24
+
+
 def test_removal_edges(edge, empty):
     got = {r["doc_id"]: r for r in substring_dedup.deduplicate(edge, cell_bits=12).collect()}
     assert got[5]["n_removed"] == 30_000 and got[5]["kept_text"] == "" and got[1]["n_words"] == 0
@@ -692,6 +724,73 @@ def test_stages_act(spark):
         assert stage(spark, none, SF).count() == 0
 
 
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """run() against every stage worked out plainly, one after the other."""
+    import corpus_pipeline
+    import tokenizers
+
+    rng = random.Random(20)
+    good = ["".join(rng.choices("etaoinsrhl", k=rng.randint(2, 7))) for _ in range(700)]
+    bad = ["win", "$$", "click", "now!", "free", "@@", "cash"]
+    prose = lambda n: " ".join(rng.choices(good, k=n))
+    rows = {i: prose(rng.randint(60, 150)) for i in range(60)}
+    passage = prose(45)
+    for i in range(60, 75):  # near copies, some below the similarity
+        w = rows[i - 60].split()
+        for _ in range(1 + i % 4):
+            w[rng.randrange(len(w))] = "changed"
+        rows[i] = " ".join(w)
+    rows |= {80: rows[20], 81: rows[20], 82: f"{prose(60)} {passage} {prose(30)}", 83: f"{passage} {prose(70)}", 84: f"{prose(50)} write me@x.org now {prose(40)}", 85: prose(3000)}
+    rows |= {i: " ".join(rng.choices(bad, k=rng.randint(20, 80))) for i in range(100, 130)}
+    labels = {i: 1 for i in range(0, 60)} | {i: 0 for i in range(100, 115)}
+    sf = str(tmp_path)
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows.items()], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(i, q, 0) for i, q in labels.items()], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    got = [r.asDict() for r in corpus_pipeline.run(spark, sf).collect()]
+
+    # 1 quality
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    hashes = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64(F.lit(42), "doc_id", "text").alias("h")).collect()}
+    sample = {r["label_id"]: r["train"] for r in importance._labelled(spark.read.parquet(f"{sf}/labels.parquet"), 1000, "doc_id").collect()}
+    plain = _plain_keys(rows, sample, hashes, 0.02)
+    floor = np.quantile([plain[i][2] for i, train in sample.items() if not train], 0.001)
+    least = sorted((p[3] for p in plain.values()), reverse=True)[sum(p[2] >= floor for p in plain.values()) - 1]
+    rows = {i: t for i, t in rows.items() if plain[i][3] >= least - 1e-9}
+    assert 70 < len(rows) < 85 and max(rows) < 100
+    # 2 near copies
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows.items())}
+    root = {i: i for i in rows}
+    for i in rows:
+        for j in rows:
+            if j < i and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+    rows = {i: t for i, t in rows.items() if root[i] == i}
+    assert 55 < len(rows) < 75
+    # 3 repeated passages
+    seen = Counter(tuple(w[k : k + 35]) for w in map(str.split, rows.values()) for k in range(len(w) - 34))
+    for i, t in rows.items():
+        w = t.split()
+        gone = {p for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for p in range(k, k + 35)}
+        rows[i] = " ".join(x for p, x in enumerate(w) if p not in gone) if gone else t
+    # 4 personal data, 5 packing
+    tokenizer = tokenizers.Tokenizer.from_file(BPE)
+    want = {}
+    for i, t in rows.items():
+        ids = [*tokenizer.encode(t.replace("me@x.org", "[EMAIL]"), add_special_tokens=False).ids, 0]
+        for piece, start in enumerate(range(0, len(ids), 2048)):
+            part = ids[start : start + 2048]
+            want[i, piece] = (start, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in got} == want
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 2048
+    assert len(by) == -(-sum(n for _, n, _ in want.values()) // 2048)
+
+
 @pytest.mark.parametrize("size, members", [(20_000, 128), (20_000, 8), (30, 16)])
 def test_stage_joins_all_near_copies(spark, monkeypatch, size, members):
     """The pipeline's stage against all pairs by brute force, with copies of 0.7 to 1."""
