@@ -7,11 +7,14 @@ none), the distinct pages between p = prev(i) and i number #{j < i: prev(j) <= p
 That count is split so that no task holds more than `chunk` accesses or a table of chunks:
 places in the chunk of i are counted there; earlier chunks contribute by the chunk of their prev: whole
 chunks from a table of counts, and the chunk of p itself exactly. Since every place is the prev of one
-access at most, that group has at most `chunk` accesses as well.
+access at most, that group has at most `chunk` accesses as well. The table of counts, by chunk and chunk of
+the prev, is added up the same way one level up, in blocks of about the square root of the chunks.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -20,17 +23,20 @@ from pyspark.sql import functions as F
 from ..session import globally_ranked, materialise
 
 CHUNK = 1 << 18
+#: Chunks whose pairs one task adds up at once.
+FEW_CHUNKS = 256
 
 
-def dominated(x: np.ndarray, y: np.ndarray, qx: np.ndarray, qy: np.ndarray) -> np.ndarray:
-    """For each query the number of points with x < qx and y <= qy, by a merge over x in O(n log n)."""
+def dominated(x: np.ndarray, y: np.ndarray, qx: np.ndarray, qy: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """For each query the number (or weight) of points with x < qx and y <= qy, by a merge over x in O(n log n)."""
+    weights = np.concatenate([np.ones(len(y), np.int64) if weight is None else weight, np.zeros(len(qy), np.int64)])
     values = np.concatenate([y, qy])
     kind = np.concatenate([np.zeros(len(y), np.int8), np.ones(len(qy), np.int8)])
     # By x, queries before points of the same x; then by rank of (y, points first).
     order = np.lexsort((1 - kind, np.concatenate([x, qx])))
     rank = np.empty(len(values), np.int64)
     rank[np.lexsort((kind, values))] = np.arange(len(values))
-    rank, is_point = rank[order], kind[order] == 0
+    rank, is_point, weights = rank[order], kind[order] == 0, weights[order]
     out = np.zeros(len(values), np.int64)
     n, width = len(rank), 1
     place = np.arange(n)
@@ -39,7 +45,7 @@ def dominated(x: np.ndarray, y: np.ndarray, qx: np.ndarray, qy: np.ndarray) -> n
         block = place // (2 * width)
         by = np.lexsort((rank, block))
         left = (by // width) % 2 == 0
-        seen = np.cumsum(left & is_point[by])
+        seen = np.cumsum(np.where(left, weights[by], 0))
         start = np.searchsorted(block[by], block[by])
         base = np.where(start > 0, seen[np.maximum(start - 1, 0)], 0)
         right_query = ~left & ~is_point[by]
@@ -78,15 +84,39 @@ def reuse_distances(trace: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     own = rows.groupBy("c").applyInPandas(inside, "place long, a long")
     same = rows.filter("prev > 0").groupBy("pc").applyInPandas(beside, "place long, b long")
-    # Whole chunks: accesses in chunks before c whose prev lies in chunks before pc. One row per pair of chunks in use.
-    table = rows.groupBy("c", "pc").agg(F.count("*").alias("n"))
-    asked = table.filter("pc >= 0").select(F.col("c").alias("qc"), F.col("pc").alias("qpc"))
-    before = asked.join(table, (F.col("c") < F.col("qc")) & (F.col("pc") < F.col("qpc"))).groupBy(F.col("qc").alias("c"), F.col("qpc").alias("pc")).agg(F.sum("n").alias("t"))
+    before = earlier_chunks(rows.groupBy("c", "pc").agg(F.count("*").alias("n")))
     again = rows.filter("prev > 0").join(own, "place").join(same, "place").join(before, ["c", "pc"], "left")
     far = again.select("place", "page", "prev", (F.col("a") + F.col("b") + F.coalesce("t", F.lit(0)) - F.col("prev")).alias("distance"))
     return far.union(rows.filter("prev = 0").select("place", "page", "prev", F.lit(None).cast("long")))
 
 
+def earlier_chunks(table: DataFrame) -> DataFrame:
+    """(c, pc, t) for rows with pc >= 0: the sum of n over the rows with a smaller c and a smaller pc.
+
+    table: (c, pc, n), a row for each pair of chunks in use. Rows are counted inside their block of c, inside their
+    block of pc, and by a table of whole blocks, which has about as many rows as there are chunks.
+    """
+    most = table.agg(F.max("c")).first()[0] or 0
+    def counted(x: str, y: str, out: str):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            q = pdf[pdf["pc"] >= 0] if "pc" in pdf else pdf[pdf["bp"] >= 0]
+            sums = dominated(*(pdf[c].to_numpy() for c in (x, y)), q[x].to_numpy(), q[y].to_numpy() - 1, pdf["n"].to_numpy())
+            return q[["c", "pc"] if "pc" in pdf else ["bc", "bp"]].assign(**{out: sums})
+
+        return run
+
+    if most < FEW_CHUNKS:  # FEW_CHUNKS ** 2 rows at most
+        return table.groupBy().applyInPandas(counted("c", "pc", "t"), "c long, pc long, t long")
+    width = math.isqrt(most + 1)
+    block = lambda c: F.floor(F.col(c) / width)
+    rows = materialise(table.withColumn("bc", block("c")).withColumn("bp", block("pc")))
+    own = rows.groupBy("bc").applyInPandas(counted("c", "pc", "a"), "c long, pc long, a long")
+    beside = rows.groupBy("bp").applyInPandas(counted("bc", "pc", "b"), "c long, pc long, b long")
+    whole = rows.groupBy("bc", "bp").agg(F.sum("n").alias("n")).groupBy().applyInPandas(counted("bc", "bp", "w"), "bc long, bp long, w long")
+    sums = rows.filter("pc >= 0").join(own, ["c", "pc"]).join(beside, ["c", "pc"]).join(whole, ["bc", "bp"])
+    return sums.select("c", "pc", (F.col("a") + F.col("b") + F.col("w")).alias("t"))
+
+
 def histogram(distances: DataFrame) -> DataFrame:
     return distances.groupBy("distance").agg(F.count("*").alias("n"))
 

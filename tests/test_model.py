@@ -188,8 +188,9 @@ def _lru_misses(pages, cap):
     return misses
 
 
-@pytest.mark.parametrize("chunk", [7, 64, 1 << 18])
-def test_lru_sweep(spark, chunk):
+@pytest.mark.parametrize(("chunk", "few"), [(1 << 18, 256), (16, 256), (16, 0), (5, 0)])
+def test_lru_sweep(spark, monkeypatch, chunk, few):
+    monkeypatch.setattr(lru, "FEW_CHUNKS", few)
     rng = random.Random(chunk)
     pages = [int(rng.paretovariate(0.6)) % 90 for _ in range(700)]
     trace = spark.createDataFrame(list(enumerate(pages)), "seq long, page long")
