@@ -5,12 +5,16 @@ minimizer); equal windows at two places have it at two places, so counting the p
 minimizers sit overestimates how often any window occurs. Each partition counts its minimizer places in a
 count-min sketch of ROWS rows; sketches are merged cell by cell in parallel (only cells in use
 travel, and a task sends a cell once however often it met it), and what later passes need of the
-sum is one bit a cell: 2 or more. The number of cells is fixed, so those bits, which are
-broadcast, have a fixed size (ROWS * 2**CELL_BITS / 8 bytes) whatever the corpus. A fuller sketch
-lets more windows through to pass 2; it never loses one.
-
-Pass 2 groups exactly. Windows whose minimizer is estimated repeated are hashed to 128 bits and
-sent to the shard of their minimizer. A window met twice among the hashes that a task holds is known to be repeated: it is
+sum is one bit a cell: 2 or more. The cells are sized to the corpus, two for each expected place up to
+2**MOST_CELL_BITS, so the broadcast bits have a fixed bound (ROWS * 2**MOST_CELL_BITS / 8 bytes). A fuller
+sketch lets more windows through to pass 2; it never loses one.
+
+Pass 2 groups exactly. Windows whose minimizer is estimated repeated are sent to the shard of their
+minimizer: a run of neighbours under one minimizer is the minimizer's 64-bit hash, an address, and
+64 bits of an independent hash for each window, about 10 bytes a window; equal windows agree on both. Windows
+of a minimizer that is frequent (FREQUENT_SHARE of what some task held) are dealt out by their own hash
+instead, so a short passage with many surroundings doesn't fill a shard. A window met twice among the
+hashes that a task holds is known to be repeated: it is
 marked at once and sent a single time, without a return address, so a passage that fills a third
 of the corpus costs a shard one entry for each of those. Shards answer the addresses of repeated windows.
 
@@ -20,6 +24,7 @@ Pass 3 deals the texts to buckets, where their marks wait, and removes the cover
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +38,12 @@ from . import common as C
 WINDOW = 35
 GRAM = 18
 ROWS = 2
-#: Cells of a row of the sketch: 2**27 cells are 16 MB of bits.
-CELL_BITS = 27
+#: Cells of a row of the sketch at most: 2**29 cells are 64 MB of bits.
+MOST_CELL_BITS = 29
+#: Characters of text for each place where a minimizer sits, about.
+CHARS_PER_PLACE = 55
+#: A minimizer is frequent that makes up this share of the places that a task holds, and so many of them.
+FREQUENT_SHARE, FREQUENT_PLACES = 1e-3, 200
 #: Cells whose counts one task merges at once.
 SHARD_BITS = 20
 #: Window hashes that a task holds before it sends them.
@@ -99,24 +108,38 @@ def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
     return ((h ^ (h >> _U(32))) * _U(odd)) >> _U(64 - bits)
 
 
-def sketch(docs: DataFrame, window: int, bits: int) -> list[np.ndarray]:
-    """For each row of the merged sketch, its cells that count 2 or more, as packed bits."""
+def cell_bits_for(docs: DataFrame) -> int:
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return min(MOST_CELL_BITS, max(SHARD_BITS, math.ceil(math.log2(2 * chars / CHARS_PER_PLACE + 1))))
+
+
+def _frequent(places: np.ndarray, least: int, share: float) -> np.ndarray:
+    found, n = np.unique(places, return_counts=True)
+    return found[n >= max(least, share * len(places))]
+
+
+def sketch(docs: DataFrame, window: int, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each row of the merged sketch, its cells that count 2 or more, as packed bits; the frequent minimizers, sorted."""
     shard_bits = min(SHARD_BITS, bits)
     shards = 1 << (bits - shard_bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Collect the partition's cells; each leaves with 1 or, if met again, 2.
-        held: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
-        size = 0
+        held: list[np.ndarray] = []
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            places = np.concatenate(held) if held else np.zeros(0, _U)
+            yield from _send([_cells(places, row, bits).astype(np.uint32) for row in range(ROWS)], shards, shard_bits)
+            many = _frequent(places, FREQUENT_PLACES, FREQUENT_SHARE)
+            if len(many):
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([many.tobytes()], pa.binary())], names=["shard", "cells"])
+
         for batch in C.slices(batches):
-            places = Windows(batch.column("text"), window).minimizers()[1]
-            for row in range(ROWS):
-                held[row].append(_cells(places, row, bits).astype(np.uint32))
-            size += len(places)
-            if size > 4_000_000:
-                yield from _send(held, shards, shard_bits)
-                held, size = [[] for _ in range(ROWS)], 0
-        yield from _send(held, shards, shard_bits)
+            held.append(Windows(batch.column("text"), window).minimizers()[1])
+            if sum(map(len, held)) > 4_000_000:
+                yield from sent()
+                held = []
+        yield from sent()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, counts = None, np.zeros(1 << shard_bits, np.uint8)
@@ -126,6 +149,9 @@ def sketch(docs: DataFrame, window: int, bits: int) -> list[np.ndarray]:
 
         for batch in batches:
             for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("cells").to_pylist()):
+                if shard < 0:  # frequent minimizers go through
+                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([blob], pa.binary())], names=["shard", "cells"])
+                    continue
                 if shard != at:
                     if at is not None:
                         yield done()
@@ -142,17 +168,19 @@ def sketch(docs: DataFrame, window: int, bits: int) -> list[np.ndarray]:
     merged = sent.repartition(min(C.parts(docs.sparkSession), ROWS * shards), "shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, cells binary")
     out = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(ROWS)]
     width = (1 << shard_bits) // 8
-    for r in merged.collect():  # ROWS * 2**bits / 8 bytes in all
+    frequent = [np.zeros(0, _U)]
+    for r in merged.collect():  # ROWS * 2**bits / 8 bytes, and 1 / FREQUENT_SHARE minimizers a task at most
+        if r["shard"] < 0:
+            frequent.append(np.frombuffer(r["cells"], _U))
+            continue
         row, shard = divmod(r["shard"], shards)
         out[row][shard * width : (shard + 1) * width] = np.frombuffer(r["cells"], np.uint8)
-    return out
+    return out, np.unique(np.concatenate(frequent))
 
 
-def _send(held: list[list[np.ndarray]], shards: int, shard_bits: int) -> Iterator[pa.RecordBatch]:
-    for row, parts in enumerate(held):
-        if not parts:
-            continue
-        cells = np.sort(np.concatenate(parts))
+def _send(held: list[np.ndarray], shards: int, shard_bits: int) -> Iterator[pa.RecordBatch]:
+    for row, cells in enumerate(held):
+        cells = np.sort(cells)
         if not len(cells):
             continue
         first = np.concatenate([[True], cells[1:] != cells[:-1]])
@@ -172,9 +200,11 @@ def estimated_repeated(h: np.ndarray, bitmaps: list[np.ndarray], bits: int) -> n
     return out
 
 
-#: A window hash of 128 bits, its document's place in a list of keys, its start, and where it is sent.
+#: The hashes of a window's minimizer and of itself, its document's place in a list of keys, its start, and where it is sent.
 _ENTRY = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i4"), ("at", "<i4"), ("shard", "<i4")])
 _SENT = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i4"), ("at", "<i4")])
+#: As sent: neighbours under one minimizer; their own hashes stand beside. at is -1 where no answer is wanted.
+_RUN = np.dtype([("a", "<u8"), ("doc", "<i4"), ("at", "<i4"), ("n", "<i4")])
 #: Starts first..last of windows to remove from the document with this key.
 _MARK = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("first", "<i4"), ("last", "<i4")])
 
@@ -216,9 +246,9 @@ def _packed(rows: np.ndarray, to: np.ndarray) -> tuple[list[int], list[bytes]]:
     return to[edges[:-1]].tolist(), [rows[a:b].tobytes() for a, b in zip(edges, edges[1:])]
 
 
-def _batch(to: list[int], blobs: list[bytes], keys: list[bytes] | None = None, mark: bool = False) -> pa.RecordBatch:
+def _batch(to: list[int], blobs: list[bytes], keys: list[bytes] | None = None, hashes: list[bytes] | None = None, mark: bool = False) -> pa.RecordBatch:
     n = len(to)
-    return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([mark] * n), pa.array(keys or [None] * n, pa.binary()), pa.array(blobs, pa.binary())], names=["to", "mark", "keys", "entries"])
+    return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([mark] * n), pa.array(keys or [None] * n, pa.binary()), pa.array(blobs, pa.binary()), pa.array(hashes or [None] * n, pa.binary())], names=["to", "mark", "keys", "entries", "hashes"])
 
 
 def _sent(held: list, shards: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -230,18 +260,35 @@ def _sent(held: list, shards: int, buckets: int) -> Iterator[pa.RecordBatch]:
     if not alone.all():
         yield _batch(*_mark_rows(entry[~alone], keys, buckets), mark=True)
     send = entry[first]
-    send["at"][~alone[first]] = -1  # known already: it counts, but wants no answer
-    send = send[np.argsort(send["shard"], kind="stable")]
-    edges = np.flatnonzero(np.diff(send["shard"], prepend=-1, append=-1)).tolist()
-    blobs, owners = [], []
-    for a, b in zip(edges, edges[1:]):
-        part = np.empty(b - a, _SENT)
-        for name in ("a", "b", "at"):
-            part[name] = send[name][a:b]
-        used, part["doc"] = np.unique(send["doc"][a:b], return_inverse=True)
+    known = ~alone[first]  # known already: it counts, but wants no answer
+    send["doc"][known], send["at"][known] = 0, -1
+    send = send[np.lexsort((send["at"], send["doc"], send["a"], send["shard"]))]
+    shard, minimizer, doc, at = (send[c] for c in ("shard", "a", "doc", "at"))
+    new = np.ones(len(send), bool)
+    new[1:] = (shard[1:] != shard[:-1]) | (minimizer[1:] != minimizer[:-1]) | (doc[1:] != doc[:-1]) | ((at[1:] != at[:-1] + 1) & ((at[1:] >= 0) | (at[:-1] >= 0))) | ((at[1:] >= 0) != (at[:-1] >= 0))
+    begin = np.flatnonzero(new)
+    size = np.diff(begin, append=len(send))
+    # Runs and hashes of a shard lie together; documents are renumbered within it.
+    edges = np.flatnonzero(np.diff(shard[begin], prepend=-1, append=-1)).tolist()
+    hashes, ends = np.ascontiguousarray(send["b"]), [*begin.tolist(), len(send)]
+    blobs, owners, own = [], [], []
+    for x, y in zip(edges, edges[1:]):
+        part = np.empty(y - x, _RUN)
+        part["a"], part["at"], part["n"] = minimizer[begin[x:y]], at[begin[x:y]], size[x:y]
+        used, part["doc"] = np.unique(doc[begin[x:y]], return_inverse=True)
         owners.append(keys[used].tobytes())
         blobs.append(part.tobytes())
-    yield _batch(send["shard"][edges[:-1]].tolist(), blobs, owners)
+        own.append(hashes[ends[x] : ends[y]].tobytes())
+    yield _batch(shard[begin[edges[:-1]]].tolist(), blobs, owners, own)
+
+
+def _expanded(runs: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    out = np.empty(len(hashes), _SENT)
+    out["b"] = hashes
+    for c in ("a", "doc", "at"):
+        out[c] = np.repeat(runs[c], runs["n"])
+    out["at"] = np.where(out["at"] < 0, -1, out["at"] + C.ranks_within(runs["n"].astype(np.int64)))
+    return out
 
 
 def _matched(held: list, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -255,15 +302,14 @@ def _matched(held: list, buckets: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(blobs, pa.binary())], names=["__bucket", "__marks"])
 
 
-def marks(docs: DataFrame, window: int, bitmaps, bits: int, shards: int, buckets: int) -> DataFrame:
+def marks(docs: DataFrame, window: int, sketched, bits: int, shards: int, buckets: int) -> DataFrame:
     """(__bucket, __marks): the marks of all documents of a bucket, packed, in any number of rows.
 
-    docs: text and the key columns. A window goes to the shard of its minimizer, so neighbours
-    mostly go together.
+    docs: text and the key columns; sketched: what sketch() found, broadcast.
     """
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = bitmaps.value
+        maps, frequent = sketched.value
         held, size = [], 0
         for batch in C.slices(batches):
             w = Windows(batch.column("text"), window)
@@ -273,8 +319,9 @@ def marks(docs: DataFrame, window: int, bitmaps, bits: int, shards: int, buckets
             if not len(starts):
                 continue
             entry = np.empty(len(starts), _ENTRY)
-            entry["a"], entry["b"] = (w.rolled(i, window)[starts] for i in (0, 1))
-            entry["shard"] = (least[likely] >> _U(20)) % _U(shards)
+            entry["a"], entry["b"] = least[likely], w.rolled(1, window)[starts]
+            by = np.where(np.isin(entry["a"], frequent), entry["b"], entry["a"])
+            entry["shard"] = (by >> _U(20)) % _U(shards)
             doc = np.searchsorted(w.at, starts, "right") - 1
             entry["at"] = starts - w.at[doc]
             used, entry["doc"] = np.unique(doc, return_inverse=True)
@@ -292,16 +339,16 @@ def marks(docs: DataFrame, window: int, bitmaps, bits: int, shards: int, buckets
             known = batch.filter(batch.column("mark"))
             if known.num_rows:
                 yield pa.RecordBatch.from_arrays([known.column("to"), known.column("entries")], names=["__bucket", "__marks"])
-            for shard, keys, blob in zip(*(batch.column(c).to_pylist() for c in ("to", "keys", "entries"))):
+            for shard, keys, blob, hashes in zip(*(batch.column(c).to_pylist() for c in ("to", "keys", "entries", "hashes"))):
                 if keys is None:
                     continue
                 if shard != at:
                     yield from _matched(held, buckets)
                     at, held = shard, []
-                held.append((np.frombuffer(blob, _SENT), np.frombuffer(keys, np.int64).reshape(-1, 2)))
+                held.append((_expanded(np.frombuffer(blob, _RUN), np.frombuffer(hashes, _U)), np.frombuffer(keys, np.int64).reshape(-1, 2)))
         yield from _matched(held, buckets)
 
-    sent = docs.select("text", "__k1", "__k2").mapInArrow(look, "to int, mark boolean, keys binary, entries binary")
+    sent = docs.select("text", "__k1", "__k2").mapInArrow(look, "to int, mark boolean, keys binary, entries binary, hashes binary")
     dealt = sent.repartition(C.parts(docs.sparkSession), "mark", "to").sortWithinPartitions("mark", "to")
     return dealt.mapInArrow(match, "__bucket int, __marks binary")
 
@@ -337,7 +384,7 @@ class _Marks:
         return None if found is None else self.table[found[0] : found[1]]
 
 
-def marked_rows(df: DataFrame, id_col: str, text_col: str, window: int, bits: int) -> DataFrame:
+def marked_rows(df: DataFrame, id_col: str, text_col: str, window: int, cell_bits: int | None) -> DataFrame:
     """The rows with __k1, __k2, __bucket and __marks, each bucket's marks before its rows.
 
     Rows of marks have __marks and nothing else; a bucket's rows share a partition.
@@ -346,8 +393,8 @@ def marked_rows(df: DataFrame, id_col: str, text_col: str, window: int, bits: in
     n = C.parts(spark)
     rows = df.select("*", *_key_columns(id_col, text_col))
     docs = rows.select(F.coalesce(C.col(text_col), F.lit("")).alias("text"), "__k1", "__k2")
-    bitmaps = spark.sparkContext.broadcast(sketch(docs, window, bits))
-    found = marks(docs, window, bitmaps, bits, n * SHARDS_PER_PARTITION, n * BUCKETS_PER_PARTITION)
+    bits = cell_bits_for(docs) if cell_bits is None else cell_bits
+    found = marks(docs, window, spark.sparkContext.broadcast(sketch(docs, window, bits)), bits, n * SHARDS_PER_PARTITION, n * BUCKETS_PER_PARTITION)
     rows = rows.withColumn("__bucket", F.pmod("__k1", F.lit(n * BUCKETS_PER_PARTITION)).cast("int")).withColumn("__marks", F.lit(None).cast("binary"))
     both = rows.unionByName(found, allowMissingColumns=True)
     return both.repartition(n, "__bucket").sortWithinPartitions("__bucket", F.col("__marks").isNull())
@@ -369,7 +416,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, li
             yield batch.take(pa.array(mine)), found
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, cell_bits: int = CELL_BITS) -> DataFrame:
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, cell_bits: int | None = None) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 and kept_text (kept words joined by a space).
 
     A word goes if a window over it occurs at any other place of the input, its own text included.
@@ -388,7 +435,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     return rows.mapInArrow(run, f"doc_id {C.id_type(df, id_col)}, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
 
 
-def deduplicated_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, cell_bits: int = CELL_BITS) -> DataFrame:
+def deduplicated_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, cell_bits: int | None = None) -> DataFrame:
     """The same rows and columns; texts that lose words become their kept words joined by a space."""
     where, n = df.columns.index(text_col), len(df.columns)
     rows = marked_rows(df, id_col, text_col, window, cell_bits)
