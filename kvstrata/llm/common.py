@@ -52,6 +52,22 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def even_labels(spark: SparkSession, n: int) -> list[int]:
+    """Numbers of which the i-th is dealt to partition i by repartition(n, column of them): hashing alone fills some partitions twice."""
+    found: dict[int, int] = {}
+    size = 16 * n
+    while len(found) < n:
+        rows = spark.range(size).select(F.col("id").cast("int").alias("label")).groupBy(F.pmod(F.hash("label"), F.lit(n)).alias("p")).agg(F.min("label").alias("label"))
+        found = {r["p"]: r["label"] for r in rows.collect()}
+        size *= 4
+    return [found[i] for i in range(n)]
+
+
+def dealt_evenly(spark: SparkSession, number, n: int):
+    """A column by which repartition(n, it) puts number modulo n into partition number modulo n."""
+    return F.element_at(F.array(*map(F.lit, even_labels(spark, n))), F.pmod(number, F.lit(n)).cast("int") + 1)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise to reliable shared storage and cut lineage."""
     sc = df.sparkSession.sparkContext

@@ -5,6 +5,9 @@ of phrases is hashed and kept as a one-permutation minimum-hash signature: the h
 into BINS parts, and each part keeps 16 bits drawn from its smallest hash. The share of equal
 parts among those filled in either signature estimates the Jaccard likeness of the phrase sets.
 
+Phrases are looked up as strings: no phrase is longer than about the square root of twice the text, so a
+text of n equal characters takes n ** 1.5 byte steps at worst, and prose a few for each character.
+
 Each document is compared with its neighbour in id order, so rows are dealt into id ranges of
 about equal size and sorted there; only the first document of a range is also sent to the range
 before it. One shuffle of the texts in all.
@@ -119,6 +122,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield *row, batch.column("text")[i].as_py()
 
 
+_INTEGERS = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}
 NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
@@ -126,9 +130,12 @@ def lz_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per document: its fingerprint, that of its edited text, and how alike they and the next one's are.
 
     The edited text has its last quarter replaced by the start of the next document in id order
-    (after the last one: the first). Ids must be integers.
+    (after the last one: the first). Ids must be integers: TypeError otherwise.
     """
     spark = df.sparkSession
+    kind = C.id_type(df, id_col)
+    if kind not in _INTEGERS:
+        raise TypeError(f"ids must be integers, not {kind}")
     rows = C.id_text(df, id_col, text_col)
     n = C.parts(spark)
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
@@ -162,7 +169,7 @@ def lz_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.when(order == F.element_at(firsts, F.col("b") + 1), F.struct(F.element_at(ahead_of, F.col("b") + 1).alias("bucket"), F.lit(True).alias("ahead"))),
     )
     sent = sent.select("doc_id", "text", F.explode(F.filter(to, lambda x: x.isNotNull())).alias("t")).select("t.bucket", "t.ahead", "doc_id", "text")
-    dealt = sent.repartition(n, "bucket").sortWithinPartitions("bucket", "ahead", order, "text")
+    dealt = sent.repartition(n, C.dealt_evenly(spark, F.col("bucket"), n)).sortWithinPartitions("bucket", "ahead", order, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -182,11 +189,8 @@ def lz_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if out:
             yield _batch(out)
 
-    kind = C.id_type(df, id_col)
-    as_arrow = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}[kind]
-
     def _batch(out: list[tuple]) -> pa.RecordBatch:
-        types = [as_arrow, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        types = [_INTEGERS[kind], pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names=NAMES)
 
     return dealt.mapInArrow(run, f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
