@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import generators, keys, statistics
 from ..operators import bloom, compaction, index, lru, reads, views, workload, writes
 from ..schema import MAX_RUNS
-from ..session import globally_ranked, shared_dir
+from ..session import globally_ranked, materialise, shared_dir
 from ..sources.store import KvStore, MutationLog
 from . import reports
 
@@ -55,8 +55,8 @@ def _runs(spark, d) -> DataFrame:
 
 
 def _streams(spark, d) -> list[DataFrame]:
-    """The runs as frames of their own, oldest first; there are at most MAX_RUNS."""
-    rows = _runs(spark, d)
+    """The runs as frames of their own, oldest first; there are at most MAX_RUNS. They are numbered once."""
+    rows = materialise(_runs(spark, d))
     return [rows.filter(F.col("run") == i).drop("run") for i in range(MAX_RUNS + 1)]
 
 
