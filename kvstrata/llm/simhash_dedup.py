@@ -348,9 +348,12 @@ def _named(docs: DataFrame, edges: DataFrame) -> DataFrame:
     """
     distinct = C.cut(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = C.cut(components(edges).withColumnRenamed("node", "fp"))
-    by_fp = distinct.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    by_root = by_fp.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = C.cut(by_fp.join(by_root, "root").select("fp", "component_id", (F.col("n") > HOT_ROWS).alias("hot")))
+    # Only fingerprints with links have to look for their component's least id; a component is one row there.
+    linked = C.cut(distinct.join(roots, "fp"))
+    by_root = C.cut(linked.groupBy("root").agg(F.min("least").alias("component_id")))
+    linked = linked.join(C.broadcast_if_small(by_root, by_root.count()), "root").select("fp", "n", "component_id")
+    alone = distinct.join(roots, "fp", "left_anti").select("fp", "n", F.col("least").alias("component_id"))
+    named = C.cut(linked.union(alone).select("fp", "component_id", (F.col("n") > HOT_ROWS).alias("hot")))
     hot = named.filter("hot").drop("hot")
     n = hot.count()
     if not n or n > C.BROADCAST_ROWS:
