@@ -155,6 +155,53 @@ def varint_bytes(c) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(F.bin(_col(c).cast("long"))) / F.lit(7))).cast("int")
 
 
+def _byte(b: Column, i) -> Column:
+    return F.conv(F.hex(F.substring(b, i, 1)), 16, 10).cast("long")
+
+
+def varint(c) -> Column:
+    """A number from 0 on in groups of 7 bits, the low ones first; the high bit says that more follow."""
+    v, n = _col(c).cast("long"), varint_bytes(c)
+
+    def group(i: Column) -> Column:
+        low = F.call_function("shiftrightunsigned", v, (i * 7).cast("int")).bitwiseAND(F.lit(127))
+        return F.lpad(F.hex(low + F.when(i < n - 1, 128).otherwise(0)), 2, "0")
+
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), group), ""))
+
+
+def varint_value(c) -> Column:
+    """The number that a varint of up to 9 bytes stands for."""
+    b = _col(c)
+    add = lambda total, i: total + F.call_function("shiftleft", _byte(b, i).bitwiseAND(F.lit(127)), ((i - 1) * 7).cast("int"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(b)), F.lit(0).cast("long"), add)
+
+
+#: The reflected polynomial of CRC-32C, and the number that key hashes start from.
+CRC32C_POLYNOMIAL = 0x82F63B78
+KEY_SEED = 0xDEADBEEF
+
+
+def crc32c_table() -> list[int]:
+    """The remainder of every byte."""
+    out = list(range(256))
+    for _ in range(8):
+        out = [x >> 1 ^ (CRC32C_POLYNOMIAL if x & 1 else 0) for x in out]
+    return out
+
+
+def crc32c(c, seed: int = KEY_SEED) -> Column:
+    """CRC-32C of a binary or text column from a seed, without a final inversion, one byte a step."""
+    b, table = _col(c).cast("binary"), F.array(*map(F.lit, crc32c_table())).cast("array<bigint>")
+
+    def step(crc: Column, i: Column) -> Column:
+        at = crc.bitwiseXOR(_byte(b, i)).bitwiseAND(F.lit(255)).cast("int")
+        return F.shiftright(crc, 8).bitwiseXOR(F.element_at(table, at + 1))
+
+    steps = F.when(F.length(b) > 0, F.sequence(F.lit(1), F.length(b))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, F.lit(seed).cast("long"), step)
+
+
 def record_bytes(key, value) -> Column:
     """Size of a record with both lengths in front as variable-length numbers."""
     k, v = F.length(_col(key)), F.coalesce(F.length(_col(value)), F.lit(0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import globally_ranked
+
 # Fixed values of the convergence test: values kept, and how close they must lie.
 HISTORY, SHORT, LONG = 7, 0.004, 0.05
 
@@ -33,6 +35,23 @@ def added_counters(rows: DataFrame, group: list[str], counters: list[str]) -> Da
 
 
 def systematic_sample(rows: DataFrame, value: str, n: int) -> DataFrame:
-    """n values at even steps of the sorted order, as approximate percentiles."""
-    at = [i / max(n - 1, 1) for i in range(n)]
-    return rows.select(F.posexplode(F.percentile_approx(value, at, 100_000)).alias("step", "value"))
+    """(step, value) of n rows at even steps of the sorted order, from the smallest to the largest."""
+    ranked = globally_ranked(rows.select(F.col(value).alias("value")), "value")
+    total = ranked.count()
+    if not total or n < 1:
+        return ranked.limit(0).select(F.lit(0).alias("step"), "value")
+    steps = rows.sparkSession.range(n).select(F.col("id").cast("int").alias("step"), F.floor(F.col("id") * (total - 1) / max(n - 1, 1)).alias("rank"))
+    return ranked.join(F.broadcast(steps), "rank").select("step", "value")  # n rows
+
+
+def bitmap(rows: DataFrame, group: list[str], number: str) -> DataFrame:
+    """(group, word, bits): the numbers of each group as bits, 64 to a word; words without any aren't there."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col(number), F.lit(64)).cast("int"))
+    return rows.groupBy(*group, F.floor(F.col(number) / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def bitmap_summary(words: DataFrame, group: list[str], asked: int) -> DataFrame:
+    """Per group how many bits are set, the first one, and whether `asked` is."""
+    lowest = F.length(F.bin(F.col("bits").bitwiseAND(-F.col("bits")))) - 1
+    here = F.when(F.col("word") == asked // 64, F.call_function("shiftrightunsigned", F.col("bits"), F.lit(asked % 64)).bitwiseAND(F.lit(1)) == 1)
+    return words.groupBy(*group).agg(F.sum(F.bit_count("bits")).alias("n_set"), F.min(F.col("word") * 64 + lowest).alias("first"), F.coalesce(F.max(here), F.lit(False)).alias("has"))

@@ -493,6 +493,34 @@ def kv_u64_round_trip(spark, d):
     return _orders(spark, d).select(F.col("key").alias("id"), keys.u64_value(keys.u64_key("key")).cast("long").alias("back"))
 
 
+_VARINT = "upper(list_aggregate(list_transform(range(0, n), lambda i: printf('%02x', ((key >> (7 * i)::INT) & 127) + CASE WHEN i < n - 1 THEN 128 ELSE 0 END)), 'string_agg', ''))"
+
+
+@query(f"WITH k AS (SELECT o_orderkey AS key, greatest(1, ceil(length(bin(o_orderkey)) / 7.0))::BIGINT AS n FROM orders) SELECT key, {_VARINT} AS code, key AS back FROM k")
+def kv_varint(spark, d):
+    coded = _orders(spark, d).select("key", keys.varint("key").alias("b"))
+    return coded.select("key", F.hex("b").alias("code"), keys.varint_value("b").alias("back"))
+
+
+_CRC = f"list_reduce(list_prepend({keys.KEY_SEED}::BIGINT, list_transform(string_split(lpad(lower(hex(o_orderkey)), 16, '0'), ''), lambda c: ascii(c)::BIGINT)), lambda a, b: xor(a >> 8, ({keys.crc32c_table()}::BIGINT[])[(xor(a, b) & 255) + 1]))"
+
+
+@query(f"SELECT o_orderkey AS key, {_CRC} AS crc FROM orders")
+def kv_crc32c(spark, d):
+    return _orders(spark, d).select("key", keys.crc32c(keys.hex_key("key")).alias("crc"))
+
+
+@query("SELECT (o_custkey % 7)::INT AS part, count(DISTINCT o_orderkey % 1000)::BIGINT AS n_set, min(o_orderkey % 1000)::BIGINT AS first, bool_or(o_orderkey % 1000 = 500) AS has FROM orders GROUP BY 1")
+def kv_bitmap(spark, d):
+    rows = _orders(spark, d).select((F.col("o_custkey") % 7).cast("int").alias("part"), (F.col("key") % 1000).alias("number"))
+    return statistics.bitmap_summary(statistics.bitmap(rows, ["part"], "number"), ["part"], 500)
+
+
+@query("WITH r AS (SELECT o_totalprice AS value, row_number() OVER (ORDER BY o_totalprice) - 1 AS rank, count(*) OVER () AS total FROM orders) SELECT i::INT AS step, value FROM range(101) t(i) JOIN r ON rank = (i * (total - 1)) // 100")
+def kv_systematic_sample(spark, d):
+    return statistics.systematic_sample(_orders(spark, d), "value", 101)
+
+
 @query("SELECT id, (7 + id % 50)::BIGINT AS incs, (56 - id % 50)::BIGINT AS decs, (7 + (id * 13) % 50)::BIGINT AS skips FROM range(1000) t(id)")
 def kv_sequences(spark, d):
     r = spark.range(1000)

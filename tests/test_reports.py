@@ -111,3 +111,20 @@ def test_bloom_quality_takes_all_runs(spark):
     got = catalog.kv_bloom_quality(spark, "/root/testdata/sf0.01")
     every = {r["run"] for r in catalog._runs(spark, "/root/testdata/sf0.01").select("run").distinct().collect()}
     assert max(every) >= 6 and {r["run"] for r in got.collect()} == every
+
+
+def test_crc32c_is_the_known_one(spark):
+    from kvstrata.functions import keys
+
+    r = spark.createDataFrame([("123456789",), ("",)], "k string").select(keys.crc32c("k", 0xFFFFFFFF).alias("c"), keys.crc32c("k").alias("d")).collect()
+    assert r[0]["c"] ^ 0xFFFFFFFF == 0xE3069283 and r[1]["d"] == keys.KEY_SEED
+
+
+def test_many_anchors_give_the_same_partitions(spark, monkeypatch):
+    from kvstrata.operators import reads
+
+    anchors = spark.createDataFrame([(i, i * 10) for i in range(1, 60)], "part_id int, anchor long")
+    rows = spark.range(0, 700, 3).withColumnRenamed("id", "key").withColumn("x", F.col("key") * 2)
+    few = sorted(map(tuple, reads.locate(rows, anchors).select("key", "x", "part_id", "anchor").collect()), key=str)
+    monkeypatch.setattr(reads, "LITERAL_ANCHORS", 5)
+    assert sorted(map(tuple, reads.locate(rows, anchors).select("key", "x", "part_id", "anchor").collect()), key=str) == few
