@@ -38,6 +38,14 @@ def _entry(part: int, anchor: bytes, run: int | None = None, piece: dict | None
     return part, bytearray(anchor), run, piece["path"], piece["n_kv"], piece["bytes"], bytearray(piece["first_key"]), bytearray(piece["last_key"])
 
 
+def _by_part(entries: list) -> dict[int, tuple[bytes, list]]:
+    """Anchor and pieces of every partition."""
+    out: dict[int, tuple[bytes, list]] = {}
+    for r in entries:
+        out.setdefault(r["part_id"], (bytes(r["anchor"]), []))[1].extend([r] if r["path"] is not None else [])
+    return out
+
+
 class KvStore:
     def __init__(self, spark: SparkSession, root: str, config: Config = Config()):
         self.spark, self.root, self.config = spark, root.rstrip("/"), config
@@ -139,7 +147,9 @@ class KvStore:
         return self.manifest(version).select("part_id", "anchor").distinct()
 
     def statistics(self, version: int | None = None) -> DataFrame:
-        return self.manifest(version).filter("path is not null").select("part_id", "run", "n_kv", "bytes")
+        """(part_id, run, n_kv, bytes) of every run."""
+        pieces = self.manifest(version).filter("path is not null")
+        return pieces.groupBy("part_id", "run").agg(F.sum("n_kv").alias("n_kv"), F.sum("bytes").alias("bytes"))
 
     # Writes
 
@@ -151,8 +161,8 @@ class KvStore:
         fresh = {r["part_id"]: r for r in compaction.new_data(located, config=config).collect()}
         last_part = max(entries, key=lambda r: bytes(r["anchor"]))["part_id"]
         stats_rows, part_rows = [], []
-        for part in sorted({r["part_id"] for r in entries}):
-            mine = [r for r in entries if r["part_id"] == part and r["path"] is not None]
+        by_part = _by_part(entries)
+        for part, (_, mine) in sorted(by_part.items()):
             sizes: dict[int, int] = {}
             for r in mine:
                 sizes[r["run"]] = sizes.get(r["run"], 0) + r["n_kv"]
@@ -174,8 +184,7 @@ class KvStore:
             planned = compaction.reject_small(planned, budget, config)
         rows = [r.asDict() for r in planned.collect()]
         for r in rows:
-            runs = len({e["run"] for e in entries if e["part_id"] == r["part_id"] and e["path"] is not None})
-            r["n_runs"] = runs
+            runs = r["n_runs"] = len({e["run"] for e in by_part[r["part_id"]][1]})
             if force and (r["newsz"] or force == "major"):
                 r["kind"] = force if runs or force != "partial" else "minor"
                 r["bestrun"] = {"major": 0, "partial": max(runs - 1, 0), "minor": runs}.get(force, r["bestrun"])
@@ -202,10 +211,9 @@ class KvStore:
         merged = merged.filter(~F.col("tombstone") | ~F.col("kind").isin("major", "append"))
         size = sum(r["bytes"] for r in again) + sum(r["newsz"] for r in plan.values() if r["kind"] != "reject")
         pieces = self._write(merged.withColumnRenamed("part_id", "p"), size)
-        kept, number = [], max(plan, default=-1) + 1
+        kept, number, by_part = [], max(plan, default=-1) + 1, _by_part(old)
         for part, p in plan.items():
-            anchor = next(bytes(r["anchor"]) for r in old if r["part_id"] == part)
-            runs = [r for r in old if r["part_id"] == part and r["path"] is not None]
+            anchor, runs = by_part[part]
             keep = [tuple(r[c] for c in r.__fields__[1:]) for r in runs if p["kind"] in ("reject", "append") or r["run"] < p["bestrun"]]
             new = pieces.get(part, [])
             if p["kind"] in ("partial", "minor"):
