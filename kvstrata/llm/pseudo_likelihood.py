@@ -182,15 +182,14 @@ def word_counts(df: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Word hashes in order with their counts and numbers; counts: (word, n), rows of the corpus's most frequent words."""
+    """Word hashes in order with their counts and numbers, for the corpus's most frequent words."""
 
-    def __init__(self, rows: list[tuple[int, int]]):
-        rows = sorted(rows, key=lambda r: (-r[1], r[0]))
-        words = np.array([r[0] for r in rows], np.int64)
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        by = np.lexsort((words, -counts))
+        words, counts = words[by], counts[by]
         number = np.where(np.arange(len(words)) < VOCABULARY, np.arange(len(words)), bucket(words))
         by = np.argsort(words)
-        self.words, self.numbers = words[by], number[by]
-        self.counts = np.array([r[1] for r in rows], np.int64)[by]
+        self.words, self.numbers, self.counts = words[by], number[by], counts[by]
 
     def look(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words in the network, and their counts: 1 for vocabulary words, 0 where the count isn't known."""
@@ -203,15 +202,14 @@ class Vocabulary:
         return number, count
 
 
-def frequent(counts: DataFrame, most: int) -> list[tuple[int, int]]:
-    """(word, n) of the most frequent words: `most` at most; of equally frequent ones all or none."""
+def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words and counts of the most frequent words: `most` at most; of equally frequent ones all or none."""
     total = counts.count()
-    if not total:
-        return []
-    least = kth_largest(counts.withColumn("n", F.col("n").cast("double")), "n", min(most, total))
+    least = kth_largest(counts.withColumn("n", F.col("n").cast("double")), "n", min(most, total)) if total else 0
     if counts.filter(F.col("n") >= least).count() > most:
         least += 1
-    return [(r["word"], r["n"]) for r in counts.filter(F.col("n") >= least).collect()]
+    found = counts.filter(F.col("n") >= least).select("word", "n").toArrow()
+    return found.column("word").to_numpy(), found.column("n").to_numpy()
 
 
 def windows(numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -351,7 +349,7 @@ def pseudo_likelihood(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sc = df.sparkSession.sparkContext
     counts = C.cut(word_counts(rows))
     n_words = counts.agg(F.sum("n")).first()[0] or 0
-    words = Vocabulary(frequent(counts, KNOWN))
+    words = Vocabulary(*frequent(counts, KNOWN))
     vocabulary = sc.broadcast(words)
     totals = np.zeros(SIZE)
     for r in counts.groupBy(F.pmod(F.col("word"), F.lit(PER_CLASS)).alias("bucket")).agg(F.sum("n").alias("n")).collect():
@@ -359,9 +357,10 @@ def pseudo_likelihood(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     inside = words.numbers < VOCABULARY
     np.subtract.at(totals, bucket(words.words[inside]), words.counts[inside])
     totals = np.log(np.maximum(totals, 1))
-    coded = C.cut(_encoded(rows, vocabulary, max(1, math.ceil(n_words / SHARD_WORDS))))
-    shards = C.cut(coded.filter("n_words > 0").select("shard", "h", "codes").repartition(C.parts(df.sparkSession), "shard").sortWithinPartitions("shard", "h").select("shard", "codes"))
-    shared = sc.broadcast(train(shards, rounds, rate))
+    n = C.parts(df.sparkSession)
+    coded = _encoded(rows, vocabulary, max(1, math.ceil(n_words / SHARD_WORDS)))
+    coded = C.cut(coded.repartition(n, C.dealt_evenly(df.sparkSession, F.col("shard"), n)).sortWithinPartitions("shard", "h"))
+    shared = sc.broadcast(train(coded.filter("n_words > 0").select("shard", "codes"), rounds, rate))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = Network(shared.value)
