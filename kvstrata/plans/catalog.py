@@ -640,7 +640,7 @@ def kv_store_planned(spark, d):
 @query("SELECT o_orderkey AS key, o_totalprice AS value FROM orders")
 def kv_store_append(spark, d):
     """Orders in key order: what lies behind the last key is appended as partitions of its own."""
-    store = KvStore.create(spark, f"{shared_dir(spark)}/kv-store-{uuid.uuid4().hex}", config=compaction.Config(max_pages=1))
+    store = KvStore.create(spark, f"{shared_dir(spark)}/kv-store-{uuid.uuid4().hex}", config=compaction.Config(max_pages=4))
     rows = writes.put(_orders(spark, d).select(keys.u64_key("key").alias("key"), F.col("value").cast("string").cast("binary").alias("value"), F.col("key").alias("seq")), 0)
     edge = F.lit((100).to_bytes(8, "big")), F.lit((200).to_bytes(8, "big"))
     store.flush(rows.filter(F.col("key") < edge[0]), force="minor")
