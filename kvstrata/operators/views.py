@@ -48,7 +48,12 @@ def merge_unique(*streams: DataFrame, key: str = "key") -> DataFrame:
 
 def merge_history(*streams: DataFrame, key: str = "key") -> DataFrame:
     """Every row with `rank` and `repeated`: an equal key of a later stream goes first."""
-    return all_versions(merge(*streams), key, ("rank",)).withColumnRenamed("stale", "repeated")
+    return ranked_history(merge(*streams), key)
+
+
+def ranked_history(ranked: DataFrame, key: str = "key") -> DataFrame:
+    """merge_history of a frame whose rows have the `rank` of their stream, of which there may be any number."""
+    return all_versions(ranked, key, ("rank",)).withColumnRenamed("stale", "repeated")
 
 
 def partial_merge(rows: DataFrame, least_run: int, key: str = "key") -> DataFrame:
