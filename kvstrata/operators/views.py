@@ -43,7 +43,7 @@ def merge_ordered(*streams: DataFrame, key: str = "key") -> DataFrame:
 
 def merge_unique(*streams: DataFrame, key: str = "key") -> DataFrame:
     """The winning row of each key and which stream it came from."""
-    return newest(merge(*streams), key, ("rank",))
+    return ranked_unique(merge(*streams), key)
 
 
 def merge_history(*streams: DataFrame, key: str = "key") -> DataFrame:
@@ -51,6 +51,11 @@ def merge_history(*streams: DataFrame, key: str = "key") -> DataFrame:
     return ranked_history(merge(*streams), key)
 
 
+def ranked_unique(ranked: DataFrame, key: str = "key") -> DataFrame:
+    """merge_unique of a frame whose rows have the `rank` of their stream, of which there may be any number."""
+    return newest(ranked, key, ("rank",))
+
+
 def ranked_history(ranked: DataFrame, key: str = "key") -> DataFrame:
     """merge_history of a frame whose rows have the `rank` of their stream, of which there may be any number."""
     return all_versions(ranked, key, ("rank",)).withColumnRenamed("stale", "repeated")

@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import generators, keys, statistics
 from ..operators import bloom, compaction, index, lru, reads, views, workload, writes
-from ..schema import MAX_RUNS
-from ..session import globally_ranked, materialise, shared_dir
+from ..session import globally_ranked, shared_dir
 from ..sources.store import KvStore, MutationLog
 from . import reports
 
@@ -59,12 +58,6 @@ def _ranked(spark, d) -> DataFrame:
     return _runs(spark, d).withColumnRenamed("run", "rank")
 
 
-def _streams(spark, d) -> list[DataFrame]:
-    """The runs as frames of their own, oldest first; there are at most MAX_RUNS. They are numbered once."""
-    rows = materialise(_runs(spark, d))
-    return [rows.filter(F.col("run") == i).drop("run") for i in range(MAX_RUNS + 1)]
-
-
 RUNS = "r AS (SELECT l_orderkey AS key, l_quantity AS value, l_returnflag = 'R' AS tombstone, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1)::INT AS run FROM lineitem)"
 NEWEST = "n AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY run DESC) = 1)"
 
@@ -102,7 +95,7 @@ def kv_merge_runs(spark, d):
 
 @query(f"WITH {RUNS}, {NEWEST} SELECT key, run, value, tombstone FROM n")
 def kv_merge_unique(spark, d):
-    return views.merge_unique(*_streams(spark, d)).select("key", F.col("rank").alias("run"), "value", "tombstone")
+    return views.ranked_unique(_ranked(spark, d)).select("key", F.col("rank").alias("run"), "value", "tombstone")
 
 
 @query(f"WITH {RUNS}, {NEWEST} SELECT key, run, value FROM n WHERE run >= 3")
