@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import rotl64
-from ..schema import MAX_RUNS
 
 BITS_PER_KEY = 10
 
@@ -24,8 +23,8 @@ def probes(bits_per_key: int) -> int:
 def places(key: Column, bits: Column, bits_per_key: int = BITS_PER_KEY) -> Column:
     """The bit numbers that a key sets in a filter of that many bits."""
     h = F.xxhash64(key)
-    step = rotl64(h, 17)
-    return F.transform(F.sequence(F.lit(0), F.lit(probes(bits_per_key) - 1)), lambda i: F.pmod(h.cast("decimal(38,0)") + i.cast("decimal(38,0)") * step.cast("decimal(38,0)"), bits.cast("decimal(38,0)")).cast("long"))
+    first, step = F.pmod(h, bits), F.pmod(rotl64(h, 17), bits)
+    return F.array(*(F.pmod(first + F.lit(i) * step, bits) for i in range(probes(bits_per_key))))
 
 
 def build(rows: DataFrame, group: list[str], key: str = "key", bits_per_key: int = BITS_PER_KEY) -> DataFrame:
@@ -39,17 +38,11 @@ def build(rows: DataFrame, group: list[str], key: str = "key", bits_per_key: int
 def test(keys: DataFrame, filters: DataFrame, group: list[str], key: str = "key", bits_per_key: int = BITS_PER_KEY) -> DataFrame:
     """(key, group, maybe) for distinct keys against every filter of their group columns.
 
-    Keys without group columns are tested against all filters, of which there may be MAX_RUNS at most.
+    Keys without group columns are tested against all filters, however many: each key has a row a filter in the result.
     """
     sizes = filters.groupBy(*group).agg(F.max("bits").alias("bits"))
-    if set(group) <= set(keys.columns):
-        asked = keys.join(sizes, group)
-    else:
-        every = [F.struct(*(F.lit(r[c]).cast(sizes.schema[c].dataType).alias(c) for c in sizes.columns)) for r in sizes.limit(MAX_RUNS + 1).collect()]
-        if len(every) > MAX_RUNS:
-            raise ValueError(f"more than {MAX_RUNS} filters: give the keys the columns {group}")
-        asked = keys.withColumn("__f", F.explode(F.array(*every))).select(key, "__f.*") if every else keys.limit(0).select(key, *(F.lit(None).cast(sizes.schema[c].dataType).alias(c) for c in sizes.columns))
-    bits = asked.select(key, *group, F.explode(F.array_distinct(places(F.col(key), F.col("bits"), bits_per_key))).alias("bit")).withColumn("word", F.floor(F.col("bit") / 64))
+    asked = keys.join(sizes, group) if set(group) <= set(keys.columns) else keys.crossJoin(F.broadcast(sizes))
+    bits = asked.select(key, *group, F.explode(places(F.col(key), F.col("bits"), bits_per_key)).alias("bit")).withColumn("word", F.floor(F.col("bit") / 64))
     hit = F.coalesce(F.expr("mask & shiftleft(1L, cast(bit % 64 as int))") != 0, F.lit(False))
     return bits.join(filters.drop("bits"), [*group, "word"], "left").groupBy(key, *group).agg(F.min(hit).alias("maybe"))
 

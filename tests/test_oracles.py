@@ -42,7 +42,7 @@ def long_orders(spark, tmp_path_factory):
     return str(d), con
 
 
-@pytest.mark.parametrize("name", ["kv_merge_runs", "kv_merge_unique"])
+@pytest.mark.parametrize("name", ["kv_merge_runs", "kv_merge_unique", "kv_bloom_quality"])
 def test_any_number_of_runs(spark, long_orders, name):
     d, con = long_orders
     want = con.execute(catalog.ORACLES[name])
