@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
-from .tokens import WordTokenizer
+from .tokens import word_tokenizer
 
 CAPACITY = 2048
 #: Steps that one completion, and one whole search, may take. They bound the search, not the rows.
 COMPLETION_STEPS = 400
 SEARCH_STEPS = 400_000
+#: Text bytes encoded at once: the more, the fewer times a common piece of a word is looked up.
+ENCODE_BYTES = 8 << 20
 
 Filling = tuple[int, ...]
 
@@ -140,8 +142,8 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """doc_id, piece, start, length, ids_crc32 of every piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(tokenizer)
-        for batch in C.slices(batches):
+        words = word_tokenizer(tokenizer)
+        for batch in C.slices(batches, ENCODE_BYTES):
             ids, at = words.encode(batch.column("text"))
             rows, numbers = [], []
             for i in range(batch.num_rows):

@@ -659,6 +659,33 @@ def test_ids_by_words_are_the_tokenizers():
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_are_cut_together():
+    """Words that are made of the same few pieces cost no step of Python each."""
+    import sys
+
+    from tokenizers import Tokenizer
+
+    rng, steps = random.Random(12), 0
+    words = sorted({"".join(rng.choices(["Foo", "BAR", "é", "É", "7", "²", ".", "--", "##"], k=9)) for _ in range(20_000)})
+    own = tokens.WordTokenizer(BPE)
+    own.encode(pa.array(["foo bar"]))
+
+    def count(*_):
+        nonlocal steps
+        steps += 1
+
+    text = pa.array([" ".join(words[i::7]) for i in range(7)])
+    sys.setprofile(count)
+    try:
+        ids, at = own.encode(text)
+    finally:
+        sys.setprofile(None)
+    assert len(words) > 19_000
+    want = Tokenizer.from_file(BPE).encode_batch(text.to_pylist(), add_special_tokens=False)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [e.ids for e in want]
+    assert len(own.pieces) < 10_000 and steps < 10 * len(own.pieces) + 1000
+
+
 @pytest.mark.parametrize("which", ["docs", "edge"])
 def test_packing_is_whole(request, which):
     from tokenizers import Tokenizer
