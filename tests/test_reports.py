@@ -128,3 +128,16 @@ def test_many_anchors_give_the_same_partitions(spark, monkeypatch):
     few = sorted(map(tuple, reads.locate(rows, anchors).select("key", "x", "part_id", "anchor").collect()), key=str)
     monkeypatch.setattr(reads, "LITERAL_ANCHORS", 5)
     assert sorted(map(tuple, reads.locate(rows, anchors).select("key", "x", "part_id", "anchor").collect()), key=str) == few
+
+
+def test_filters_broadcast_or_joined_say_the_same(spark, monkeypatch):
+    from kvstrata.operators import bloom
+
+    rows = spark.range(3000).select(F.col("id").alias("key"), F.expr("cast(sqrt(id) as int)").alias("run"))
+    asked = spark.range(0, 6000, 7).select(F.col("id").alias("key"))
+    filters = bloom.build(rows, ["run"])
+    few = sorted(map(tuple, bloom.test(asked.union(asked), filters, ["run"]).collect()))
+    own = bloom.test(rows, filters, ["run"])
+    assert len(few) == 858 * 55 and own.count() == 3000 and own.filter("not maybe").isEmpty()
+    monkeypatch.setattr(bloom, "BROADCAST_WORDS", -1)
+    assert sorted(map(tuple, bloom.test(asked.union(asked), filters, ["run"]).collect())) == few
